@@ -128,7 +128,7 @@ S AS (SELECT e.t, e.iy, e.ix, 1004.709 * (280 + e.fcst) + ze.z + 9.80665 * 2 AS
 C AS ({con_sql('S', COARSE_E, GRID_E, ['temp', 'wind', 'z'], 't')}),
 B AS ({bil_sql('C', GRID_E, COARSE_E, ['temp', 'wind', 'z'], 't')})
 SELECT b.t, b.iy, b.ix, {r('(b.temp - b.z - 9.80665 * 2) / 1004.709')} AS temp_in, {r('b.wind')} AS wind_in,
-  {r('b.z', 4)} AS z_in, {r('280 + e.fcst')} AS temp_tar, {r('e.ref_')} AS wind_tar
+  {r('b.z')} AS z_in, {r('280 + e.fcst')} AS temp_tar, {r('e.ref_')} AS wind_tar
 FROM B b JOIN E e ON e.t = b.t AND e.iy = b.iy AND e.ix = b.ix""")
 def coarsen_then_refine_(spark, sf_dir):
     e = view_e(spark, sf_dir).select("t", "iy", "ix", (280 + F.col("fcst")).alias("temp"), F.col("ref_").alias("wind"))
@@ -136,7 +136,7 @@ def coarsen_then_refine_(spark, sf_dir):
     z = view_z(spark, sf_dir).withColumnsRenamed({"iy": "zy", "ix": "zx"})
     static = cells.join(z, ["zy", "zx"]).select("iy", "ix", "z")
     df = coarsen_then_refine(e, GRID_E, 2, ["temp", "wind"], "temp", static, time="t")
-    return df.select("t", "iy", "ix", *[rd(c).alias(c) for c in ("temp_in", "wind_in")], rd("z_in", 4).alias("z_in"),
+    return df.select("t", "iy", "ix", *[rd(c).alias(c) for c in ("temp_in", "wind_in")], rd("z_in").alias("z_in"),
                      *[rd(c).alias(c) for c in ("temp_tar", "wind_tar")])
 
 

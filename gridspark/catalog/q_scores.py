@@ -238,17 +238,18 @@ SEASON = """CASE WHEN month(time) IN (12, 1, 2) THEN 'DJF' WHEN month(time) <= 5
 @query("score_by_season_hour", f"""
 WITH S AS (SELECT time, sqrt(avg(power(t_in - t_tar, 2))) AS rmse FROM D GROUP BY time),
 P AS (SELECT {SEASON} AS season, hour(time) AS hour, rmse FROM S)
-SELECT season, hour, {r('avg(rmse)')} AS rmse_mean, {r('stddev_pop(rmse)')} AS rmse_std FROM P
-GROUP BY GROUPING SETS ((season, hour), (hour), (season), ())""")
+SELECT coalesce(season, 'all') AS season, coalesce(hour, -1) AS hour, {r('avg(rmse)')} AS rmse_mean,
+  {r('stddev_pop(rmse)')} AS rmse_std FROM P GROUP BY GROUPING SETS ((season, hour), (hour), (season), ())""")
 def score_by_season_hour(spark, sf_dir):
     per_time = view_d(spark, sf_dir).groupBy("time").agg(scores.rmse("t_in", "t_tar").alias("rmse"))
     df = evaluate.score_breakdown(per_time, "rmse")
-    return df.select("season", "hour", rd("rmse_mean").alias("rmse_mean"), rd("rmse_std").alias("rmse_std"))
+    return df.select(F.coalesce("season", F.lit("all")).alias("season"), F.coalesce("hour", F.lit(-1)).alias("hour"),
+                     rd("rmse_mean").alias("rmse_mean"), rd("rmse_std").alias("rmse_std"))
 
 
 def _map_sql(view: str, f: str, o: str, by: str = "") -> str:
-    return f"""SELECT {by} iy, ix, {r(f'avg({f} - {o})')} AS bias, {r(f'avg(abs({f} - {o}))')} AS abs_error_mean,
-  {r(f'sqrt(avg(power({f} - {o}, 2)))')} AS rmse FROM {view} GROUP BY ALL"""
+    return f"""SELECT {by} iy, ix, {r(f'avg({f} - {o})', 8)} AS bias, {r(f'avg(abs({f} - {o}))', 8)} AS abs_error_mean,
+  {r(f'sqrt(avg(power({f} - {o}, 2)))', 8)} AS rmse FROM {view} GROUP BY ALL"""
 
 
 MAP = ("bias", "abs_error_mean", "rmse")
@@ -256,19 +257,19 @@ MAP = ("bias", "abs_error_mean", "rmse")
 
 @query("score_map_mean", _map_sql("E", "fcst", "ref_"))
 def score_map_mean(spark, sf_dir):
-    return evaluate.score_map(view_e(spark, sf_dir)).select("iy", "ix", *[rd(c).alias(c) for c in MAP])
+    return evaluate.score_map(view_e(spark, sf_dir)).select("iy", "ix", *[rd(c, 8).alias(c) for c in MAP])
 
 
 @query("score_map_by_hour", _map_sql("H", "fcst", "ref_", "hour(time) AS hour,"))
 def score_map_by_hour(spark, sf_dir):
     df = evaluate.score_map(view_h(spark, sf_dir), ["hour"])
-    return df.select("hour", "iy", "ix", *[rd(c).alias(c) for c in MAP])
+    return df.select("hour", "iy", "ix", *[rd(c, 8).alias(c) for c in MAP])
 
 
 @query("score_map_season_hour", _map_sql("D", "t_in", "t_tar", f"{SEASON} AS season, hour(time) AS hour,"))
 def score_map_season_hour(spark, sf_dir):
     df = evaluate.score_map(view_d(spark, sf_dir), ["season", "hour"], fcst="t_in", ref="t_tar")
-    return df.select("season", "hour", "iy", "ix", *[rd(c).alias(c) for c in MAP])
+    return df.select("season", "hour", "iy", "ix", *[rd(c, 8).alias(c) for c in MAP])
 
 
 PAIRS = [("t_tar", "t_in"), ("p_ref", "p_sim")]

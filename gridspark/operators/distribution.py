@@ -52,7 +52,11 @@ def node_cdf(df: DataFrame, values: Sequence[str], nodes: Sequence[float], drop_
         inner = F.try_divide(c - 1 + F.try_divide(x - lo, hi - lo), total - 1)
         return F.when(total < 2, F.lit(None).cast("double")).when(c == 0, 0.0).when(c == total, 1.0).otherwise(inner)
 
-    return arrays.select("variable", F.array(*[at(i, F.lit(float(x))) for i, x in enumerate(nodes)]).alias("cdf"))
+    return arrays.select("variable", F.transform(_array(nodes), lambda x, i: at(i, x)).alias("cdf"))
+
+
+def _array(nodes: Sequence[float]) -> Column:
+    return F.array(*[F.lit(float(x)) for x in nodes])
 
 
 def _total(gaps: Column) -> Column:
@@ -61,10 +65,8 @@ def _total(gaps: Column) -> Column:
 
 def ecdf_at_nodes(df: DataFrame, values: Sequence[str], nodes: Sequence[float], drop_zero: bool = True) -> DataFrame:
     """The same as rows ``(variable, node, cdf)``."""
-    cdf = node_cdf(df, values, nodes, drop_zero)
-    named = F.arrays_zip(F.array(*[F.lit(float(x)) for x in nodes]).alias("node"), F.col("cdf").alias("cdf"))
-    return cdf.select("variable", F.explode(named).alias("r")).select(
-        "variable", F.col("r")["0"].alias("node"), F.col("r.cdf").alias("cdf"))
+    rows = node_cdf(df, values, nodes, drop_zero).select("variable", F.posexplode("cdf").alias("i", "cdf"))
+    return rows.select("variable", F.get(_array(nodes), F.col("i")).alias("node"), "cdf")
 
 
 def iqd(df: DataFrame, nodes: Sequence[float] | None = None, hours: int = 0, drop_zero: bool = True,
@@ -76,8 +78,14 @@ def iqd(df: DataFrame, nodes: Sequence[float] | None = None, hours: int = 0, dro
     xs = [float(x) for x in (default_nodes(hours) if nodes is None else nodes)]
     cdf = node_cdf(df, [fcst, ref], xs, drop_zero)
     both = cdf.agg(*[F.max(F.when(F.col("variable") == v, F.col("cdf"))).alias(v) for v in (fcst, ref)])
-    sq = [(F.get(F.col(ref), F.lit(i)) - F.get(F.col(fcst), F.lit(i))) ** 2 for i in range(len(xs))]
-    area = sum(((sq[i] + sq[i + 1]) / 2 * (xs[i + 1] - xs[i]) for i in range(len(xs) - 1)), F.lit(0.0))
+    squares = F.zip_with(ref, fcst, lambda o, f: (o - f) * (o - f))
+    both = both.withColumns({"_x": _array(xs), "_d": squares})
+
+    def trapezoid(total, i):
+        x, d = F.col("_x"), F.col("_d")
+        return total + (F.get(d, i) + F.get(d, i - 1)) / 2 * (F.get(x, i) - F.get(x, i - 1))
+
+    area = F.aggregate(F.sequence(F.lit(1), F.lit(len(xs) - 1)), F.lit(0.0), trapezoid)
     last = F.lit(len(xs) - 1)
     complete = (F.get(F.col(ref), last) >= FULL_CDF) & (F.get(F.col(fcst), last) >= FULL_CDF)
     return both.select(area.alias("iqd"), complete.alias("complete"))

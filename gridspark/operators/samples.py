@@ -21,7 +21,8 @@ def closest_divisor(n: Column, wanted: int) -> Column:
 def file_groups(files: DataFrame, wanted: int, seed: int = 42, on: str = "month") -> DataFrame:
     """Files in random order, cut into equal groups whose size divides the number of files."""
     ranked = shuffled_ranks(files.select(on).distinct(), seed, [on])
-    size = closest_divisor(ranked.agg(F.count(F.lit(1))).scalar(), wanted)
+    counted = ranked.agg(F.count(F.lit(1)).alias("n"))
+    size = counted.select(closest_divisor(F.col("n"), wanted).alias("size")).scalar()
     return ranked.withColumn("group_size", size).select(
         on, F.floor((F.col("rn") - 1) / F.col("group_size")).alias("group_id"), "rn", "group_size")
 

@@ -10,6 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from gridspark.columns import nan_to_null
 from gridspark.operators.grid import Grid
 from gridspark.operators.reshape import gather_fields
 
@@ -46,13 +47,6 @@ def detrend_field(df: DataFrame, value: str, nx: int, ny: int, time: str = "time
     return flat.withColumn(out, along("_dx", "iy", [time, "ix"], ny)).drop("_dx")
 
 
-def _edge_trend(fields: np.ndarray, axis: int) -> np.ndarray:
-    n = fields.shape[axis]
-    slope = (np.take(fields, [-1], axis) - np.take(fields, [0], axis)) / (n - 1)
-    steps = np.expand_dims(2 * np.arange(n) - n, [a for a in range(fields.ndim) if a != axis])
-    return 0.5 * slope * steps
-
-
 def ring_layout(grid: Grid, radius: float = EARTH_RADIUS) -> tuple[np.ndarray, int]:
     """Ring number of each wavenumber pair ``(ky, kx)`` and the number of complete rings."""
     deg2m = radius * 2 * math.pi / 360
@@ -74,6 +68,13 @@ def power_spectrum(df: DataFrame, values: Sequence[str], grid: Grid, time: str =
     n_rings = n_complete if cutoff else int(rings.max()) + 1
     ny, nx, flat = grid.ny, grid.nx, rings.ravel()
 
+    # nested, so that it travels with the task and executors need no copy of this package
+    def edge_trend(stack, axis):
+        n = stack.shape[axis]
+        slope = (np.take(stack, [-1], axis) - np.take(stack, [0], axis)) / (n - 1)
+        steps = np.expand_dims(2 * np.arange(n) - n, [a for a in range(stack.ndim) if a != axis])
+        return 0.5 * slope * steps
+
     @F.pandas_udf("array<double>")
     def ring_power(fields: pd.Series) -> pd.Series:
         out = pd.Series([None] * len(fields), index=fields.index, dtype=object)
@@ -81,8 +82,8 @@ def power_spectrum(df: DataFrame, values: Sequence[str], grid: Grid, time: str =
         if len(whole) == 0:
             return out
         stack = np.stack(fields[whole].to_numpy()).astype(float).reshape(-1, ny, nx)
-        stack = stack - _edge_trend(stack, 2)
-        stack = stack - _edge_trend(stack, 1)
+        stack = stack - edge_trend(stack, 2)
+        stack = stack - edge_trend(stack, 1)
         power = np.abs(np.fft.fft2(stack) / (nx * ny)) ** 2
         for at, p in zip(whole, power):
             out[at] = np.bincount(flat, weights=p.ravel(), minlength=n_rings)[:n_rings]
@@ -90,7 +91,8 @@ def power_spectrum(df: DataFrame, values: Sequence[str], grid: Grid, time: str =
 
     long = df.select(time, "iy", "ix", *values).unpivot([time, "iy", "ix"], list(values), "variable", "_value")
     fields = gather_fields(long, F.col("_value"), nx, ny, [time, "variable"], "_field")
-    return fields.select(time, "variable", F.posexplode(ring_power("_field")).alias("k", "power"))
+    rows = fields.select(time, "variable", F.posexplode(ring_power("_field")).alias("k", "power"))
+    return nan_to_null(rows)
 
 
 def mean_spectrum(spectra: DataFrame) -> DataFrame:
