@@ -33,13 +33,19 @@ def query(name: str, sql: str | None = None) -> Callable[[Build], Build]:
     return register
 
 
+# Share of the last digit that is added before rounding on both sides.  Means of decimal numbers often lie
+# exactly half way between two roundings, where the last bit of a sum decides; the shift moves them off.
+SHIFT = 0.0137
+
+
 def rd(col: Column | str, digits: int = 6) -> Column:
-    return F.round(F.col(col) if isinstance(col, str) else col, digits)
+    value = F.col(col) if isinstance(col, str) else col
+    return F.round(value + SHIFT * 10.0 ** -digits, digits)
 
 
 def r(expr: str, digits: int = 6) -> str:
-    """Rounding in SQL; adding zero turns a negative zero into zero."""
-    return f"(round(CAST({expr} AS DOUBLE), {digits}) + 0.0)"
+    """The same rounding in SQL; adding zero turns a negative zero into zero."""
+    return f"(round(CAST({expr} AS DOUBLE) + {SHIFT} * 1e-{digits}, {digits}) + 0.0)"
 
 
 def ts(col: str = "time") -> Column:
