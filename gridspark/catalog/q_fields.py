@@ -33,14 +33,14 @@ GRADS = f"SELECT t, {_grad_sql('fcst')} AS gf, {_grad_sql('ref_')} AS gr FROM E"
 @query("spatial_gradient", f"""
 WITH G AS ({GRADS}) SELECT t, {r('avg(gf) * 1e6')} AS grad_fcst, {r('avg(gr) * 1e6')} AS grad_ref FROM G GROUP BY t""")
 def spatial_gradient(spark, sf_dir):
-    df = gradient.spatial_gradient(view_e(spark, sf_dir), ["fcst", "ref_"], 0.5, 0.5, time="t")
+    df = gradient.spatial_gradient(view_e(spark, sf_dir), ["fcst", "ref_"], 0.5, 0.5, time="t", grid=GRID_E)
     return df.select("t", rd(F.col("grad_fcst") * 1e6).alias("grad_fcst"), rd(F.col("grad_ref_") * 1e6).alias("grad_ref"))
 
 
 @query("grad_amplitude_ratio", f"""
 WITH G AS ({GRADS}) SELECT t, {r('avg(gf) / nullif(avg(gr), 0)')} AS grad_amplitude FROM G GROUP BY t""")
 def grad_amplitude_ratio(spark, sf_dir):
-    df = gradient.amplitude_ratio(view_e(spark, sf_dir), ["t"], 0.5, 0.5, time="t")
+    df = gradient.amplitude_ratio(view_e(spark, sf_dir), ["t"], 0.5, 0.5, time="t", grid=GRID_E)
     return df.select("t", rd("grad_amplitude").alias("grad_amplitude"))
 
 

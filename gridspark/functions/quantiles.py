@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -15,11 +17,13 @@ def grouped_quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: Seq
 
     Equal values are counted together first.  A bounded sketch then cuts each key's distinct values into
     ordered buckets; bucket totals tell which buckets hold the wanted ranks, and only those are sorted.
-    A key with a third of all rows is so spread over many tasks, and the result stays exact.
+    A key with a third of all rows is so spread over many tasks, and the result stays exact.  Rows with a
+    missing key or value are left out.
     """
     keys = list(keys) or ["_all"]
     base = df if "_all" not in keys else df.withColumn("_all", F.lit(0))
-    counts = (base.where(F.col(value).isNotNull()).groupBy(*keys, F.col(value).alias("_v"))
+    present = [F.col(c).isNotNull() for c in [*keys, value]]
+    counts = (base.where(reduce(and_, present)).groupBy(*keys, F.col(value).alias("_v"))
               .agg(F.count(F.lit(1)).alias("_n")))
     cuts = [i / SPLITS for i in range(1, SPLITS)]
     sketch = counts.groupBy(*keys).agg(

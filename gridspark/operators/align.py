@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from gridspark.columns import CELL
 from gridspark.functions.calendar import forecast_run
 from gridspark.functions.ranking import time_ranks
+from gridspark.session import stored
 
 KEYS = ("time", *CELL)
 
@@ -19,11 +20,14 @@ def time_intersection(a: DataFrame, b: DataFrame, time: str = "time") -> DataFra
 
 
 def merge_on_time_intersection(a: DataFrame, b: DataFrame, on: Sequence[str] = KEYS) -> DataFrame:
-    """Both tables' variables at their common times and cells; no common time is an error."""
-    merged = a.join(b, list(on))
-    if merged.isEmpty():
+    """Both tables' variables at their common times and cells; no common time is an error.
+
+    The check reads the time columns only.
+    """
+    time = on[0]
+    if a.select(time).distinct().join(b.select(time).distinct(), time, "left_semi").isEmpty():
         raise ValueError("the tables have no time in common")
-    return merged
+    return a.join(b, list(on))
 
 
 def merge_variables(a: DataFrame, b: DataFrame, on: Sequence[str] = KEYS) -> DataFrame:
@@ -41,7 +45,9 @@ def merge_time_union(*parts: DataFrame, time: str = "time") -> DataFrame:
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
-    return out.repartitionByRange(time).sortWithinPartitions(time)
+    # cells of one time may lie in several partitions
+    order = [time, *[c for c in CELL if c in out.columns]]
+    return out.repartitionByRange(*order).sortWithinPartitions(*order)
 
 
 def append_purpose(**parts: DataFrame) -> DataFrame:
@@ -66,7 +72,7 @@ def climatology(df: DataFrame, value: str, by: Sequence[str] = CELL, out: str =
 
 def anomalies(df: DataFrame, clim: DataFrame, values: Sequence[str], on: Sequence[str] = CELL) -> DataFrame:
     """Values minus the climatology of their cell."""
-    joined = df.join(clim, list(on))
+    joined = df.join(stored(clim, "climatology"), list(on))
     return joined.withColumns({f"{v}_ano": F.col(v) - F.col("clim") for v in values})
 
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from gridspark.columns import CELL
 from gridspark.functions.calendar import season_of
 from gridspark.functions.quantiles import wide_quantiles
+from gridspark.session import stored
 
 
 def mean_std(df: DataFrame, value: str, by: Sequence[str] = ()) -> DataFrame:
@@ -53,7 +54,7 @@ def boxplot_stats(df: DataFrame, value: str, by: Sequence[str]) -> DataFrame:
     boxes = wide_quantiles(df, by, value, {"q1": 0.25, "median": 0.5, "q3": 0.75})
     reach = 1.5 * (F.col("q3") - F.col("q1"))
     v, lo, hi = F.col(value), F.col("q1") - reach, F.col("q3") + reach
-    joined = df.where(v.isNotNull()).join(boxes, list(by))
+    joined = df.where(v.isNotNull()).join(stored(boxes, "boxes"), list(by))
     return joined.groupBy(*by).agg(
         F.max("q1").alias("q1"), F.max("median").alias("median"), F.max("q3").alias("q3"),
         F.least(F.min(F.when(v >= lo, v)), F.max("q1")).alias("whisker_lo"),

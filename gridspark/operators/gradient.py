@@ -7,8 +7,13 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from gridspark.operators.grid import Grid
+
 EARTH_RADIUS = 6371.0e3
 
+# Fields up to this many cells are handled in one task.
+FIELD_CELLS = 2_000_000
+
 
 def centered_difference(value: Column, coord: Column, index: str, line: Sequence[str]) -> Column:
     """Second-order derivative along a possibly uneven coordinate, first order at both ends.
@@ -29,27 +34,38 @@ def centered_difference(value: Column, coord: Column, index: str, line: Sequence
             .when((has_up == i + 1) & (has_down == i - 1), inner))
 
 
-def gradient_amplitude(df: DataFrame, value: str, dlon: float, dlat: float, lat: str = "lat", lon: str = "lon",
-                       time: str = "time", si: bool = False, radius: float = EARTH_RADIUS,
-                       out: str = "grad") -> DataFrame:
-    """Amplitude of the gradient in each cell; ``dlon`` and ``dlat`` are the grid spacings in degrees.
+def by_field(df: DataFrame, grid: Grid | None, time: str) -> DataFrame:
+    """Bring each field together once, so that windows along both axes and sums per field share one shuffle.
+
+    Only where the grid shows that a field is small; otherwise the windows spread the lines of a field.
+    """
+    whole = grid is not None and grid.nx * grid.ny <= FIELD_CELLS
+    return df.repartition(time) if whole else df
+
+
+def gradient_amplitude(df: DataFrame, values: Sequence[str], dlon: float, dlat: float, lat: str = "lat",
+                       lon: str = "lon", time: str = "time", si: bool = False,
+                       radius: float = EARTH_RADIUS) -> DataFrame:
+    """Amplitude of the gradient of each variable in each cell, as ``grad_<var>``; ``dlon`` and ``dlat`` are
+    the grid spacings in degrees.
 
     The derivative per degree is divided by the spacing in metres; with ``si`` it is per metre instead.
     """
-    lon_c, lat_c = F.col(lon), F.col(lat)
     step_x, step_y = (F.radians(F.lit(1.0)),) * 2 if si else (F.radians(F.lit(dlon)), F.radians(F.lit(dlat)))
-    gx = centered_difference(F.col(value), lon_c, "ix", [time, "iy"]) / (radius * F.cos(F.radians(lat_c)) * step_x)
-    gy = centered_difference(F.col(value), lat_c, "iy", [time, "ix"]) / (radius * step_y)
-    return df.withColumn("_gx", gx).withColumn("_gy", gy).withColumn(
-        out, F.sqrt(F.col("_gx") ** 2 + F.col("_gy") ** 2)).drop("_gx", "_gy")
+    per_x, per_y = radius * F.cos(F.radians(lat)) * step_x, radius * step_y
+    # all variables along one axis before the other: one arrangement of the rows per axis
+    along_x = df.withColumns({f"_gx_{v}": centered_difference(F.col(v), F.col(lon), "ix", [time, "iy"]) / per_x
+                              for v in values})
+    both = along_x.withColumns({f"_gy_{v}": centered_difference(F.col(v), F.col(lat), "iy", [time, "ix"]) / per_y
+                                for v in values})
+    return both.withColumns({f"grad_{v}": F.sqrt(F.col(f"_gx_{v}") ** 2 + F.col(f"_gy_{v}") ** 2)
+                             for v in values}).drop(*[f"_g{a}_{v}" for a in "xy" for v in values])
 
 
 def spatial_gradient(df: DataFrame, values: Sequence[str], dlon: float, dlat: float, time: str = "time",
-                     **kw) -> DataFrame:
+                     grid: Grid | None = None, **kw) -> DataFrame:
     """Mean gradient amplitude of each variable per time."""
-    out = df
-    for v in values:
-        out = gradient_amplitude(out, v, dlon, dlat, time=time, out=f"grad_{v}", **kw)
+    out = gradient_amplitude(by_field(df, grid, time), values, dlon, dlat, time=time, **kw)
     return out.groupBy(time).agg(*[F.avg(f"grad_{v}").alias(f"grad_{v}") for v in values])
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gridspark.columns import CELL, require
+from gridspark.session import stored
 
 
 def zscore_stats(df: DataFrame, variables: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
@@ -39,7 +40,7 @@ def denormalized(value: Column, mu: Column, sigma: Column) -> Column:
 def _apply(df: DataFrame, stats: DataFrame, variables: Sequence[str], by: Sequence[str], formula) -> DataFrame:
     wide = stats_columns(stats, variables, by)
     if by:
-        joined = df.join(wide, list(by), "left")
+        joined = df.join(stored(wide, "statistics"), list(by), "left")
         cols = {v: formula(F.col(v), F.col(f"mu_{v}"), F.col(f"sigma_{v}")) for v in variables}
         return joined.withColumns(cols).select(*df.columns)
     row = wide.select(F.struct("*").alias("s")).scalar()

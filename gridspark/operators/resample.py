@@ -10,16 +10,18 @@ from pyspark.sql import functions as F
 from gridspark.functions.draws import draw_below, seeded_hash
 from gridspark.functions.quantiles import wide_quantiles
 from gridspark.functions.ranking import shuffled_ranks, time_ranks
+from gridspark.session import stored
 
 MIN_BLOCKS = 10
 
 
 def block_means(scores: DataFrame, values: Sequence[str], length: int, time: str = "time") -> DataFrame:
     """Means of consecutive blocks of ``length`` time steps; the incomplete last block is dropped."""
-    ranked = time_ranks(scores.select(time, *values), time)
+    # one row per time, needed twice
+    ranked = time_ranks(stored(scores.select(time, *values), "scores"), time)
     blocks = ranked.groupBy(F.floor((F.col("rn") - 1) / length).alias("iblock")).agg(
         *[F.avg(v).alias(v) for v in values], F.count(F.lit(1)).alias("_n"))
-    return blocks.where(F.col("_n") == length).drop("_n")
+    return stored(blocks.where(F.col("_n") == length).drop("_n"), "blocks")
 
 
 def bootstrap_draws(spark: SparkSession, nboots: int, n_blocks, seed: int = 42) -> DataFrame:
@@ -50,10 +52,11 @@ def bootstrap_ci(boots: DataFrame, value: str, probs: dict[str, float]) -> DataF
 
 def time_permutation(times: DataFrame, seed: int | str, time: str = "time", keys: Sequence[str] = ()) -> DataFrame:
     """Where each time step goes: ``(keys, time, time_to)``, one permutation per key."""
-    steps = times.select(*keys, time).distinct()
+    steps = stored(times.select(*keys, time).distinct(), "times")
     natural = time_ranks(steps, time, keys)
     shuffled = shuffled_ranks(steps, seed, [time], keys, salt=[F.col(k) for k in keys])
-    return shuffled.join(natural.withColumnRenamed(time, "time_to"), [*keys, "rn"]).select(*keys, time, "time_to")
+    moves = shuffled.join(natural.withColumnRenamed(time, "time_to"), [*keys, "rn"]).select(*keys, time, "time_to")
+    return stored(moves, "time-moves")
 
 
 def patch_permutation(spark: SparkSession, nx: int, ny: int, patch: tuple[int, int], seed: int | str,
@@ -70,9 +73,10 @@ def patch_permutation(spark: SparkSession, nx: int, ny: int, patch: tuple[int, i
     # the natural rank of a patch is its number
     moved = shuffled_ranks(ids, f"patch{seed}", ["pid"], names, salt=[F.col(k) for k in names])
     cols, to = nx // pw, F.col("rn") - 1
-    return moved.select(*names, F.floor(F.col("pid") / cols).cast("int").alias("py"),
+    moves = moved.select(*names, F.floor(F.col("pid") / cols).cast("int").alias("py"),
                         (F.col("pid") % cols).cast("int").alias("px"),
                         F.floor(to / cols).cast("int").alias("py_to"), (to % cols).cast("int").alias("px_to"))
+    return stored(moves, "patch-moves")
 
 
 def permute_time(df: DataFrame, seed: int | str, time: str = "time") -> DataFrame:

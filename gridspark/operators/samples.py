@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from gridspark.functions.draws import draw_below, hash_bucket, seeded_hash
 from gridspark.functions.ranking import row_numbers, shuffled_ranks, time_ranks
+from gridspark.session import stored
 
 
 def closest_divisor(n: Column, wanted: int) -> Column:
@@ -84,4 +85,4 @@ def shard(df: DataFrame, rank: int, size: int, time: str = "time") -> DataFrame:
     if not 0 <= rank < size:
         raise ValueError(f"rank {rank} is not below size {size}")
     mine = time_ranks(df.select(time).distinct(), time).where(F.pmod(F.col("rn") - 1, F.lit(size)) == rank)
-    return df.join(mine.select(time), time, "left_semi")
+    return df.join(stored(mine.select(time), "shard-times"), time, "left_semi")

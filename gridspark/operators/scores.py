@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gridspark.columns import CELL, require
-from gridspark.operators import contingency, gradient
+from gridspark.operators import contingency, distribution, gradient, seeps
 
 
 def _diff(fcst: str, ref: str) -> Column:
@@ -104,6 +104,8 @@ REGISTRY: dict[str, Callable[..., DataFrame]] = {
     "l1": lambda df, by=(), avg_dims=("time", *CELL), **kw: l1(df, avg_dims, **kw),
     "l2": lambda df, by=(), avg_dims=("time", *CELL), **kw: l2(df, avg_dims, **kw),
     "grad_amplitude": gradient.amplitude_ratio,
+    "seeps": lambda df, by=(), params=None, **kw: seeps.seeps(df, params, by, **kw),
+    "iqd": lambda df, by=(), **kw: distribution.iqd(df, **kw),
 }
 
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from gridspark.columns import CELL
 from gridspark.functions.quantiles import grouped_quantiles
+from gridspark.session import stored
 
 
 def seeps_weights(p1: Column, p3: Column) -> Column:
@@ -38,7 +39,7 @@ def seeps_climatology(df: DataFrame, value: str = "ref_", light: float = 5.0, on
     """
     strong = grouped_quantiles(df.where(F.col(value) > light), on, value, [2 / 3])
     strong = strong.select(*on, F.col("q").alias("t3"))
-    valued = df.where(F.col(value).isNotNull()).join(strong, list(on), "left")
+    valued = df.where(F.col(value).isNotNull()).join(stored(strong, "strong-thresholds"), list(on), "left")
     return valued.groupBy(*on).agg(
         F.avg((F.col(value) <= light).cast("double")).alias("p1"),
         F.avg((F.col(value) >= F.col("t3")).cast("double")).alias("p3"),
@@ -55,6 +56,6 @@ def seeps(df: DataFrame, params: DataFrame, by: Sequence[str] = (), on: Sequence
         return (v > F.col("t1")).cast("int") + (v >= F.col("t3")).cast("int")
 
     weighted = params.select(*on, "t1", "t3", seeps_weights(F.col("p1"), F.col("p3")).alias("_w"))
-    joined = df.join(weighted, list(on))
+    joined = df.join(stored(weighted, "seeps-weights"), list(on))
     idx = 3 * category(F.col(fcst)) + category(F.col(ref))
     return joined.groupBy(*by).agg(F.avg(1 - F.get("_w", idx)).alias("seeps"))

@@ -12,6 +12,7 @@ from gridspark.functions.calendar import extract_date, season_months
 from gridspark.functions.names import natural_key
 from gridspark.functions.ranking import row_numbers, time_ranks
 from gridspark.operators.grid import in_box
+from gridspark.session import stored
 
 # Lon and lat bounds of the default region in degrees.
 DEFAULT_BOX = (0.0, 30.0, 30.0, 60.0)
@@ -54,7 +55,7 @@ def sel_leadtime(df: DataFrame, first: int = 0, last: int = 11, lead: str = "lea
 def cap_samples(df: DataFrame, n: int, time: str = "time") -> DataFrame:
     """The cells of the first ``n`` distinct time steps."""
     first = time_ranks(df.select(time).distinct(), time).where(F.col("rn") <= n)
-    return df.join(first.select(time), time, "left_semi")
+    return df.join(stored(first.select(time), "first-times"), time, "left_semi")
 
 
 def drop_missing_zero(df: DataFrame, value: str, drop_zero: bool = True) -> DataFrame:
@@ -66,7 +67,7 @@ def complete_times(df: DataFrame, pieces: Sequence[str], n_pieces: int, time: st
     """Keep a time step only if all of its pieces are there."""
     whole = (df.select(time, *pieces).distinct().groupBy(time).agg(F.count(F.lit(1)).alias("n"))
              .where(F.col("n") == n_pieces))
-    return df.join(whole.select(time), time, "left_semi")
+    return df.join(stored(whole.select(time), "whole-times"), time, "left_semi")
 
 
 def start_cutoff(df: DataFrame, start: str, time: str = "time") -> DataFrame:
@@ -95,4 +96,4 @@ def sel_matching_coords(df: DataFrame, other: DataFrame, on: Sequence[str] = CEL
 
 def first_sample(df: DataFrame, time: str = "time") -> DataFrame:
     """The cells of the earliest time step."""
-    return df.join(df.agg(F.min(time).alias(time)), time, "left_semi")
+    return df.where(F.col(time) == df.agg(F.min(time)).scalar())

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from gridspark.columns import nan_to_null
+from gridspark.operators.gradient import by_field
 from gridspark.operators.grid import Grid
 from gridspark.operators.reshape import gather_fields
 
@@ -43,7 +44,7 @@ def detrend_field(df: DataFrame, value: str, nx: int, ny: int, time: str = "time
         slope = (F.last_value(v).over(w) - F.first_value(v).over(w)) / float(n - 1)
         return F.col(v) - 0.5 * slope * (2 * F.col(index) - n)
 
-    flat = df.withColumn("_dx", along(value, "ix", [time, "iy"], nx))
+    flat = by_field(df, Grid(nx, ny, 0.0, 1.0, 0.0, 1.0), time).withColumn("_dx", along(value, "ix", [time, "iy"], nx))
     return flat.withColumn(out, along("_dx", "iy", [time, "ix"], ny)).drop("_dx")
 
 

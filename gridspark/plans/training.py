@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from gridspark.operators.normalize import zscore_normalize, zscore_stats
 from gridspark.operators.reshape import cast_float32, select_vars
 from gridspark.operators.samples import minibatch
+from gridspark.session import stored
 
 
 def prepare_samples(df: DataFrame, mode: str, predictors: Sequence[str], predictands: Sequence[str],
@@ -28,4 +29,4 @@ def prepare_samples(df: DataFrame, mode: str, predictors: Sequence[str], predict
     normal = cast_float32(zscore_normalize(chosen, variables, stats), variables)
     batches = minibatch(df.select(group, time).distinct(), batch_size, seed, group, time,
                         drop_remainder=drop_remainder)
-    return normal.join(batches, [group, time]), stats
+    return normal.join(stored(batches, "batches"), [group, time]), stats

@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def build_session(app: str = "gridspark", master: str | None = None, **conf: str) -> SparkSession:
@@ -37,3 +37,15 @@ def scratch_dir(spark: SparkSession, label: str) -> str:
             raise RuntimeError("set spark.checkpoint.dir to a folder shared by all executors")
         base = tempfile.mkdtemp(prefix="gridspark-")
     return f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex}"
+
+
+def stored(df: DataFrame, label: str) -> DataFrame:
+    """A derived side table, written to the shared folder and read back.
+
+    For tables that are much smaller than the data they come from: they are computed once, outlive lost
+    executors, and their size is known when the join with the data is planned, so that Spark sends them to
+    the executors if they are small and shuffles both sides only if they are not.
+    """
+    path = scratch_dir(df.sparkSession, label)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -51,3 +51,17 @@ def read_grid(spark, path: str) -> Grid:
     """The grid of one description file."""
     row = parse_grids(spark.read.text(path)).first()
     return Grid(row["xsize"], row["ysize"], row["xfirst"], row["xinc"], row["yfirst"], row["yinc"])
+
+
+def description_lines(grids: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
+    """Grid descriptions as lines of text again: rows ``(keys, line, value)``."""
+    names = [c for c in grids.columns if c in VALID_KEYS]
+    lines = F.array(*[F.concat(F.lit(f"{n} = "), F.col(n).cast("string")) for n in names])
+    # a line is NULL where the description does not have the key
+    return grids.select(*keys, F.posexplode(lines).alias("line", "value")).where(F.col("value").isNotNull())
+
+
+def write_grids(grids: DataFrame, path: str, key: str) -> None:
+    """One folder of text per description."""
+    description_lines(grids, [key]).repartition(key).sortWithinPartitions(key, "line").select(key, "value").write.partitionBy(
+        key).text(path)

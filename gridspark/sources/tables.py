@@ -48,20 +48,19 @@ def with_month(df: DataFrame, time: str = "time") -> DataFrame:
     return df.withColumns({"year": F.year(time), "month": F.month(time)})
 
 
-def write_monthly(df: DataFrame, path: str, time: str = "time", mode: str = "errorifexists",
-                  files_per_month: int = 1) -> None:
+def write_monthly(df: DataFrame, path: str, time: str = "time", mode: str = "errorifexists") -> None:
     """One directory per year and month.
 
-    Rows of a month are spread over ``files_per_month`` tasks, so one very large month does not end up in one.
+    Months are rebalanced by their measured size: small ones share a task, a very large one is split.
     """
-    part = F.pmod(F.xxhash64(time, "iy", "ix"), F.lit(files_per_month))
-    (with_month(df, time).withColumn("_part", part).repartition("year", "month", "_part").drop("_part")
+    (with_month(df, time).hint("rebalance", "year", "month")
      .write.mode(mode).partitionBy("year", "month").parquet(path))
 
 
 def missing_months(df: DataFrame, existing: DataFrame, time: str = "time") -> DataFrame:
     """Rows of months that the existing table does not hold yet."""
-    done = existing.select("year", "month").distinct()
+    # twelve rows per year of the archive
+    done = F.broadcast(existing.select("year", "month").distinct())
     return with_month(df, time).join(done, ["year", "month"], "left_anti").drop("year", "month")
 
 

@@ -117,6 +117,9 @@ def test_grid_text(spark, tmp_path):
     path.write_text("#\n gridtype = lonlat\nxsize=128\nysize = 96\nxfirst = 3.5\nxinc = 0.25\n"
                     "yfirst = 40\nyinc = -0.25\nnote = a = b\n")
     assert griddes.read_grid(spark, str(path)) == Grid(128, 96, 3.5, 0.25, 40.0, -0.25)
+    grids = griddes.parse_grids(spark.read.text(str(path)).withColumn("name", F.lit("a")), keys=["name"])
+    griddes.write_grids(grids, str(tmp_path / "out"), "name")
+    assert griddes.read_grid(spark, str(tmp_path / "out" / "name=a")) == Grid(128, 96, 3.5, 0.25, 40.0, -0.25)
     bad = spark.createDataFrame([("xsize = 1",), ("colour = blue",)], "value string")
     with pytest.raises(Exception, match="colour"):
         griddes.parse_grids(bad).collect()
