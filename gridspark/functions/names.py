@@ -13,9 +13,9 @@ def basename(path: Column) -> Column:
     return F.element_at(F.split(path, "/"), -1)
 
 
-def natural_key(path: Column) -> Column:
-    """First integer in the base name, so that file 10 comes after file 9."""
-    return F.regexp_extract(basename(path), r"\d+", 0).try_cast("bigint")
+def natural_key(path: Column, position: int = 0) -> Column:
+    """First (or a later) integer in the base name, so that file 10 comes after file 9."""
+    return F.get(F.regexp_extract_all(basename(path), F.lit(r"(\d+)"), F.lit(1)), F.lit(position)).try_cast("bigint")
 
 
 def experiment_id(path: Column) -> Column:

@@ -39,3 +39,12 @@ def shuffled_ranks(df: DataFrame, seed: int | str, on: Sequence[str], keys: Sequ
     hashed = df.withColumn("_hash", seeded_hash(seed, *salt, *[F.col(c) for c in on]))
     ranked = row_numbers(hashed, hash_bucket(F.col("_hash")), [F.col("_hash"), *[F.col(c) for c in on]], keys, out)
     return ranked.drop("_hash")
+
+
+def count_up(df: DataFrame, n: Column, out: str, chunk: int = 10_000) -> DataFrame:
+    """One row per integer ``0 .. n-1`` of each row, without ever holding all of them in one array."""
+    last = (n - 1).cast("bigint")
+    parts = df.withColumn("_last", last).where(F.col("_last") >= 0).withColumn(
+        "_from", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("_last"), F.lit(chunk).cast("bigint"))))
+    until = F.least(F.col("_from") + chunk - 1, F.col("_last"))
+    return parts.withColumn(out, F.explode(F.sequence(F.col("_from"), until))).drop("_last", "_from")

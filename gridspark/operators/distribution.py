@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gridspark.functions.quantiles import wide_quantiles
+from gridspark.functions.ranking import count_up
 
 # Integration nodes for precipitation by accumulation hours (one, two to six, more).
 NODES_1H = [0.0, 0.005, 0.01, 0.015, 0.025, 0.04, 0.06, 0.08, 0.1, 0.13, 0.16, 0.2, 0.25, 0.3, 0.4, 0.5, 0.6,
@@ -113,7 +114,6 @@ def conditional_quantiles(df: DataFrame, factorization: str = "calibration_refin
     span = df.agg(F.least(F.floor(F.min(cond)), F.floor(F.min(target))).alias("lo"),
                   F.greatest(F.ceil(F.max(cond)), F.ceil(F.max(target))).alias("hi"),
                   F.ceil(F.max(cond)).alias("top"))
-    panel = span.where(F.col("hi") > F.col("lo")).select(
-        F.explode(F.sequence("lo", F.col("hi") - 1)).alias("bin"), "top")
+    panel = count_up(span, F.col("hi") - F.col("lo"), "_i").select((F.col("lo") + F.col("_i")).alias("bin"), "top")
     kept = [F.when(F.col("bin") < F.col("top"), F.col(n)).alias(n) for n in names]
     return panel.join(per_bin, "bin", "left").select((F.col("bin") + 0.5).alias("bin_center"), *kept)

@@ -56,8 +56,7 @@ def permuted_inputs(df: DataFrame, predictors: Sequence[str], nx: int, ny: int,
     names = F.array(*[F.lit(p) for p in predictors])
     times = df.select(time).distinct().withColumn("predictor", F.explode(names))
     time_moves = time_permutation(times, seed, time, ["predictor"])
-    name_rows = df.sparkSession.createDataFrame([(p,) for p in predictors], "predictor string")
-    patch_moves = patch_permutation(df.sparkSession, nx, ny, patch, seed, name_rows)
+    patch_moves = patch_permutation(df.sparkSession, nx, ny, patch, seed, predictors)
     long = df.unpivot([time, *CELL], list(predictors), "predictor", "_value")
     moved = long.join(time_moves, ["predictor", time]).withColumn(time, F.col("time_to")).drop("time_to")
     moved = move_patches(moved, patch_moves, patch, ["predictor"])

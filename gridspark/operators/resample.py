@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from gridspark.functions.draws import draw_below, seeded_hash
 from gridspark.functions.quantiles import wide_quantiles
-from gridspark.functions.ranking import shuffled_ranks, time_ranks
+from gridspark.functions.ranking import count_up, shuffled_ranks, time_ranks
 from gridspark.session import stored
 
 MIN_BLOCKS = 10
@@ -27,7 +27,7 @@ def block_means(scores: DataFrame, values: Sequence[str], length: int, time: str
 def bootstrap_draws(spark: SparkSession, nboots: int, n_blocks, seed: int = 42) -> DataFrame:
     """Which blocks each replicate takes: rows ``(iboot, slot, iblock)``, made where they are used."""
     boots = spark.range(nboots).select(F.col("id").alias("iboot"), n_blocks.alias("_n"))
-    slots = boots.withColumn("slot", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("_n") - 1)))
+    slots = count_up(boots, F.col("_n"), "slot")
     return slots.select("iboot", "slot", draw_below(seeded_hash(seed, F.col("iboot"), F.col("slot")),
                                                     F.col("_n")).alias("iblock"))
 
@@ -60,20 +60,20 @@ def time_permutation(times: DataFrame, seed: int | str, time: str = "time", keys
 
 
 def patch_permutation(spark: SparkSession, nx: int, ny: int, patch: tuple[int, int], seed: int | str,
-                      keys: DataFrame | None = None, key: str = "predictor") -> DataFrame:
-    """Where each patch of the grid goes: ``([key], py, px, py_to, px_to)``; sizes must divide."""
+                      names: Sequence[str] | None = None, key: str = "predictor") -> DataFrame:
+    """Where each patch of the grid goes: ``([key], py, px, py_to, px_to)``, one permutation per name; sizes
+    must divide."""
     ph, pw = patch
     if ny % ph or nx % pw:
         raise ValueError(f"a {ny}x{nx} grid cannot be cut into {ph}x{pw} patches")
     n = (ny // ph) * (nx // pw)
-    names: list[str] = [] if keys is None else [key]
-    ids = spark.range(n).select(F.col("id").alias("pid")) if keys is None else \
-        keys.select(key).withColumn("pid", F.explode(F.sequence(F.lit(0), F.lit(n - 1)))).withColumn(
-            "pid", F.col("pid").cast("bigint"))
+    ids, keys = spark.range(n).withColumnRenamed("id", "pid"), []
+    if names is not None:
+        ids, keys = ids.withColumn(key, F.explode(F.array(*[F.lit(x) for x in names]))), [key]
     # the natural rank of a patch is its number
-    moved = shuffled_ranks(ids, f"patch{seed}", ["pid"], names, salt=[F.col(k) for k in names])
+    moved = shuffled_ranks(ids, f"patch{seed}", ["pid"], keys, salt=[F.col(k) for k in keys])
     cols, to = nx // pw, F.col("rn") - 1
-    moves = moved.select(*names, F.floor(F.col("pid") / cols).cast("int").alias("py"),
+    moves = moved.select(*keys, F.floor(F.col("pid") / cols).cast("int").alias("py"),
                         (F.col("pid") % cols).cast("int").alias("px"),
                         F.floor(to / cols).cast("int").alias("py_to"), (to % cols).cast("int").alias("px_to"))
     return stored(moves, "patch-moves")

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gridspark.functions.draws import draw_below, hash_bucket, seeded_hash
-from gridspark.functions.ranking import row_numbers, shuffled_ranks, time_ranks
+from gridspark.functions.ranking import count_up, row_numbers, shuffled_ranks, time_ranks
 from gridspark.session import stored
 
 
@@ -41,8 +41,7 @@ def pad_groups(samples: DataFrame, group: str = "group_id", time: str = "time",
                .withColumn("missing", F.col("full") - F.col("n")).where(F.col("missing") > 0))
     room = F.greatest(F.col("n") - F.col("missing"), F.lit(0)) + 1
     start = draw_below(seeded_hash(seed, F.col(group)), room)
-    slots = (missing.withColumn("start", start)
-             .withColumn("j", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("missing") - 1)))
+    slots = (count_up(missing.withColumn("start", start), F.col("missing"), "j")
              .withColumn("rn", (F.col("start") + F.col("j")) % F.col("n") + 1))
     copies = slots.join(ranked.withColumnRenamed(time, "source_time"), [group, "rn"]).select(
         group, (F.col("last") + F.expr(step) * (F.col("j") + 1)).cast("timestamp_ntz").alias(time),

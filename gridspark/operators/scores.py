@@ -112,5 +112,5 @@ REGISTRY: dict[str, Callable[..., DataFrame]] = {
 def score(df: DataFrame, name: str, by: Sequence[str] = (), **options) -> DataFrame:
     """A score by name, retained per ``by``; an unknown name is an error that lists the known ones."""
     if name not in REGISTRY:
-        raise ValueError(f"{name} is not an implemented score, choose one of: {', '.join(REGISTRY)}")
+        raise ValueError(f"unknown score '{name}', known: {', '.join(REGISTRY)}")
     return REGISTRY[name](df, by, **options)

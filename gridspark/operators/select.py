@@ -84,9 +84,12 @@ def subset_files_on_date(df: DataFrame, value: int, name: str = "fname", part: s
 
 
 def natural_order(df: DataFrame, name: str = "fname") -> DataFrame:
-    """Position of each file when sorted by the first integer of its name."""
-    keyed = df.withColumn("order_key", natural_key(F.col(name)))
-    return row_numbers(keyed, F.floor(F.col("order_key") / 100), [F.col("order_key"), F.col(name)], out="pos")
+    """Position of each file when sorted by the first integer of its name; equal ones are sorted by the second
+    integer and then by name."""
+    keyed = df.withColumns({"order_key": natural_key(F.col(name)), "_second": natural_key(F.col(name), 1)})
+    bucket = F.struct("order_key", F.floor(F.col("_second") / 1000))
+    ranked = row_numbers(keyed, bucket, [F.col("order_key"), F.col("_second"), F.col(name)], out="pos")
+    return ranked.drop("_second")
 
 
 def sel_matching_coords(df: DataFrame, other: DataFrame, on: Sequence[str] = CELL) -> DataFrame:

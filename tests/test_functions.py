@@ -122,3 +122,19 @@ def test_columns(spark):
     assert missing_names(["a", "b"], ["c", "b", "a", "d"]) == ["c", "d"]
     with pytest.raises(ValueError):
         coordinate(df, ("rlat", "lat"))
+
+
+def test_count_up_in_small_chunks(spark):
+    from gridspark.functions.ranking import count_up
+
+    df = spark.createDataFrame([("a", 7), ("b", 0), ("c", 3)], "k string, n int")
+    rows = count_up(df, F.col("n"), "i", chunk=3).collect()
+    assert sorted((r.k, r.i) for r in rows) == [("a", i) for i in range(7)] + [("c", i) for i in range(3)]
+
+
+def test_natural_order_with_one_first_integer_for_all(spark):
+    from gridspark.operators.select import natural_order
+
+    files = spark.createDataFrame([(f"era5_{i}.nc",) for i in range(3000, 0, -1)] + [("first.nc",)], "fname string")
+    got = {r.fname: r.pos for r in natural_order(files).collect()}
+    assert got["first.nc"] == 1 and all(got[f"era5_{i}.nc"] == i + 1 for i in range(1, 3001))
