@@ -26,11 +26,10 @@ def merge_time_union(spark, sf_dir):
 
 
 @query("time_intersection", f"""
-SELECT {sts()} AS time FROM (SELECT time FROM D WHERE iy = 0 AND ix = 0 INTERSECT SELECT time FROM D WHERE iy = 2 AND ix = 3) D""")
+SELECT {sts('x.time')} AS time FROM (SELECT time FROM D INTERSECT SELECT o_orderdate FROM orders) x""")
 def time_intersection(spark, sf_dir):
-    d = view_d(spark, sf_dir)
-    both = align.time_intersection(d.where("iy = 0 AND ix = 0"), d.where("iy = 2 AND ix = 3"))
-    return both.select(ts().alias("time"))
+    orders = table(spark, sf_dir, "orders").select(F.col("o_orderdate").alias("time"))
+    return align.time_intersection(view_d(spark, sf_dir), orders).select(ts().alias("time"))
 
 
 @query("missing_names", """

@@ -40,6 +40,15 @@ def scan_multifile(spark: SparkSession, paths: Sequence[str], columns: Sequence[
     return nan_to_null(df.select(*columns) if columns else df)
 
 
+def list_files(spark: SparkSession, folder: str, pattern: str = "*.parquet") -> DataFrame:
+    """Names and sizes of the files of a folder, without reading them; none at all is an error."""
+    files = (spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", True)
+             .load(folder).select("path", "length"))
+    if files.isEmpty():
+        raise FileNotFoundError(f"no files like '{pattern}' under '{folder}'")
+    return files
+
+
 def write_compressed(df: DataFrame, path: str, codec: str = "zstd") -> None:
     df.write.option("compression", codec).parquet(path)
 
