@@ -9,47 +9,66 @@ from operator import and_
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-SPLITS = 32
+from gridspark.session import stored
+
+ACCURACY = 2000
+EVEN_CUTS = 16
+# Distances from a wanted probability at which the values are cut, too.
+NEAR = (0.002, 0.02)
+
+
+def _cut_points(probs: Sequence[float]) -> list[float]:
+    near = {p + s * d for p in probs for d in NEAR for s in (-1, 1)}
+    even = {i / EVEN_CUTS for i in range(1, EVEN_CUTS)}
+    return sorted(p for p in near | even if 0 < p < 1)
 
 
 def grouped_quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: Sequence[float]) -> DataFrame:
     """Linearly interpolated quantiles per key as rows ``(keys, prob, q)``.
 
-    Equal values are counted together first.  A bounded sketch then cuts each key's distinct values into
-    ordered buckets; bucket totals tell which buckets hold the wanted ranks, and only those are sorted.
-    A key with a third of all rows is so spread over many tasks, and the result stays exact.  Rows with a
-    missing key or value are left out.
+    A bounded sketch cuts the values of each key into ordered buckets, narrow ones around the wanted
+    probabilities.  The exact number of rows per bucket tells in which ones the wanted ranks lie; only the
+    values of those are counted and sorted.  The data are read three times but neither shuffled nor sorted as
+    a whole, and the result is exact however rough the sketch is.  Rows with a missing key or value are left
+    out.  The first two steps run when the function is called.
     """
-    keys = list(keys) or ["_all"]
-    base = df if "_all" not in keys else df.withColumn("_all", F.lit(0))
-    present = [F.col(c).isNotNull() for c in [*keys, value]]
-    counts = (base.where(reduce(and_, present)).groupBy(*keys, F.col(value).alias("_v"))
-              .agg(F.count(F.lit(1)).alias("_n")))
-    cuts = [i / SPLITS for i in range(1, SPLITS)]
-    sketch = counts.groupBy(*keys).agg(
-        F.array_distinct(F.percentile_approx("_v", cuts, 1000)).alias("_cuts"), F.sum("_n").alias("_total"))
-    placed = counts.join(sketch, keys).withColumn(
-        "_b", F.size(F.filter("_cuts", lambda c: c < F.col("_v"))))
-    before = Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    wanted = F.array(*[F.struct(F.lit(float(p)).alias("prob"),
-                                (F.lit(float(p)) * (F.col("_total") - 1)).alias("pos")) for p in probs])
-    starts = (placed.groupBy(*keys, "_b").agg(F.sum("_n").alias("_size"), F.max("_total").alias("_total"))
-              .withColumn("_start", F.coalesce(F.sum("_size").over(before), F.lit(0)))
-              .withColumn("_want", F.filter(wanted, lambda w: (F.ceil(w["pos"]) >= F.col("_start"))
-                                            & (F.floor(w["pos"]) < F.col("_start") + F.col("_size"))))
-              .where(F.size("_want") > 0).select(*keys, "_b", "_start", "_want"))
-    upto = Window.partitionBy(*keys, "_b").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
-    ranked = (placed.select(*keys, "_b", "_v", "_n").join(starts, [*keys, "_b"])
-              .withColumn("_end", F.col("_start") + F.sum("_n").over(upto))
-              .select(*keys, "_v", "_n", "_end", F.explode("_want").alias("_w"))
-              .select(*keys, "_v", "_w.prob", "_w.pos", "_end", (F.col("_end") - F.col("_n")).alias("_from")))
+    keyed = list(keys) or ["_all"]
+    base = df if keys else df.withColumn("_all", F.lit(0))
+    rows = base.select(*keyed, F.col(value).cast("double").alias("_v")).where(
+        reduce(and_, [F.col(c).isNotNull() for c in [*keyed, "_v"]]))
+
+    sketch = stored(rows.groupBy(*keyed).agg(
+        F.array_distinct(F.percentile_approx("_v", _cut_points(probs), ACCURACY)).alias("_cuts"),
+        F.count(F.lit(1)).alias("_total")), "sketch")
+    bucket = F.size(F.filter("_cuts", lambda c: c < F.col("_v"))).alias("_b")
+    sizes = rows.join(sketch, keyed).groupBy(*keyed, bucket).agg(F.count(F.lit(1)).alias("_size"))
+
+    before = Window.partitionBy(*keyed).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    ranks = F.array(*[F.struct(F.lit(float(p)).alias("prob"), (F.lit(float(p)) * (F.col("_total") - 1)).alias("pos"))
+                      for p in probs])
+    starts = sizes.withColumn("_start", F.coalesce(F.sum("_size").over(before), F.lit(0))).join(sketch, keyed)
+    wanted = F.filter(ranks, lambda w: (F.ceil(w["pos"]) >= F.col("_start"))
+                      & (F.floor(w["pos"]) < F.col("_start") + F.col("_size")))
+    buckets = stored(starts.withColumn("_want", wanted).where(F.size("_want") > 0).select(
+        *keyed, "_b", F.get("_cuts", F.col("_b") - 1).alias("_above"), F.get("_cuts", F.col("_b")).alias("_upto"),
+        "_start", "_want"), "buckets")
+
+    above = F.col("_above").isNull() | (F.col("_v") > F.col("_above"))
+    upto = F.col("_upto").isNull() | (F.col("_v") <= F.col("_upto"))
+    counts = (rows.join(buckets.select(*keyed, "_b", "_above", "_upto"), keyed).where(above & upto)
+              .groupBy(*keyed, "_b", "_v").agg(F.count(F.lit(1)).alias("_n")))
+    so_far = Window.partitionBy(*keyed, "_b").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
+    ranked = (counts.join(buckets.select(*keyed, "_b", "_start", "_want"), [*keyed, "_b"])
+              .withColumn("_end", F.col("_start") + F.sum("_n").over(so_far))
+              .select(*keyed, "_v", "_n", "_end", F.explode("_want").alias("_w"))
+              .select(*keyed, "_v", "_w.prob", "_w.pos", "_end", (F.col("_end") - F.col("_n")).alias("_from")))
     low = F.floor("pos").between(F.col("_from"), F.col("_end") - 1)
     high = F.ceil("pos").between(F.col("_from"), F.col("_end") - 1)
-    picked = (ranked.where(low | high).groupBy(*keys, "prob")
+    picked = (ranked.where(low | high).groupBy(*keyed, "prob")
               .agg(F.max(F.when(low, F.col("_v"))).alias("_lo"), F.max(F.when(high, F.col("_v"))).alias("_hi"),
                    F.max(F.col("pos") - F.floor("pos")).alias("_t")))
     q = F.col("_lo") + (F.col("_hi") - F.col("_lo")) * F.col("_t")
-    return picked.select(*[k for k in keys if k != "_all"], "prob", q.alias("q"))
+    return picked.select(*keys, "prob", q.alias("q"))
 
 
 def wide_quantiles(df: DataFrame, keys: Sequence[str], value: str, named: dict[str, float]) -> DataFrame:
