@@ -9,7 +9,7 @@ from gridspark.catalog.q_reshape import STIME, _out
 from gridspark.catalog.registry import query, r, rd, sts, ts
 from gridspark.operators import align, contingency, distribution, evaluate, losses, normalize, scores, seeps
 from gridspark.plans.verify import verification_table
-from gridspark.session import scratch_dir
+from gridspark.session import scratch_dir, stored
 
 VARS = ["t_in", "p_in", "t_tar"]
 
@@ -144,14 +144,14 @@ WEIGHTS = """SELECT iy, ix, t1, t3, unnest(range(9)) AS idx, unnest([CASE WHEN p
 @query("seeps_climatology", f"""WITH K AS ({CLIM})
 SELECT iy, ix, {r('p1')} AS p1, {r('p3')} AS p3, {r('t1')} AS t1, {r('t3')} AS t3 FROM K""")
 def seeps_climatology(spark, sf_dir):
-    df = seeps.seeps_climatology(view_h(spark, sf_dir))
+    df = seeps.seeps_climatology(stored(view_h(spark, sf_dir), "verification"))
     return df.select("iy", "ix", *[rd(c).alias(c) for c in ("p1", "p3", "t1", "t3")])
 
 
 @query("seeps_matrix", f"""WITH K AS ({CLIM}), W AS ({WEIGHTS})
 SELECT iy, ix, CAST(idx AS INT) AS idx, {r('w')} AS w FROM W""")
 def seeps_matrix(spark, sf_dir):
-    df = seeps.seeps_matrix(seeps.seeps_climatology(view_h(spark, sf_dir)))
+    df = seeps.seeps_matrix(seeps.seeps_climatology(stored(view_h(spark, sf_dir), "verification")))
     return df.select("iy", "ix", "idx", rd("w").alias("w"))
 
 
@@ -160,7 +160,7 @@ SELECT {sts('h.time')} AS time, {r('avg(1 - w.w)')} AS seeps FROM H h JOIN W w O
   AND w.idx = 3 * (CAST(h.fcst > t1 AS INT) + CAST(h.fcst >= t3 AS INT)) + CAST(h.ref_ > t1 AS INT) + CAST(h.ref_ >= t3 AS INT)
 GROUP BY h.time""")
 def score_seeps(spark, sf_dir):
-    h = view_h(spark, sf_dir)
+    h = stored(view_h(spark, sf_dir), "verification")
     df = seeps.seeps(h, seeps.seeps_climatology(h), ["time"])
     return df.select(ts().alias("time"), rd("seeps").alias("seeps"))
 
@@ -203,7 +203,7 @@ def _panel_sql(label: str, cond: str, target: str) -> str:
 @query("conditional_quantiles", _panel_sql("calibration_refinement", "fcst", "ref_") + " UNION ALL "
        + _panel_sql("likelihood-base_rate", "ref_", "fcst"))
 def conditional_quantiles(spark, sf_dir):
-    h = view_h(spark, sf_dir)
+    h = stored(view_h(spark, sf_dir), "verification")
     parts = [distribution.conditional_quantiles(h, f).withColumn("factorization", F.lit(f))
              for f in ("calibration_refinement", "likelihood-base_rate")]
     return parts[0].unionByName(parts[1]).select(
@@ -308,7 +308,7 @@ SELECT cell, {r('max(q1)')} AS q1, {r('max(median)')} AS median, {r('max(q3)')}
   {r('min(v) FILTER (WHERE v >= lo)')} AS whisker_lo, {r('max(v) FILTER (WHERE v <= hi)')} AS whisker_hi,
   {r('max(v) FILTER (WHERE v < lo OR v > hi)')} AS outlier_max FROM J GROUP BY cell""")
 def boxplot_stats(spark, sf_dir):
-    df = evaluate.boxplot_stats(view_h(spark, sf_dir), "ref_", ["cell"])
+    df = evaluate.boxplot_stats(stored(view_h(spark, sf_dir), "verification"), "ref_", ["cell"])
     return df.select("cell", *[rd(c).alias(c) for c in
                                ("q1", "median", "q3", "whisker_lo", "whisker_hi", "outlier_max")])
 

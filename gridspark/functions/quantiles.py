@@ -37,38 +37,33 @@ def grouped_quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: Seq
     rows = base.select(*keyed, F.col(value).cast("double").alias("_v")).where(
         reduce(and_, [F.col(c).isNotNull() for c in [*keyed, "_v"]]))
 
+    cuts = ", ".join(f"{c!r}D" for c in _cut_points(probs))
     sketch = stored(rows.groupBy(*keyed).agg(
-        F.array_distinct(F.percentile_approx("_v", _cut_points(probs), ACCURACY)).alias("_cuts"),
+        F.expr(f"array_distinct(percentile_approx(_v, array({cuts}), {ACCURACY}))").alias("_cuts"),
         F.count(F.lit(1)).alias("_total")), "sketch")
-    bucket = F.size(F.filter("_cuts", lambda c: c < F.col("_v"))).alias("_b")
+    bucket = F.expr("size(filter(_cuts, c -> c < _v))").alias("_b")
     sizes = rows.join(sketch, keyed).groupBy(*keyed, bucket).agg(F.count(F.lit(1)).alias("_size"))
 
     before = Window.partitionBy(*keyed).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    ranks = F.array(*[F.struct(F.lit(float(p)).alias("prob"), (F.lit(float(p)) * (F.col("_total") - 1)).alias("pos"))
-                      for p in probs])
+    ranks = ", ".join(f"struct({float(p)!r}D AS prob, {float(p)!r}D * (_total - 1) AS pos)" for p in probs)
     starts = sizes.withColumn("_start", F.coalesce(F.sum("_size").over(before), F.lit(0))).join(sketch, keyed)
-    wanted = F.filter(ranks, lambda w: (F.ceil(w["pos"]) >= F.col("_start"))
-                      & (F.floor(w["pos"]) < F.col("_start") + F.col("_size")))
-    buckets = stored(starts.withColumn("_want", wanted).where(F.size("_want") > 0).select(
-        *keyed, "_b", F.get("_cuts", F.col("_b") - 1).alias("_above"), F.get("_cuts", F.col("_b")).alias("_upto"),
-        "_start", "_want"), "buckets")
+    wanted = starts.selectExpr(
+        *keyed, "_b", "get(_cuts, _b - 1) AS _above", "get(_cuts, _b) AS _upto", "_start",
+        f"filter(array({ranks}), w -> ceil(w.pos) >= _start AND floor(w.pos) < _start + _size) AS _want")
+    buckets = stored(wanted.where("size(_want) > 0"), "buckets")
 
-    above = F.col("_above").isNull() | (F.col("_v") > F.col("_above"))
-    upto = F.col("_upto").isNull() | (F.col("_v") <= F.col("_upto"))
-    counts = (rows.join(buckets.select(*keyed, "_b", "_above", "_upto"), keyed).where(above & upto)
+    counts = (rows.join(buckets.select(*keyed, "_b", "_above", "_upto"), keyed)
+              .where("(_above IS NULL OR _v > _above) AND (_upto IS NULL OR _v <= _upto)")
               .groupBy(*keyed, "_b", "_v").agg(F.count(F.lit(1)).alias("_n")))
     so_far = Window.partitionBy(*keyed, "_b").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
     ranked = (counts.join(buckets.select(*keyed, "_b", "_start", "_want"), [*keyed, "_b"])
               .withColumn("_end", F.col("_start") + F.sum("_n").over(so_far))
-              .select(*keyed, "_v", "_n", "_end", F.explode("_want").alias("_w"))
-              .select(*keyed, "_v", "_w.prob", "_w.pos", "_end", (F.col("_end") - F.col("_n")).alias("_from")))
-    low = F.floor("pos").between(F.col("_from"), F.col("_end") - 1)
-    high = F.ceil("pos").between(F.col("_from"), F.col("_end") - 1)
-    picked = (ranked.where(low | high).groupBy(*keyed, "prob")
-              .agg(F.max(F.when(low, F.col("_v"))).alias("_lo"), F.max(F.when(high, F.col("_v"))).alias("_hi"),
-                   F.max(F.col("pos") - F.floor("pos")).alias("_t")))
-    q = F.col("_lo") + (F.col("_hi") - F.col("_lo")) * F.col("_t")
-    return picked.select(*keys, "prob", q.alias("q"))
+              .selectExpr(*keyed, "_v", "_end - _n AS _from", "_end - 1 AS _last", "inline(_want)"))
+    low, high = (f"{f}(pos) BETWEEN _from AND _last" for f in ("floor", "ceil"))
+    picked = ranked.where(f"({low}) OR ({high})").groupBy(*keyed, "prob").agg(
+        F.expr(f"max(CASE WHEN {low} THEN _v END)").alias("_lo"),
+        F.expr(f"max(CASE WHEN {high} THEN _v END)").alias("_hi"), F.expr("max(pos - floor(pos))").alias("_t"))
+    return picked.selectExpr(*keys, "prob", "_lo + (_hi - _lo) * _t AS q")
 
 
 def wide_quantiles(df: DataFrame, keys: Sequence[str], value: str, named: dict[str, float]) -> DataFrame:
