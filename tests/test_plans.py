@@ -78,3 +78,11 @@ def test_listing_reads_no_content(spark, fields):
     assert select.natural_order(files.withColumnRenamed("path", "fname")).agg(F.max("pos")).first()[0] == 3
     with pytest.raises(FileNotFoundError):
         tables.list_files(spark, path, "*.nc")
+
+
+def test_quantiles_sort_only_what_two_broadcasts_let_through(fields):
+    from gridspark.functions.quantiles import grouped_quantiles
+
+    text = plan(grouped_quantiles(fields.withColumn("k", F.col("ix") % 3), ["k"], "fcst", [0.5]))
+    before_first_shuffle = text.split("Exchange hashpartitioning")[-1]
+    assert "BroadcastHashJoin [k" in before_first_shuffle and "SortMergeJoin" not in text

@@ -217,3 +217,14 @@ def test_results_do_not_depend_on_partitions(spark, make_fields, n):
         assert [r.q50 for r in got if r.bin_center == 1.5] == [pytest.approx(np.median(inside))]
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
+def test_registry_knows_every_score(make_fields):
+    f, o = np.random.default_rng(9).gamma(1, 3, size=(2, 8, 8, 8))
+    df = make_fields(GRID, fcst=f, ref_=o)
+    options = {"seeps": {"params": seeps.seeps_climatology(df, light=0.5)}, "ets": {"thresh": 2.0},
+               "grad_amplitude": {"dlon": 0.5, "dlat": 0.5},
+               "acc": {"fcst": "fcst", "ref": "ref_"}}
+    for name in scores.REGISTRY:
+        out = scores.score(df, name, ["time"] if name not in ("l1", "l2", "iqd") else (), **options.get(name, {}))
+        assert out.columns[-1] in (name, "complete") and out.count() == (1 if name in ("l1", "l2", "iqd") else 8)
