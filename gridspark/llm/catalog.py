@@ -5,19 +5,36 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from gridspark.llm import quality
+from gridspark.llm import pieces, quality
 from gridspark.llm.words import documents
 
 Build = Callable[[SparkSession, str], DataFrame]
 
 
+def piece_model_path() -> str:
+    """The installed public model of the merge type; ``pieces`` takes any path."""
+    import public_tokenizers
+
+    return public_tokenizers.path("piece_bpe_32k.model")
+
+
+def op1_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = piece_model_path()
+    encoded = pieces.encode(documents(spark, sf_dir), path, carry=["doc_id"])
+    decoded = pieces.decode(encoded, path)
+    return decoded.select("doc_id", (F.length("piece_ids") / 4).cast("bigint").alias("n_tokens"),
+                          F.sha2("piece_ids", 256).alias("ids_sha256"),
+                          F.sha2(F.col("piece_text").cast("binary"), 256).alias("decoded_sha256"))
+
+
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = quality.judge(documents(spark, sf_dir))
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept",
                          "failed_rules")
 
 
-QUERIES: dict[str, Build] = {q.__name__: q for q in (op7_quality_rules,)}
+QUERIES: dict[str, Build] = {q.__name__: q for q in (op1_pieces, op7_quality_rules)}
 
 SQL: dict[str, str] = {"op7_quality_rules": quality.oracle_sql()}
