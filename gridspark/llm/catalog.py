@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridspark.llm import licenses, mixing, pieces, quality
+from gridspark.llm import licenses, mixing, neardup, pieces, quality
 from gridspark.llm.words import documents
 
 Build = Callable[[SparkSession, str], DataFrame]
@@ -29,6 +29,10 @@ def op1_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
                           F.sha2(F.col("piece_text").cast("binary"), 256).alias("decoded_sha256"))
 
 
+def op2_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicates(documents(spark, sf_dir))
+
+
 def op4_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(documents(spark, sf_dir)).select(
         "doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score")
@@ -44,6 +48,6 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.taken(documents(spark, sf_dir))
 
 
-QUERIES: dict[str, Build] = {q.__name__: q for q in (op1_pieces, op4_licenses, op7_quality_rules, op10_mixing)}
+QUERIES: dict[str, Build] = {q.__name__: q for q in (op1_pieces, op2_near_duplicates, op4_licenses, op7_quality_rules, op10_mixing)}
 
-SQL: dict[str, str] = {"op4_licenses": licenses.oracle_sql(), "op7_quality_rules": quality.oracle_sql()}
+SQL: dict[str, str] = {"op2_near_duplicates": neardup.ORACLE_SQL, "op4_licenses": licenses.oracle_sql(), "op7_quality_rules": quality.oracle_sql()}
