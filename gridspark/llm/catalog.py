@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridspark.llm import licenses, mixing, neardup, pieces, quality
-from gridspark.llm.words import documents
+from gridspark.llm import language, licenses, mixing, neardup, pieces, quality
+from gridspark.llm.words import documents, fold
 
 Build = Callable[[SparkSession, str], DataFrame]
 
@@ -44,10 +44,18 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
                          "failed_rules")
 
 
+def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    model = language.fit(language.training_rows(docs))
+    judged = language.score(docs, model, carry=["doc_id"])
+    held_out = F.coalesce(fold(F.col("doc_id"), language.FOLDS) == 0, F.lit(False))
+    return judged.select("doc_id", held_out.alias("held_out"), "lang_pred", "score", "rejected")
+
+
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.taken(documents(spark, sf_dir))
 
 
-QUERIES: dict[str, Build] = {q.__name__: q for q in (op1_pieces, op2_near_duplicates, op4_licenses, op7_quality_rules, op10_mixing)}
+QUERIES: dict[str, Build] = {q.__name__: q for q in (op1_pieces, op2_near_duplicates, op4_licenses, op7_quality_rules, op8_language, op10_mixing)}
 
 SQL: dict[str, str] = {"op2_near_duplicates": neardup.ORACLE_SQL, "op4_licenses": licenses.oracle_sql(), "op7_quality_rules": quality.oracle_sql()}
