@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridspark.llm import language, licenses, mixing, neardup, pieces, quality
+from gridspark.llm import language, licenses, maxent, mixing, neardup, pieces, quality
 from gridspark.llm.words import documents, fold
 
 Build = Callable[[SparkSession, str], DataFrame]
@@ -52,10 +52,15 @@ def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", held_out.alias("held_out"), "lang_pred", "score", "rejected")
 
 
+def op9_maxent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    part = fold(F.col("doc_id"), 7)
+    return maxent.score(documents(spark, sf_dir), part != 2, part == 2)
+
+
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.taken(documents(spark, sf_dir))
 
 
-QUERIES: dict[str, Build] = {q.__name__: q for q in (op1_pieces, op2_near_duplicates, op4_licenses, op7_quality_rules, op8_language, op10_mixing)}
+QUERIES: dict[str, Build] = {q.__name__: q for q in (op1_pieces, op2_near_duplicates, op4_licenses, op7_quality_rules, op8_language, op9_maxent, op10_mixing)}
 
 SQL: dict[str, str] = {"op2_near_duplicates": neardup.ORACLE_SQL, "op4_licenses": licenses.oracle_sql(), "op7_quality_rules": quality.oracle_sql()}
