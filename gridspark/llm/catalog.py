@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridspark.llm import language, licenses, maxent, mixing, neardup, pieces, quality
+from gridspark.llm import gif, language, licenses, maxent, mixing, neardup, pieces, quality
 from gridspark.llm.words import documents, fold
 
 Build = Callable[[SparkSession, str], DataFrame]
@@ -38,6 +38,11 @@ def op4_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score")
 
 
+def op5_gif(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return gif.digests(gif.store(documents(spark, sf_dir), carry=["doc_id"])).select(
+        "doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")
+
+
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = quality.judge(documents(spark, sf_dir))
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept",
@@ -61,6 +66,6 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.taken(documents(spark, sf_dir))
 
 
-QUERIES: dict[str, Build] = {q.__name__: q for q in (op1_pieces, op2_near_duplicates, op4_licenses, op7_quality_rules, op8_language, op9_maxent, op10_mixing)}
+QUERIES: dict[str, Build] = {q.__name__: q for q in (op1_pieces, op2_near_duplicates, op4_licenses, op5_gif, op7_quality_rules, op8_language, op9_maxent, op10_mixing)}
 
 SQL: dict[str, str] = {"op2_near_duplicates": neardup.ORACLE_SQL, "op4_licenses": licenses.oracle_sql(), "op7_quality_rules": quality.oracle_sql()}
