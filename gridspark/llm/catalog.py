@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridspark.llm import gif, language, licenses, maxent, mixing, neardup, pieces, quality
+from gridspark.llm import gif, language, licenses, maxent, mixing, neardup, pieces, quality, toxicity
 from gridspark.llm.words import documents, fold
 
 Build = Callable[[SparkSession, str], DataFrame]
@@ -43,6 +43,13 @@ def op5_gif(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")
 
 
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet")
+    held_out = F.coalesce(fold(F.col("doc_id"), 4) == 2, F.lit(False))
+    model = toxicity.fit(toxicity.labelled(docs, labels.where(fold(F.col("doc_id"), 4) != 2)))
+    return toxicity.score(docs.select("doc_id", "text", held_out.alias("held_out")), model, carry=["doc_id", "held_out"])
+
+
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = quality.judge(documents(spark, sf_dir))
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept",
@@ -66,6 +73,6 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.taken(documents(spark, sf_dir))
 
 
-QUERIES: dict[str, Build] = {q.__name__: q for q in (op1_pieces, op2_near_duplicates, op4_licenses, op5_gif, op7_quality_rules, op8_language, op9_maxent, op10_mixing)}
+QUERIES: dict[str, Build] = {q.__name__: q for q in (op1_pieces, op2_near_duplicates, op4_licenses, op5_gif, op6_toxicity, op7_quality_rules, op8_language, op9_maxent, op10_mixing)}
 
 SQL: dict[str, str] = {"op2_near_duplicates": neardup.ORACLE_SQL, "op4_licenses": licenses.oracle_sql(), "op7_quality_rules": quality.oracle_sql()}
