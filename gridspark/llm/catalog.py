@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridspark.llm import gif, language, licenses, maxent, mixing, neardup, pieces, quality, toxicity
+from gridspark.llm import gif, language, licenses, maxent, mixing, neardup, pages, pieces, quality, toxicity
 from gridspark.llm.words import documents, fold
 
 Build = Callable[[SparkSession, str], DataFrame]
@@ -33,6 +33,10 @@ def op2_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(documents(spark, sf_dir))
 
 
+def op3_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pages.extract(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+
+
 def op4_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(documents(spark, sf_dir)).select(
         "doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score")
@@ -73,6 +77,6 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.taken(documents(spark, sf_dir))
 
 
-QUERIES: dict[str, Build] = {q.__name__: q for q in (op1_pieces, op2_near_duplicates, op4_licenses, op5_gif, op6_toxicity, op7_quality_rules, op8_language, op9_maxent, op10_mixing)}
+QUERIES: dict[str, Build] = {q.__name__: q for q in (op1_pieces, op2_near_duplicates, op3_main_text, op4_licenses, op5_gif, op6_toxicity, op7_quality_rules, op8_language, op9_maxent, op10_mixing)}
 
 SQL: dict[str, str] = {"op2_near_duplicates": neardup.ORACLE_SQL, "op4_licenses": licenses.oracle_sql(), "op7_quality_rules": quality.oracle_sql()}
