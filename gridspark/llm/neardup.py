@@ -9,8 +9,8 @@ is a candidate when it collides in ``MATCHES`` coordinates.  At a similarity of
 * Skip: pairs whose set sizes rule the similarity out are skipped before collisions are counted over whole signatures.
 * Groups of copies: equal sets are one node.  In a list each node is first paired with two centres only, the one whose
   coordinates are shared most and a random one.  Only pairs in different components are left then, and a node can be in one
-  only if three quarters of its shingles stand in nodes of other components; the others are peeled off.  So large groups of
-  near copies and common passages do not expand into all pairs, and no link between components is lost.
+  only if enough of its shingles stand in nodes of other components; the others are peeled off.  So large groups of near
+  copies and common passages do not expand into all pairs, and no link between components is lost.
 
 Candidates are confirmed on the full sets.
 """
@@ -155,17 +155,20 @@ def _mixed_lists(lists: DataFrame) -> DataFrame:
 
 
 def _peeled(lists: DataFrame, sets: DataFrame) -> DataFrame:
-    """Members of which three quarters of the shingles stand in nodes of other components.
+    """Members that can still be linked to another component, with ``out``, how many of their shingles stand in others.
 
-    A link to another component needs that many; shingles are compared among the members of mixed lists, where every node
-    that could still be linked is.
+    Sets of n and m shingles are linked from an overlap of 3 (n + m) / 7 on, and a link to another component lies within
+    ``out``.  The smallest m is that of the smallest member of the list that is large enough.  Shingles are compared among the
+    members of mixed lists, where every node that can still be linked is.
     """
     members = lists.select("node", "component").distinct()
-    held = members.join(sets, "node").select("node", "component", F.size("shingles").alias("n"), F.explode("shingles").alias("s"))
+    held = members.join(sets, "node").select("node", "component", F.explode("shingles").alias("s"))
     spread = held.groupBy("s").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("s")
-    open_ = (held.join(spread, "s", "left_semi").groupBy("node").agg(F.count("*").alias("out"), F.first("n").alias("n"))
-             .where("100 * out >= 75 * n").select("node"))
-    return lists.join(open_, "node", "left_semi")
+    out = held.join(spread, "s", "left_semi").groupBy("node").agg(F.count("*").alias("out"))
+    # sizes down to three quarters, with room for rounding
+    near = Window.partitionBy("key").orderBy("log_n").rangeBetween(-0.2877, 0)
+    sized = lists.drop("out").withColumn("log_n", F.log("n")).withColumn("m", F.min("n").over(near)).drop("log_n")
+    return sized.join(out, "node").where(7 * F.col("out") >= 3 * (F.col("n") + F.col("m"))).drop("m")
 
 
 def links(nodes: DataFrame, texts: DataFrame, text: str = "text", peels: int = 2) -> DataFrame:
@@ -191,9 +194,10 @@ def links(nodes: DataFrame, texts: DataFrame, text: str = "text", peels: int = 2
     for _ in range(peels):
         rest = _mixed_lists(_peeled(stored(rest, "dup-rest"), sets))
     rest = stored(rest, "dup-rest")
-    left = rest.select("key", F.col("node").alias("a"), F.col("n").alias("na"), F.col("component").alias("ca"))
-    right = rest.select("key", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("component").alias("cb"))
-    cross = (left.join(right, "key").where((F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & _similar_size(F.col("na"), F.col("nb")))
+    left = rest.select("key", F.col("node").alias("a"), F.col("n").alias("na"), F.col("component").alias("ca"), F.col("out").alias("oa"))
+    right = rest.select("key", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("component").alias("cb"), F.col("out").alias("ob"))
+    cross = (left.join(right, "key").where((F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & _similar_size(F.col("na"), F.col("nb"))
+                                           & (7 * F.least("oa", "ob") >= 3 * (F.col("na") + F.col("nb"))))
              .select("a", "b").distinct())
     return first.unionByName(stored(_confirmed(_collide(cross, nodes), sets), "dup-links"))
 
