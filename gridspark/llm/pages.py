@@ -8,6 +8,7 @@ no text of the article.  What is left of the article, or of the body where no ar
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from html import unescape
@@ -63,6 +64,14 @@ def parse(html: str) -> Element:
     """The tree of a page; what is not closed closes with its parent, as browsers have it for paragraphs and list items."""
     root = now = Element("#root", "", None)
     at, n, low = 0, len(html), None
+    open_tags: Counter = Counter()
+
+    def leave(to: Element, now: Element) -> Element:
+        while now is not to:
+            open_tags[now.tag] -= 1
+            now = now.parent
+        return to
+
     while at < n:
         m = _TOKEN.search(html, at)
         if not m:
@@ -72,19 +81,19 @@ def parse(html: str) -> Element:
         at = m.end()
         if close := m.group(1):
             close = close.lower()
-            up = now
-            while up is not root and up.tag != close:
-                up = up.parent
-            if up is not root:
-                now = up.parent
+            if open_tags[close]:
+                up = now
+                while up.tag != close:
+                    up = up.parent
+                now = leave(up.parent, now)
             elif close == "p":
                 now.children.append(Element("p", "", now))
         elif tag := m.group(2):
             tag = tag.lower()
-            if tag in CLOSES_P:
-                now = _closed(now, {"p"}, {"button", "table", "td", "th", "caption"})
-            if tag in SIBLINGS:
-                now = _closed(now, SIBLINGS[tag], SCOPES[tag])
+            if tag in CLOSES_P and open_tags["p"]:
+                now = leave(_closed(now, {"p"}, {"button", "table", "td", "th", "caption"}), now)
+            if tag in SIBLINGS and any(open_tags[x] for x in SIBLINGS[tag]):
+                now = leave(_closed(now, SIBLINGS[tag], SCOPES[tag]), now)
             new = Element(tag, m.group(3) or "", now)
             now.children.append(new)
             if tag in RAW:
@@ -96,6 +105,7 @@ def parse(html: str) -> Element:
                 at = n if close_at < 0 else close_at + 1
             elif tag not in VOID:
                 now = new
+                open_tags[tag] += 1
     if at < n:
         now.children.append(html[at:])
     return root

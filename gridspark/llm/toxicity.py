@@ -118,8 +118,8 @@ def fit(df: DataFrame, text: str = "text", label: str = "toxic", most: int = FIT
     picked = stored(picked, "toxic-sample")
     sizes = {int(r["label"]): r["count"] for r in picked.groupBy("label").count().collect()}
     n_clean, n_toxic = sizes.get(0, 0), sizes.get(1, 0)
-    prior = n_toxic / share.get(1, 1.0) / max(1e-9, n_toxic / share.get(1, 1.0) + n_clean / share.get(0, 1.0))
-    bias = float(np.log((prior + 1e-4) / (1 - prior + 1e-4)))
+    all_toxic, all_clean = n_toxic / share.get(1, 1.0), n_clean / share.get(0, 1.0)
+    bias = float(np.log((all_toxic + 0.5) / (all_clean + 0.5)))
     if not n_clean or not n_toxic:
         return Model({}, np.zeros((0, LEVELS)), bias)
     counted = (picked.mapInArrow(_count, "feature string, level int, clean long, toxic long")
