@@ -9,8 +9,9 @@ is a candidate when it collides in ``MATCHES`` coordinates.  At a similarity of
 * Skip: pairs whose set sizes rule the similarity out are skipped before collisions are counted over whole signatures.
 * Groups of copies: equal sets are one node.  In a list each node is first paired with two centres only, the one whose
   coordinates are shared most and a random one.  Only pairs in different components are left then, and a node can be in one
-  only if enough of its shingles stand in nodes of other components; the others are peeled off.  So large groups of near
-  copies and common passages do not expand into all pairs, and no link between components is lost.
+  only if enough of its shingles stand in nodes of other components; the others are peeled off.  What is left is joined on its
+  rare shared shingles.  So large groups of near copies and common passages do not expand into all pairs, and no link between
+  components is lost.
 
 Candidates are confirmed on the full sets.
 """
@@ -154,21 +155,48 @@ def _mixed_lists(lists: DataFrame) -> DataFrame:
     return lists.join(mixed, "key", "left_semi")
 
 
+def _held(members: DataFrame, sets: DataFrame) -> DataFrame:
+    """The shingles of members that stand in nodes of other components too, with ``f``, how many nodes hold them."""
+    held = members.join(sets, "node").select(*(members[c] for c in members.columns), F.explode("shingles").alias("s"))
+    spread = (held.groupBy("s").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("f"))
+              .where("lo < hi").select("s", "f"))
+    return held.join(spread, "s")
+
+
 def _peeled(lists: DataFrame, sets: DataFrame) -> DataFrame:
-    """Members that can still be linked to another component, with ``out``, how many of their shingles stand in others.
+    """Members that can still be linked to another component.
 
-    Sets of n and m shingles are linked from an overlap of 3 (n + m) / 7 on, and a link to another component lies within
-    ``out``.  The smallest m is that of the smallest member of the list that is large enough.  Shingles are compared among the
-    members of mixed lists, where every node that can still be linked is.
+    Sets of n and m shingles are linked from an overlap of 3 (n + m) / 7 on, and what a node shares with another component
+    lies within the shingles that stand in others.  ``m`` is the size of the smallest member of the list that is large enough.
+    Shingles are compared among the members of mixed lists, where every node that can still be linked is.
     """
-    members = lists.select("node", "component").distinct()
-    held = members.join(sets, "node").select("node", "component", F.explode("shingles").alias("s"))
-    spread = held.groupBy("s").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("s")
-    out = held.join(spread, "s", "left_semi").groupBy("node").agg(F.count("*").alias("out"))
+    out = _held(lists.select("node", "component").distinct(), sets).groupBy("node").agg(F.count("*").alias("out"))
     # sizes down to three quarters, with room for rounding
-    near = Window.partitionBy("key").orderBy("log_n").rangeBetween(-0.2877, 0)
-    sized = lists.drop("out").withColumn("log_n", F.log("n")).withColumn("m", F.min("n").over(near)).drop("log_n")
-    return sized.join(out, "node").where(7 * F.col("out") >= 3 * (F.col("n") + F.col("m"))).drop("m")
+    near = Window.partitionBy("key").orderBy("log_n").rangeBetween(-287_700, 0)
+    sized = lists.drop("m").withColumn("log_n", F.floor(1_000_000 * F.log("n"))).withColumn("m", F.min("n").over(near)).drop("log_n")
+    return sized.join(out, "node").where(7 * F.col("out") >= 3 * (F.col("n") + F.col("m"))).drop("out")
+
+
+def _across(rest: DataFrame, sets: DataFrame) -> DataFrame:
+    """Pairs ``a``, ``b`` of different components that may be linked, by a join on rare shared shingles.
+
+    With the shingles that a node shares with other components in order of rising frequency, a linked pair meets in the first
+    ones of both: those after which enough are left for the overlap that their sizes need.  The shingles that all near copies
+    of a text hold come last, so a large group does not meet as a whole.
+    """
+    members = rest.groupBy("node", "n", "component").agg(F.min("m").alias("m"))
+    rising = Window.partitionBy("node").orderBy("f", "s")
+    whole = Window.partitionBy("node")
+    left = (_held(members, sets).withColumn("left", F.count("*").over(whole) - F.row_number().over(rising) + 1)
+            .where(7 * F.col("left") >= 3 * (F.col("n") + F.col("m"))).select("s", "node", "n", "component", "left"))
+    left = stored(left, "dup-rare")
+    mixed = left.groupBy("s").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("s")
+    left = left.join(mixed, "s", "left_semi")
+    x = left.select("s", F.col("node").alias("a"), F.col("n").alias("na"), F.col("component").alias("ca"), F.col("left").alias("la"))
+    y = left.select("s", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("component").alias("cb"), F.col("left").alias("lb"))
+    return (x.join(y, "s").where((F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & _similar_size(F.col("na"), F.col("nb"))
+                                 & (7 * F.least("la", "lb") >= 3 * (F.col("na") + F.col("nb"))))
+            .select("a", "b").distinct())
 
 
 def links(nodes: DataFrame, texts: DataFrame, text: str = "text", peels: int = 2) -> DataFrame:
@@ -193,13 +221,7 @@ def links(nodes: DataFrame, texts: DataFrame, text: str = "text", peels: int = 2
     rest = _mixed_lists(_with_component(lists, components(first)))
     for _ in range(peels):
         rest = _mixed_lists(_peeled(stored(rest, "dup-rest"), sets))
-    rest = stored(rest, "dup-rest")
-    left = rest.select("key", F.col("node").alias("a"), F.col("n").alias("na"), F.col("component").alias("ca"), F.col("out").alias("oa"))
-    right = rest.select("key", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("component").alias("cb"), F.col("out").alias("ob"))
-    cross = (left.join(right, "key").where((F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & _similar_size(F.col("na"), F.col("nb"))
-                                           & (7 * F.least("oa", "ob") >= 3 * (F.col("na") + F.col("nb"))))
-             .select("a", "b").distinct())
-    return first.unionByName(stored(_confirmed(_collide(cross, nodes), sets), "dup-links"))
+    return first.unionByName(stored(_confirmed(_across(stored(rest, "dup-rest"), sets), sets), "dup-links"))
 
 
 def near_duplicates(df: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
