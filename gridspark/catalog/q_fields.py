@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from gridspark.catalog.fixtures import GRID_E, view_e
 from gridspark.catalog.registry import query, r, rd
 from gridspark.operators import gradient, spectrum
+from gridspark.operators.scores import score
 
 RAD = math.pi / 180
 STEP = 6371.0e3 * 0.5 * RAD
@@ -44,6 +45,23 @@ def grad_amplitude_ratio(spark, sf_dir):
     return df.select("t", rd("grad_amplitude").alias("grad_amplitude"))
 
 
+WIDE = """sqrt(power(({x}) / (6371.0e3 * cos(radians(lat)) * radians(0.75)), 2) + power(({y}) / (6371.0e3 * radians(0.5)), 2))"""
+
+
+def _wide_sql(v: str) -> str:
+    # longitudes are stretched by half, so differences along them are smaller by a third
+    return WIDE.format(x=f"({_diff_sql(v, 'lon', 'ix', 'iy')}) / 1.5", y=_diff_sql(v, "lat", "iy", "ix"))
+
+
+@query("grad_amplitude_by_hour", f"""
+WITH G AS (SELECT t, {_wide_sql('fcst')} AS gf, {_wide_sql('ref_')} AS gr FROM E),
+P AS (SELECT t, avg(gf) / nullif(avg(gr), 0) AS q FROM G GROUP BY t)
+SELECT CAST(t % 24 AS BIGINT) AS hour, {r('avg(q)')} AS grad_amplitude FROM P GROUP BY ALL""")
+def grad_amplitude_by_hour(spark, sf_dir):
+    e = view_e(spark, sf_dir).withColumns({"lon": 1.5 * F.col("lon"), "hour": F.col("t") % 24})
+    return score(e, "grad_amplitude", ["hour"], time="t").select("hour", rd("grad_amplitude").alias("grad_amplitude"))
+
+
 @query("centered_difference", f"""
 WITH X AS (SELECT t, iy, ix, fcst AS f, 6.0 + 0.5 * ix + 0.01 * ix * ix AS c FROM E),
 N AS (SELECT *, lag(f) OVER w AS f0, lead(f) OVER w AS f2, c - lag(c) OVER w AS h1, lead(c) OVER w - c AS h2 FROM X

@@ -37,6 +37,21 @@ def block_bootstrap(spark, sf_dir):
     return df.select("iboot", *[rd(c).alias(c) for c in ("rmse_bootstrapped", "bias_bootstrapped")])
 
 
+@query("block_bootstrap_cells", f"""
+WITH R AS (SELECT time, floor((row_number() OVER (ORDER BY time) - 1) / 10) AS iblock FROM (SELECT DISTINCT time FROM D)),
+W AS (SELECT iblock FROM R GROUP BY 1 HAVING count(*) = 10),
+B AS (SELECT iy, ix, iblock, avg(abs(t_in - t_tar)) AS mae FROM D JOIN R USING (time) JOIN W USING (iblock) GROUP BY ALL),
+N AS (SELECT count(*) AS n FROM W),
+DR AS (SELECT b AS iboot, CAST(floor(CAST({hash_sql("'42'", 'b', 's')} AS DOUBLE) / 4294967296 * n) AS BIGINT) AS iblock
+  FROM range(20) x(b), N, range(100000) y(s) WHERE s < n)
+SELECT iy, ix, iboot, {r('avg(mae)')} AS mae_bootstrapped FROM DR JOIN B USING (iblock) GROUP BY ALL""")
+def block_bootstrap_cells(spark, sf_dir):
+    d = view_d(spark, sf_dir).withColumn("mae", F.abs(F.col("t_in") - F.col("t_tar")))
+    blocks = resample.block_means(d, ["mae"], 10, keys=["iy", "ix"])
+    boots = resample.block_bootstrap(blocks, ["mae"], 20, keys=["iy", "ix"])
+    return boots.select("iy", "ix", "iboot", rd("mae_bootstrapped").alias("mae_bootstrapped"))
+
+
 @query("bootstrap_ci", f"""{BOOTS} SELECT {r('quantile_cont(rmse, 0.025)')} AS lower, {r('quantile_cont(rmse, 0.5)')} AS median,
   {r('quantile_cont(rmse, 0.975)')} AS upper FROM BS""")
 def bootstrap_ci(spark, sf_dir):

@@ -133,16 +133,33 @@ def flip_augment(spark, sf_dir):
     return df.select(ts().alias("time"), "copy", "iy", "ix", rd("fcst").alias("fcst"))
 
 
-@query("split_static_dynamic", f"""
-WITH J AS (SELECT h.iy, h.ix, h.fcst, h.ref_, z.z FROM H h LEFT JOIN Z z ON z.iy = h.iy AND z.ix = h.ix),
+JOINED = "SELECT h.*, z.z FROM H h LEFT JOIN Z z ON z.iy = h.iy AND z.ix = h.ix"
+
+
+@query("static_flags", f"""
+WITH J AS ({JOINED}),
 C AS (SELECT iy, ix, max(fcst) = min(fcst) AS f, max(ref_) = min(ref_) AS r, max(z) = min(z) AS zz FROM J GROUP BY ALL)
 SELECT 'fcst' AS variable, bool_and(f) AS is_static FROM C UNION ALL SELECT 'ref_', bool_and(r) FROM C
 UNION ALL SELECT 'z', bool_and(coalesce(zz, true)) FROM C""")
-def split_static_dynamic(spark, sf_dir):
+def static_flags(spark, sf_dir):
     df = reshape.broadcast_static(view_h(spark, sf_dir), view_z(spark, sf_dir))
     return reshape.static_flags(df, ["fcst", "ref_", "z"])
 
 
+@query("split_static_dynamic", f"""
+WITH J AS ({JOINED})
+SELECT 'static' AS part, NULL AS time, iy, ix, NULL AS fcst, NULL AS ref_, {r('max(z)')} AS z FROM J GROUP BY iy, ix
+UNION ALL SELECT 'dynamic', {sts()}, iy, ix, {r('fcst')}, {r('ref_')}, NULL FROM J""")
+def split_static_dynamic(spark, sf_dir):
+    df = reshape.broadcast_static(view_h(spark, sf_dir), view_z(spark, sf_dir))
+    static, dynamic = reshape.split_static_dynamic(df.select("time", "iy", "ix", "fcst", "ref_", "z"))
+    none = F.lit(None).cast("double")
+    fixed = static.select(F.lit("static").alias("part"), F.lit(None).cast("string").alias("time"), "iy", "ix",
+                          none.alias("fcst"), none.alias("ref_"), rd("z").alias("z"))
+    return fixed.unionByName(dynamic.select(F.lit("dynamic").alias("part"), ts().alias("time"), "iy", "ix",
+                                            rd("fcst").alias("fcst"), rd("ref_").alias("ref_"), none.alias("z")))
+
+
 @query("field_tensor", f"""
 SELECT t, count(*) AS cells, 2 AS channels, {r('max(fcst) FILTER (WHERE iy = 0 AND ix = 1)')} AS second_in,
   {r('max(ref_) FILTER (WHERE iy = 7 AND ix = 7)')} AS last_tar, {r('sum((8 * iy + ix) * fcst)', 4)} AS weighted

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from gridspark import columns
 from gridspark.catalog.fixtures import events, table, view_d, view_f, view_h
 from gridspark.catalog.q_reshape import STIME, _out
 from gridspark.catalog.q_scores import SEASON
@@ -38,11 +39,11 @@ SELECT strftime(t.time, '%Y-%m-%d %H:%M:%S') AS time, n.event_type FROM (SELECT
   (SELECT DISTINCT event_type FROM H1) n WHERE NOT EXISTS (
   SELECT 1 FROM H1 h WHERE h.time = t.time AND h.event_type = n.event_type)""")
 def missing_names(spark, sf_dir):
-    ev = events(spark, sf_dir).select("time", "event_type").distinct()
-    wanted = ev.agg(F.collect_set("event_type")).scalar()
-    have = ev.groupBy("time").agg(F.collect_set("event_type").alias("have"))
-    lost = have.select(ts().alias("time"), F.explode(F.array_except(wanted, F.col("have"))).alias("event_type"))
-    return lost
+    wide = events(spark, sf_dir).groupBy("time").pivot("event_type").agg(F.first("event_type", ignorenulls=True))
+    # the names of the columns are what is available over all, the filled ones what a time has
+    wanted = columns.missing_names(["time"], wide.columns)
+    lost = F.array_compact(F.array(*[F.when(F.col(name).isNull(), F.lit(name)) for name in wanted]))
+    return wide.select(ts().alias("time"), F.explode(lost).alias("event_type"))
 
 
 @query("first_sample", f"SELECT {STIME}, {r('fcst')} AS fcst FROM H WHERE time = (SELECT min(time) FROM H)")

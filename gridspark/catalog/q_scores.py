@@ -191,6 +191,24 @@ def score_iqd(spark, sf_dir):
     return distribution.iqd(events(spark, sf_dir)).select(rd("iqd", 8).alias("iqd"), "complete")
 
 
+@query("score_iqd_by_hour", f"""
+WITH V AS (SELECT hour(time) AS hour, 'fcst' AS variable, fcst AS v FROM H WHERE fcst > 0
+  UNION ALL SELECT hour(time), 'ref_', ref_ FROM H WHERE ref_ > 0),
+S AS (SELECT hour, variable, v, row_number() OVER w - 1 AS k, count(*) OVER (PARTITION BY hour, variable) AS n,
+  lead(v) OVER w AS v2 FROM V WINDOW w AS (PARTITION BY hour, variable ORDER BY v)),
+X AS (SELECT unnest([0.0, 50.0, 100.0, 200.0, 400.0, 800.0]) AS x),
+K AS (SELECT hour, variable, x, max(CASE WHEN n < 2 THEN NULL WHEN v <= x AND v2 IS NULL THEN 1.0
+    WHEN v <= x AND v2 > x THEN (k + (x - v) / (v2 - v)) / (n - 1) WHEN k = 0 AND v > x THEN 0.0 END) AS cdf
+  FROM S, X GROUP BY ALL),
+P AS (SELECT hour, x, max(cdf) FILTER (WHERE variable = 'fcst') AS f, max(cdf) FILTER (WHERE variable = 'ref_') AS o FROM K GROUP BY ALL),
+T AS (SELECT hour, x, power(o - f, 2) AS d, lag(x) OVER w AS x0, lag(power(o - f, 2)) OVER w AS d0 FROM P
+  WINDOW w AS (PARTITION BY hour ORDER BY x))
+SELECT CAST(hour AS INT) AS hour, {r('sum((d + d0) / 2 * (x - x0))', 6)} AS iqd FROM T GROUP BY hour""")
+def score_iqd_by_hour(spark, sf_dir):
+    df = view_h(spark, sf_dir).withColumn("hour", F.hour("time"))
+    return scores.score(df, "iqd", ["hour"], nodes=[0, 50, 100, 200, 400, 800]).select("hour", rd("iqd").alias("iqd"))
+
+
 def _panel_sql(label: str, cond: str, target: str) -> str:
     return f"""SELECT '{label}' AS factorization, b + 0.5 AS bin_center, {r('q05')} AS q05, {r('q50')} AS q50, {r('q95')} AS q95
   FROM (SELECT unnest(range(CAST(least(floor(min(fcst)), floor(min(ref_))) AS BIGINT),

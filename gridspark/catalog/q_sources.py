@@ -89,7 +89,8 @@ def sink_monthly(spark, sf_dir):
 def incremental_missing(spark, sf_dir):
     path = scratch_dir(spark, "incremental")
     d = view_d(spark, sf_dir)
-    tables.write_monthly(d.where(F.year("time") <= 1998), path)
+    # the last month that is there holds ten days only
+    tables.write_monthly(d.where((F.year("time") <= 1998) & ~((F.year("time") == 1998) & (F.dayofyear("time") > 345))), path)
     tables.append_missing(d, path)
     return _monthly(spark.read.parquet(path))
 
@@ -135,6 +136,16 @@ def norm_json_roundtrip(spark, sf_dir):
     return exchange.read_stats(spark, path).select("variable", rd("mu", 4).alias("mu"), rd("sigma", 4).alias("sigma"))
 
 
+@query("norm_json_per_cell", " UNION ALL ".join(
+    f"SELECT iy, ix, '{v}' AS variable, {r(f'avg({v})', 4)} AS mu, {r(f'stddev_pop({v})', 4)} AS sigma FROM D GROUP BY iy, ix"
+    for v in ("t_in", "t_tar")))
+def norm_json_per_cell(spark, sf_dir):
+    path = scratch_dir(spark, "stats")
+    exchange.write_stats(zscore_stats(view_d(spark, sf_dir), ["t_in", "t_tar"], ["iy", "ix"]), path)
+    return exchange.read_stats(spark, path, keys="iy int, ix int").select(
+        "iy", "ix", "variable", rd("mu", 4).alias("mu"), rd("sigma", 4).alias("sigma"))
+
+
 @query("griddes_parse", """
 WITH lines AS (
   SELECT p_partkey, unnest(string_split(concat('# a comment', chr(10), 'gridtype = lonlat', chr(10), 'xsize = ',

@@ -28,20 +28,21 @@ def default_nodes(hours: int = 0) -> list[float]:
     return NODES_6H if 1 < hours <= 6 else NODES_LONG
 
 
-def node_cdf(df: DataFrame, values: Sequence[str], nodes: Sequence[float], drop_zero: bool = True) -> DataFrame:
-    """Empirical distribution of each variable at the nodes: rows ``(variable, cdf array)``.
+def node_cdf(df: DataFrame, values: Sequence[str], nodes: Sequence[float], drop_zero: bool = True,
+             by: Sequence[str] = ()) -> DataFrame:
+    """Empirical distribution of each variable at the nodes: rows ``(by, variable, cdf array)``.
 
     The distribution is linear between the sorted values, ``rank / (n - 1)`` at each.  Only the count and the
     smallest and largest value between two nodes are needed, so one combined pass gives it without a sort.
     """
-    long = df.unpivot([], list(values), "variable", "v").where(F.col("v").isNotNull())
+    long = df.unpivot(list(by), list(values), "variable", "v").where(F.col("v").isNotNull())
     if drop_zero:
         long = long.where(F.col("v") > 0)
     gap = sum(((F.col("v") > float(x)).cast("int") for x in nodes), F.lit(0))
-    gaps = long.groupBy("variable", gap.alias("gap")).agg(
+    gaps = long.groupBy(*by, "variable", gap.alias("gap")).agg(
         F.count(F.lit(1)).alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi"))
     # at most one entry per gap between nodes
-    arrays = gaps.groupBy("variable").agg(F.collect_list(F.struct("gap", "n", "lo", "hi")).alias("gaps"))
+    arrays = gaps.groupBy(*by, "variable").agg(F.collect_list(F.struct("gap", "n", "lo", "hi")).alias("gaps"))
     total = _total(F.col("gaps"))
 
     def at(i, x):
@@ -53,7 +54,7 @@ def node_cdf(df: DataFrame, values: Sequence[str], nodes: Sequence[float], drop_
         inner = F.try_divide(c - 1 + F.try_divide(x - lo, hi - lo), total - 1)
         return F.when(total < 2, F.lit(None).cast("double")).when(c == 0, 0.0).when(c == total, 1.0).otherwise(inner)
 
-    return arrays.select("variable", F.transform(_array(nodes), lambda x, i: at(i, x)).alias("cdf"))
+    return arrays.select(*by, "variable", F.transform(_array(nodes), lambda x, i: at(i, x)).alias("cdf"))
 
 
 def _array(nodes: Sequence[float]) -> Column:
@@ -71,14 +72,14 @@ def ecdf_at_nodes(df: DataFrame, values: Sequence[str], nodes: Sequence[float],
 
 
 def iqd(df: DataFrame, nodes: Sequence[float] | None = None, hours: int = 0, drop_zero: bool = True,
-        fcst: str = "fcst", ref: str = "ref_") -> DataFrame:
-    """Integral of the squared difference of the two distributions over the nodes, by the trapezoid rule.
+        fcst: str = "fcst", ref: str = "ref_", by: Sequence[str] = ()) -> DataFrame:
+    """Per ``by`` the integral of the squared difference of the two distributions over the nodes, by the trapezoid rule.
 
     ``complete`` tells whether both distributions reach 0.999 at the last node; if not, set the nodes.
     """
     xs = [float(x) for x in (default_nodes(hours) if nodes is None else nodes)]
-    cdf = node_cdf(df, [fcst, ref], xs, drop_zero)
-    both = cdf.agg(*[F.max(F.when(F.col("variable") == v, F.col("cdf"))).alias(v) for v in (fcst, ref)])
+    cdf = node_cdf(df, [fcst, ref], xs, drop_zero, by)
+    both = cdf.groupBy(*by).agg(*[F.max(F.when(F.col("variable") == v, F.col("cdf"))).alias(v) for v in (fcst, ref)])
     squares = F.zip_with(ref, fcst, lambda o, f: (o - f) * (o - f))
     both = both.withColumns({"_x": _array(xs), "_d": squares})
 
@@ -89,7 +90,7 @@ def iqd(df: DataFrame, nodes: Sequence[float] | None = None, hours: int = 0, dro
     area = F.aggregate(F.sequence(F.lit(1), F.lit(len(xs) - 1)), F.lit(0.0), trapezoid)
     last = F.lit(len(xs) - 1)
     complete = (F.get(F.col(ref), last) >= FULL_CDF) & (F.get(F.col(fcst), last) >= FULL_CDF)
-    return both.select(area.alias("iqd"), complete.alias("complete"))
+    return both.select(*by, area.alias("iqd"), complete.alias("complete"))
 
 
 def conditional_quantiles(df: DataFrame, factorization: str = "calibration_refinement",

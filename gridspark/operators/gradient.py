@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from gridspark.columns import require
 from gridspark.operators.grid import Grid
 
 EARTH_RADIUS = 6371.0e3
@@ -43,38 +44,56 @@ def by_field(df: DataFrame, grid: Grid | None, time: str) -> DataFrame:
     return df.repartition(time) if whole else df
 
 
-def gradient_amplitude(df: DataFrame, values: Sequence[str], dlon: float, dlat: float, lat: str = "lat",
+def _degrees(x: float | Column) -> Column:
+    return x if isinstance(x, Column) else F.lit(x)
+
+
+def gradient_amplitude(df: DataFrame, values: Sequence[str], dlon: float | Column, dlat: float | Column, lat: str = "lat",
                        lon: str = "lon", time: str = "time", si: bool = False,
-                       radius: float = EARTH_RADIUS) -> DataFrame:
+                       radius: float = EARTH_RADIUS, keys: Sequence[str] = ()) -> DataFrame:
     """Amplitude of the gradient of each variable in each cell, as ``grad_<var>``; ``dlon`` and ``dlat`` are
-    the grid spacings in degrees.
+    the grid spacings in degrees, ``keys`` further dimensions of the table (members, levels).
 
     The derivative per degree is divided by the spacing in metres; with ``si`` it is per metre instead.
     """
-    step_x, step_y = (F.radians(F.lit(1.0)),) * 2 if si else (F.radians(F.lit(dlon)), F.radians(F.lit(dlat)))
+    step_x, step_y = (F.radians(F.lit(1.0)),) * 2 if si else (F.radians(_degrees(dlon)), F.radians(_degrees(dlat)))
     per_x, per_y = radius * F.cos(F.radians(lat)) * step_x, radius * step_y
     # all variables along one axis before the other: one arrangement of the rows per axis
-    along_x = df.withColumns({f"_gx_{v}": centered_difference(F.col(v), F.col(lon), "ix", [time, "iy"]) / per_x
+    along_x = df.withColumns({f"_gx_{v}": centered_difference(F.col(v), F.col(lon), "ix", [*keys, time, "iy"]) / per_x
                               for v in values})
-    both = along_x.withColumns({f"_gy_{v}": centered_difference(F.col(v), F.col(lat), "iy", [time, "ix"]) / per_y
+    both = along_x.withColumns({f"_gy_{v}": centered_difference(F.col(v), F.col(lat), "iy", [*keys, time, "ix"]) / per_y
                                 for v in values})
     return both.withColumns({f"grad_{v}": F.sqrt(F.col(f"_gx_{v}") ** 2 + F.col(f"_gy_{v}") ** 2)
                              for v in values}).drop(*[f"_g{a}_{v}" for a in "xy" for v in values])
 
 
-def spatial_gradient(df: DataFrame, values: Sequence[str], dlon: float, dlat: float, time: str = "time",
-                     grid: Grid | None = None, **kw) -> DataFrame:
-    """Mean gradient amplitude of each variable per time."""
-    out = gradient_amplitude(by_field(df, grid, time), values, dlon, dlat, time=time, **kw)
-    return out.groupBy(time).agg(*[F.avg(f"grad_{v}").alias(f"grad_{v}") for v in values])
+def spatial_gradient(df: DataFrame, values: Sequence[str], dlon: float | Column, dlat: float | Column, time: str = "time",
+                     grid: Grid | None = None, keys: Sequence[str] = (), **kw) -> DataFrame:
+    """Mean gradient amplitude of each variable per time and ``keys``."""
+    out = gradient_amplitude(by_field(df, grid, time), values, dlon, dlat, time=time, keys=keys, **kw)
+    return out.groupBy(*keys, time).agg(*[F.avg(f"grad_{v}").alias(f"grad_{v}") for v in values])
+
 
+def spacing(df: DataFrame, coord: str, index: str) -> Column:
+    """The grid spacing along an axis in degrees, from the range of the coordinate: a scalar shared by all rows."""
+    ends = df.agg(F.try_divide(F.abs(F.max_by(coord, index) - F.min_by(coord, index)), F.max(index) - F.min(index)).alias("d"))
+    return ends.scalar()
 
-def amplitude_ratio(df: DataFrame, by: Sequence[str] = ("time",), dlon: float = 1.0, dlat: float = 1.0,
-                    time: str = "time", order: int = 1, fcst: str = "fcst", ref: str = "ref_", **kw) -> DataFrame:
-    """Gradient amplitude of the forecast over that of the reference per time, averaged further when ``by``
-    holds less than the time."""
+
+def amplitude_ratio(df: DataFrame, by: Sequence[str] = ("time",), dlon: float | None = None, dlat: float | None = None,
+                    time: str = "time", order: int = 1, fcst: str = "fcst", ref: str = "ref_", grid: Grid | None = None,
+                    lat: str = "lat", lon: str = "lon", **kw) -> DataFrame:
+    """Gradient amplitude of the forecast over that of the reference per time, averaged per ``by``.
+
+    Spacings that are not given come from the grid, or else from the coordinates.  ``by`` may hold the time, columns that
+    follow from it, and further dimensions, whose fields are kept apart.
+    """
     if order != 1:
         raise ValueError("only first-order differences are implemented")
-    grads = spatial_gradient(df, [fcst, ref], dlon, dlat, time, **kw)
-    ratio = grads.select(time, F.try_divide(F.col(f"grad_{fcst}"), F.col(f"grad_{ref}")).alias("grad_amplitude"))
-    return ratio if time in by else ratio.agg(F.avg("grad_amplitude").alias("grad_amplitude"))
+    require(df, by)
+    dlon = dlon if dlon is not None else abs(grid.dx) if grid is not None else spacing(df, lon, "ix")
+    dlat = dlat if dlat is not None else abs(grid.dy) if grid is not None else spacing(df, lat, "iy")
+    keys = [c for c in by if c != time]
+    grads = spatial_gradient(df, [fcst, ref], dlon, dlat, time, grid=grid, keys=keys, lat=lat, lon=lon, **kw)
+    ratio = grads.select(*keys, time, F.try_divide(F.col(f"grad_{fcst}"), F.col(f"grad_{ref}")).alias("grad_amplitude"))
+    return ratio if time in by else ratio.groupBy(*keys).agg(F.avg("grad_amplitude").alias("grad_amplitude"))

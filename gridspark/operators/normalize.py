@@ -21,11 +21,20 @@ def zscore_stats(df: DataFrame, variables: Sequence[str], by: Sequence[str] = ()
 
 
 def stats_columns(stats: DataFrame, variables: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
-    """Statistics rows as one row per key with ``mu_<var>`` and ``sigma_<var>``."""
+    """Statistics rows as one row per key with ``mu_<var>`` and ``sigma_<var>``.
+
+    A variable without statistics, or with several for one key, is an error.
+    """
     aggs = []
     for v in variables:
+        mine = F.col("variable") == v
+        double = F.raise_error(F.lit(f"several statistics of '{v}'" + (" for one key" if by else ""))).cast("double")
         for name in ("mu", "sigma"):
-            aggs.append(F.max(F.when(F.col("variable") == v, F.col(name))).alias(f"{name}_{v}"))
+            one = F.when(F.count_if(mine) > 1, double).otherwise(F.max(F.when(mine, F.col(name))))
+            if not by:
+                lost = F.raise_error(F.lit(f"there are no statistics of '{v}'")).cast("double")
+                one = F.when(F.count_if(mine) == 0, lost).otherwise(one)
+            aggs.append(one.alias(f"{name}_{v}"))
     return stats.groupBy(*by).agg(*aggs)
 
 
@@ -40,7 +49,13 @@ def denormalized(value: Column, mu: Column, sigma: Column) -> Column:
 def _apply(df: DataFrame, stats: DataFrame, variables: Sequence[str], by: Sequence[str], formula) -> DataFrame:
     wide = stats_columns(stats, variables, by)
     if by:
-        joined = df.join(stored(wide, "statistics"), list(by), "left")
+        kept = stored(wide, "statistics")
+        # one row; a variable without statistics in any key is no gap but a mistake
+        known = kept.agg(*[F.bool_or(F.col(f"mu_{v}").isNotNull()).alias(v) for v in variables]).first()
+        lost = [v for v in variables if known[v] is not None and not known[v]]
+        if lost:
+            raise ValueError(f"there are no statistics of {', '.join(lost)}")
+        joined = df.join(kept, list(by), "left")
         cols = {v: formula(F.col(v), F.col(f"mu_{v}"), F.col(f"sigma_{v}")) for v in variables}
         return joined.withColumns(cols).select(*df.columns)
     row = wide.select(F.struct("*").alias("s")).scalar()

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridspark.functions.draws import draw_below, seeded_hash
@@ -15,13 +15,23 @@ from gridspark.session import stored
 MIN_BLOCKS = 10
 
 
-def block_means(scores: DataFrame, values: Sequence[str], length: int, time: str = "time") -> DataFrame:
-    """Means of consecutive blocks of ``length`` time steps; the incomplete last block is dropped."""
-    # one row per time, needed twice
-    ranked = time_ranks(stored(scores.select(time, *values), "scores"), time)
-    blocks = ranked.groupBy(F.floor((F.col("rn") - 1) / length).alias("iblock")).agg(
-        *[F.avg(v).alias(v) for v in values], F.count(F.lit(1)).alias("_n"))
-    return stored(blocks.where(F.col("_n") == length).drop("_n"), "blocks")
+def block_means(scores: DataFrame, values: Sequence[str], length: int, time: str = "time",
+                keys: Sequence[str] = ()) -> DataFrame:
+    """Means of consecutive blocks of ``length`` time steps; the incomplete last block is dropped.
+
+    With ``keys`` (cells, members, experiments) each has blocks of its own over the time steps of the whole table.  More than
+    one row per key and time step is an error; where a key lacks steps its block is the mean of those it has.
+    """
+    # a few rows per time step, needed twice
+    rows = stored(scores.select(*keys, time, *values), "scores")
+    steps = time_ranks(stored(rows.select(time).distinct(), "steps"), time)
+    placed = steps.withColumn("iblock", F.floor((F.col("rn") - 1) / length))
+    whole = placed.groupBy("iblock").agg(F.count(F.lit(1)).alias("_steps")).where(F.col("_steps") == length).drop("_steps")
+    at = stored(placed.join(whole, "iblock").select(time, "iblock"), "block-steps")
+    double = F.raise_error(F.lit("a time step has more than one row per key, name the other dimensions as keys")).cast("double")
+    blocks = rows.join(at, time).groupBy(*keys, "iblock").agg(
+        *[F.when(F.count(F.lit(1)) > length, double).otherwise(F.avg(v)).alias(v) for v in values])
+    return stored(blocks, "blocks")
 
 
 def bootstrap_draws(spark: SparkSession, nboots: int, n_blocks, seed: int = 42) -> DataFrame:
@@ -32,16 +42,17 @@ def bootstrap_draws(spark: SparkSession, nboots: int, n_blocks, seed: int = 42)
                                                     F.col("_n")).alias("iblock"))
 
 
-def block_bootstrap(blocks: DataFrame, values: Sequence[str], nboots: int = 1000, seed: int = 42) -> DataFrame:
-    """Means of as many blocks as there are, drawn with replacement, once per replicate.
+def block_bootstrap(blocks: DataFrame, values: Sequence[str], nboots: int = 1000, seed: int = 42,
+                    keys: Sequence[str] = ()) -> DataFrame:
+    """Means of as many blocks as there are, drawn with replacement, once per replicate and ``keys``.
 
-    All values of a replicate use the same draws.  Fewer than ten blocks are an error.
+    All values and keys of a replicate use the same draws.  Fewer than ten blocks are an error.
     """
-    found = blocks.agg(F.count(F.lit(1)).alias("n"))
+    found = blocks.select("iblock").distinct().agg(F.count(F.lit(1)).alias("n"))
     enough = found.select(F.when(F.col("n") >= MIN_BLOCKS, F.col("n")).otherwise(
         F.raise_error(F.lit(f"fewer than {MIN_BLOCKS} blocks, too few for bootstrapping")).cast("bigint")))
     draws = bootstrap_draws(blocks.sparkSession, nboots, enough.scalar(), seed)
-    return draws.join(blocks, "iblock").groupBy("iboot").agg(
+    return draws.join(blocks, "iblock").groupBy(*keys, "iboot").agg(
         *[F.avg(v).alias(f"{v}_bootstrapped") for v in values])
 
 
@@ -86,11 +97,16 @@ def permute_time(df: DataFrame, seed: int | str, time: str = "time") -> DataFram
 
 
 def move_patches(df: DataFrame, moves: DataFrame, patch: tuple[int, int], keys: Sequence[str] = ()) -> DataFrame:
+    """Move cells with their patch; a cell in no patch of the moves is an error."""
     ph, pw = patch
     placed = df.withColumns({"py": F.floor(F.col("iy") / ph).cast("int"), "px": F.floor(F.col("ix") / pw).cast("int")})
-    return (placed.join(moves, [*keys, "py", "px"])
-            .withColumns({"iy": (F.col("py_to") * ph + F.col("iy") % ph).cast("int"),
-                          "ix": (F.col("px_to") * pw + F.col("ix") % pw).cast("int")})
+    lost = F.raise_error(F.concat_ws(" ", F.lit("a cell lies outside the grid of patches:"), "iy", "ix")).cast("int")
+
+    def moved(to: str, size: int, index: str) -> Column:
+        return F.when(F.col(to).isNotNull(), F.col(to) * size + F.col(index) % size).otherwise(lost).cast("int")
+
+    return (placed.join(moves, [*keys, "py", "px"], "left")
+            .withColumns({"iy": moved("py_to", ph, "iy"), "ix": moved("px_to", pw, "ix")})
             .drop("py", "px", "py_to", "px_to"))
 
 

@@ -121,9 +121,14 @@ def static_flags(df: DataFrame, variables: Sequence[str], on: Sequence[str] = CE
 
 
 def split_static_dynamic(df: DataFrame, static_names: Sequence[str] = ("z", "lsm"), keys: Sequence[str] = KEYS):
-    """Table of static variables per cell and table of the others."""
+    """Table of static variables per cell and table of the others; a static variable that changes is an error."""
     static = [c for c in df.columns if c in static_names]
-    fixed = df.groupBy(*[k for k in keys if k != "time"]).agg(*[F.first(c, ignorenulls=True).alias(c) for c in static])
+
+    def constant(c: str) -> Column:
+        changes = F.raise_error(F.lit(f"variable '{c}' is not static")).cast(dict(df.dtypes)[c])
+        return F.when(F.min(c) < F.max(c), changes).otherwise(F.max(c)).alias(c)
+
+    fixed = df.groupBy(*[k for k in keys if k != "time"]).agg(*[constant(c) for c in static])
     return fixed, df.drop(*static)
 
 
@@ -139,10 +144,12 @@ def field_tensor(df: DataFrame, predictors: Sequence[str], predictands: Sequence
 
 
 def gather_fields(df: DataFrame, value: Column, nx: int, ny: int, keys: Sequence[str], out: str) -> DataFrame:
-    """Arrays of a value in row-major cell order, one per key; a field with missing cells is NULL."""
-    place = (F.col("iy") * nx + F.col("ix")).cast("int")
-    cells = (df.where(F.col("iy").between(0, ny - 1) & F.col("ix").between(0, nx - 1))
-             .select(*keys, place.alias("_pos"), value.alias("_v")).repartition(*keys)
+    """Arrays of a value in row-major cell order, one per key; a field with missing cells is NULL.
+
+    A cell outside the grid is an error.
+    """
+    place = in_grid(nx, ny, (F.col("iy") * nx + F.col("ix")).cast("int"), "int")
+    cells = (df.select(*keys, place.alias("_pos"), value.alias("_v")).repartition(*keys)
              .groupBy(*keys, "_pos").agg(F.any_value("_v").alias("_v"), F.count(F.lit(1)).alias("_n")))
     single = F.when(F.col("_n") == 1, F.col("_v")).otherwise(
         F.raise_error(F.lit("a cell has more than one value at a time")).cast(value_type(df, value)))
@@ -152,5 +159,13 @@ def gather_fields(df: DataFrame, value: Column, nx: int, ny: int, keys: Sequence
     return gathered.select(*keys, field.alias(out))
 
 
+def in_grid(nx: int, ny: int, value: Column, kind: str) -> Column:
+    """The value; a cell outside the grid of ``nx`` by ``ny`` cells is an error that names it."""
+    inside = F.col("iy").between(0, ny - 1) & F.col("ix").between(0, nx - 1)
+    cell = F.concat_ws(", ", F.coalesce(F.col("iy").cast("string"), F.lit("NULL")), F.coalesce(F.col("ix").cast("string"), F.lit("NULL")))
+    lost = F.raise_error(F.concat(F.lit(f"a cell lies outside the grid of {ny}x{nx} cells: "), cell)).cast(kind)
+    return F.when(inside, value).otherwise(lost)
+
+
 def value_type(df: DataFrame, value: Column) -> str:
     return df.select(value.alias("v")).schema["v"].dataType.simpleString()

@@ -40,23 +40,23 @@ def scores_by(df: DataFrame, names: Sequence[str], by: Sequence[str] = (), fcst:
     return df.groupBy(*by).agg(*[AGGREGATES[n](fcst, ref).alias(n) for n in names])
 
 
-def _norm(df: DataFrame, error: Column, avg_dims: Sequence[str], name: str) -> DataFrame:
-    require(df, avg_dims)
+def _norm(df: DataFrame, error: Column, avg_dims: Sequence[str], name: str, by: Sequence[str]) -> DataFrame:
+    require(df, [*avg_dims, *by])
     sizes = [F.count_distinct(d).alias(f"_n_{d}") for d in avg_dims]
-    total = df.agg(F.sum(error).alias("_total"), *sizes)
+    total = df.groupBy(*by).agg(F.sum(error).alias("_total"), *sizes)
     points = F.lit(1.0)
     for d in avg_dims:
         points = points * F.col(f"_n_{d}")
-    return total.select(F.try_divide(F.col("_total"), points).alias(name))
+    return total.select(*by, F.try_divide(F.col("_total"), points).alias(name))
 
 
-def l1(df: DataFrame, avg_dims: Sequence[str], fcst: str = "fcst", ref: str = "ref_") -> DataFrame:
-    """Sum of absolute errors over everything, divided by the number of points of the averaging dimensions."""
-    return _norm(df, F.abs(_diff(fcst, ref)), avg_dims, "l1")
+def l1(df: DataFrame, avg_dims: Sequence[str], fcst: str = "fcst", ref: str = "ref_", by: Sequence[str] = ()) -> DataFrame:
+    """Sum of absolute errors per ``by``, divided by the number of points of the averaging dimensions in it."""
+    return _norm(df, F.abs(_diff(fcst, ref)), avg_dims, "l1", by)
 
 
-def l2(df: DataFrame, avg_dims: Sequence[str], fcst: str = "fcst", ref: str = "ref_") -> DataFrame:
-    return _norm(df, _diff(fcst, ref) * _diff(fcst, ref), avg_dims, "l2")
+def l2(df: DataFrame, avg_dims: Sequence[str], fcst: str = "fcst", ref: str = "ref_", by: Sequence[str] = ()) -> DataFrame:
+    return _norm(df, _diff(fcst, ref) * _diff(fcst, ref), avg_dims, "l2", by)
 
 
 def psnr(df: DataFrame, by: Sequence[str] = (), pixel_max: float = 1.0, fcst: str = "fcst",
@@ -101,11 +101,11 @@ REGISTRY: dict[str, Callable[..., DataFrame]] = {
     "ets": contingency.ets,
     "fbi": contingency.fbi,
     "pss": contingency.pss,
-    "l1": lambda df, by=(), avg_dims=("time", *CELL), **kw: l1(df, avg_dims, **kw),
-    "l2": lambda df, by=(), avg_dims=("time", *CELL), **kw: l2(df, avg_dims, **kw),
+    "l1": lambda df, by=(), avg_dims=("time", *CELL), **kw: l1(df, avg_dims, by=by, **kw),
+    "l2": lambda df, by=(), avg_dims=("time", *CELL), **kw: l2(df, avg_dims, by=by, **kw),
     "grad_amplitude": gradient.amplitude_ratio,
     "seeps": lambda df, by=(), params=None, **kw: seeps.seeps(df, params, by, **kw),
-    "iqd": lambda df, by=(), **kw: distribution.iqd(df, **kw),
+    "iqd": lambda df, by=(), **kw: distribution.iqd(df, by=by, **kw),
 }
 
 

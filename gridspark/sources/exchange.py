@@ -32,9 +32,16 @@ def write_stats(stats: DataFrame, path: str, norm: str = Z_SCORE) -> None:
     stats.withColumn("data_type", F.lit(norm)).write.json(path)
 
 
-def read_stats(spark: SparkSession, path: str, norm: str = Z_SCORE) -> DataFrame:
-    rows = spark.read.schema(STATS_SCHEMA).json(path)
+def read_stats(spark: SparkSession, path: str, norm: str = Z_SCORE, keys: str = "") -> DataFrame:
+    """Saved statistics; ``keys`` declares the columns of their keys, as in ``"iy int, ix int"``.
+
+    Several rows per key and variable are an error, so keys that were saved must be declared.
+    """
+    rows = spark.read.schema(", ".join(filter(None, (keys, STATS_SCHEMA)))).json(path)
+    names = [c for c in rows.columns if c not in ("variable", "mu", "sigma", "data_type")]
+    if not rows.groupBy(*names, "variable").count().where("count > 1").isEmpty():
+        raise ValueError("the file holds several statistics of a variable; declare its keys")
     checked = F.when(F.col("data_type") == norm, F.col("mu")).otherwise(
         F.raise_error(F.concat(F.lit(f"statistics are not of type {norm}: "), F.coalesce("data_type", F.lit("none"))))
         .cast("double"))
-    return rows.select("variable", checked.alias("mu"), "sigma")
+    return rows.select(*names, "variable", checked.alias("mu"), "sigma")

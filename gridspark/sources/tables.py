@@ -66,14 +66,18 @@ def write_monthly(df: DataFrame, path: str, time: str = "time", mode: str = "err
      .write.mode(mode).partitionBy("year", "month").parquet(path))
 
 
-def missing_months(df: DataFrame, existing: DataFrame, time: str = "time") -> DataFrame:
-    """Rows of months that the existing table does not hold yet."""
-    # twelve rows per year of the archive
-    done = F.broadcast(existing.select("year", "month").distinct())
-    return with_month(df, time).join(done, ["year", "month"], "left_anti").drop("year", "month")
+def missing_steps(df: DataFrame, existing: DataFrame, time: str = "time", keys: Sequence[str] = ()) -> DataFrame:
+    """Rows whose time step (and further ``keys``) the existing table does not hold yet.
+
+    Only the months that ``df`` has are read of the existing table.
+    """
+    rows = with_month(df, time)
+    months = rows.select("year", "month").distinct()
+    done = existing.join(months, ["year", "month"], "left_semi").select("year", "month", time, *keys).distinct()
+    return rows.join(done, ["year", "month", time, *keys], "left_anti").select(*df.columns)
 
 
-def append_missing(df: DataFrame, path: str, time: str = "time") -> None:
-    """Write only the months that are not there; what exists is not touched."""
+def append_missing(df: DataFrame, path: str, time: str = "time", keys: Sequence[str] = ()) -> None:
+    """Write only what is not there, also into months that are there in part; what exists is not touched."""
     existing = df.sparkSession.read.parquet(path)
-    write_monthly(missing_months(df, existing, time), path, time, mode="append")
+    write_monthly(missing_steps(df, existing, time, keys), path, time, mode="append")

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from gridspark.operators.normalize import normalized, stats_columns
+from gridspark.session import stored
 from gridspark.sources.tables import with_month
 
 MAX_WARN = 3
@@ -23,8 +24,8 @@ def stream_normalize(spark: SparkSession, source: str, schema, stats: DataFrame,
     records which files are done, so a restarted stream takes up where it stopped.
     """
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_step).parquet(source)
-    wide = stats_columns(stats, variables).withColumn("_one", F.lit(1))
-    # one row of statistics
+    # one row of statistics, computed now: each step reads the stored row, not the training data
+    wide = stored(stats_columns(stats, variables), "statistics").withColumn("_one", F.lit(1))
     joined = stream.withColumn("_one", F.lit(1)).join(F.broadcast(wide), "_one")
     cols = {v: normalized(F.col(v), F.col(f"mu_{v}"), F.col(f"sigma_{v}")).cast("float") for v in variables}
     keys = [c for c in stream.columns if c not in variables]
@@ -36,34 +37,58 @@ def stream_normalize(spark: SparkSession, source: str, schema, stats: DataFrame,
     return writer.start()
 
 
+def _verdict(bad: Column) -> Column:
+    """A row whose check has no answer has failed it."""
+    return F.coalesce(bad, F.lit(True))
+
+
 def bad_per_month(df: DataFrame, bad: Column, time: str = "time") -> DataFrame:
+    """Failed and good rows per month."""
+    failed = _verdict(bad)
     return with_month(df, time).groupBy("year", "month").agg(
-        F.count_if(bad).alias("n_bad"), F.count_if(~bad).alias("n_good"))
+        F.count_if(failed).alias("n_bad"), F.count_if(~failed).alias("n_good"))
+
+
+def bad_per_piece(df: DataFrame, bad: Column, pieces: Sequence[str] = ("time",)) -> DataFrame:
+    """Failed and good rows per piece, by default a time step."""
+    failed = _verdict(bad)
+    return df.groupBy(*pieces).agg(F.count_if(failed).alias("n_bad"), F.count_if(~failed).alias("n_good"))
 
 
-def error_budget(df: DataFrame, bad: Column, max_warn: int = MAX_WARN, time: str = "time") -> DataFrame:
-    """The good rows; more than ``max_warn`` months with failed rows end the job with an error."""
-    failed = bad_per_month(df, bad, time).where(F.col("n_bad") > 0).count()
+def _check_budget(failed: int, max_warn: int) -> None:
     if failed > max_warn:
-        raise ValueError(f"{failed} months have failed rows, {max_warn} are tolerated")
-    return df.where(~bad)
+        raise ValueError(f"{failed} pieces have failed rows, {max_warn} are tolerated")
+
+
+def error_budget(df: DataFrame, bad: Column, max_warn: int = MAX_WARN, pieces: Sequence[str] = ("time",)) -> DataFrame:
+    """The good rows; more than ``max_warn`` pieces with failed rows end the job with an error."""
+    _check_budget(bad_per_piece(df, bad, pieces).where("n_bad > 0").count(), max_warn)
+    return df.where(~_verdict(bad))
 
 
 def stream_with_budget(spark: SparkSession, source: str, schema, bad: Column, sink: str, checkpoint: str,
-                       max_warn: int = MAX_WARN, files_per_step: int = 1, time: str = "time") -> StreamingQuery:
-    """Stream good rows to the sink; the counts of failed rows lie next to it, so the budget also covers what
-    earlier steps and earlier runs used of it.  A step that is run again replaces what it wrote."""
+                       max_warn: int = MAX_WARN, files_per_step: int = 1, pieces: Sequence[str] = ("time",)) -> StreamingQuery:
+    """Stream good rows to the sink; the counts of failed rows lie next to it in ``<sink>_failed``.
+
+    Both are partitioned by run and step.  The run is the id that the checkpoint gives its query, so a step that is run again
+    replaces what it wrote, and a stream with a checkpoint of its own adds to what others have written.  The budget covers all
+    runs: a piece that fails in several steps counts once.
+    """
     counts = f"{sink}_failed"
 
     def step(batch: DataFrame, batch_id: int) -> None:
-        per_month = bad_per_month(batch, bad, time).withColumn("step", F.lit(batch_id))
-        (per_month.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-         .partitionBy("step").parquet(counts))
-        failed = spark.read.parquet(counts).where("n_bad > 0").select("year", "month").distinct().count()
-        if failed > max_warn:
-            raise ValueError(f"{failed} months have failed rows, {max_warn} are tolerated")
-        (batch.where(~bad).withColumn("step", F.lit(batch_id)).write.mode("overwrite")
-         .option("partitionOverwriteMode", "dynamic").partitionBy("step").parquet(sink))
+        run = batch.sparkSession.sparkContext.getLocalProperty("sql.streaming.queryId")
+        if not run:
+            raise RuntimeError("a step must know the id of its query")
+        place = {"run": F.lit(run), "step": F.lit(batch_id)}
+
+        def put(rows: DataFrame, path: str) -> None:
+            (rows.withColumns(place).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+             .partitionBy("run", "step").parquet(path))
+
+        put(bad_per_piece(batch, bad, pieces), counts)
+        _check_budget(spark.read.parquet(counts).where("n_bad > 0").select(*pieces).distinct().count(), max_warn)
+        put(batch.where(~_verdict(bad)), sink)
 
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_step).parquet(source)
     return (stream.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint)

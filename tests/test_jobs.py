@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from gridspark.operators import align, model, resample, reshape, samples, select
+from gridspark.operators import align, model, normalize, resample, reshape, samples, select
 from gridspark.plans.training import prepare_samples
 from gridspark.plans.verify import evaluate, verification_table
 from gridspark.session import scratch_dir
@@ -217,7 +217,6 @@ def test_verification_job(spark, daily):
 
 
 def test_stream_equals_batch_in_two_rounds(spark, daily):
-    from gridspark.operators import normalize
 
     base = scratch_dir(spark, "s")
     stats = normalize.zscore_stats(daily.where("month(time) = 1"), ["t_in", "t_tar"])
@@ -233,28 +232,105 @@ def test_stream_equals_batch_in_two_rounds(spark, daily):
 
 
 def test_error_budget(spark, daily):
+    # the first days of three months fail
     bad = (F.dayofmonth("time") == 1) & (F.col("iy") == 0)
-    assert ingest.error_budget(daily, bad, 3).count() == daily.count() - 6
-    with pytest.raises(ValueError):
+    n_bad = daily.where(bad).count()
+    assert ingest.error_budget(daily, bad, 3).count() == daily.count() - n_bad
+    with pytest.raises(ValueError, match="3 pieces"):
         ingest.error_budget(daily, bad, 2)
     base = scratch_dir(spark, "b")
     tables.write_monthly(daily, f"{base}/in")
-    ingest.stream_with_budget(spark, f"{base}/in", daily.schema, bad, f"{base}/out", f"{base}/c").awaitTermination()
-    assert spark.read.parquet(f"{base}/out").count() == daily.count() - 6
+    ingest.stream_with_budget(spark, f"{base}/in", daily.schema, bad, f"{base}/out", f"{base}/c", 3).awaitTermination()
+    assert spark.read.parquet(f"{base}/out").count() == daily.count() - n_bad
     with pytest.raises(Exception, match="tolerated"):
         ingest.stream_with_budget(spark, f"{base}/in", daily.schema, bad, f"{base}/out2", f"{base}/c2", max_warn=1).awaitTermination()
 
 
-def test_incremental_months(spark, daily):
+def test_second_stream_adds_to_the_sink(spark, daily):
+    base, never = scratch_dir(spark, "b"), F.lit(False)
+    early, late = daily.where("month(time) = 1"), daily.where("month(time) > 1")
+    for name, part in (("a", early), ("b", late)):
+        part.write.parquet(f"{base}/{name}")
+        ingest.stream_with_budget(spark, f"{base}/{name}", daily.schema, never, f"{base}/out", f"{base}/c{name}").awaitTermination()
+    assert spark.read.parquet(f"{base}/out").count() == daily.count()
+    # what earlier runs used of the budget counts
+    bad = F.col("iy") == 0
+    with pytest.raises(Exception, match="tolerated"):
+        for name in ("a", "b"):
+            ingest.stream_with_budget(spark, f"{base}/{name}", daily.schema, bad, f"{base}/out3", f"{base}/d{name}",
+                                      max_warn=early.select("time").distinct().count()).awaitTermination()
+
+
+def test_rows_without_a_verdict_have_failed(spark, daily):
+    bad = F.when(F.col("ix") > 0, F.lit(False))
+    good = ingest.error_budget(daily, bad, 10_000)
+    counts = ingest.bad_per_month(daily, bad).agg(F.sum("n_bad"), F.sum("n_good")).first()
+    assert good.count() == counts[1] == daily.where("ix > 0").count() and sum(counts) == daily.count()
+
+
+def test_incremental_steps(spark, daily):
     path = scratch_dir(spark, "m")
-    tables.write_monthly(daily.where("month(time) = 1"), path)
-    missing = tables.missing_months(daily, spark.read.parquet(path))
-    assert missing.agg(F.min("time")).first()[0] == dt.datetime(2020, 2, 1)
+    tables.write_monthly(daily.where("month(time) = 1 OR (month(time) = 2 AND day(time) < 10)"), path)
+    missing = tables.missing_steps(daily, spark.read.parquet(path))
+    assert missing.agg(F.min("time")).first()[0] == dt.datetime(2020, 2, 10) and missing.columns == daily.columns
     tables.append_missing(daily, path)
     tables.append_missing(daily, path)
     assert spark.read.parquet(path).count() == daily.count()
 
 
+def test_stream_reads_the_training_data_once(spark, daily):
+    base = scratch_dir(spark, "frozen")
+    tables.write_monthly(daily, f"{base}/in")
+    read = spark.sparkContext.accumulator(0)
+
+    def count(frames):
+        for f in frames:
+            read.add(len(f))
+            yield f
+    training = daily.mapInPandas(count, daily.schema)
+    stats = normalize.zscore_stats(training, ["t_in"])
+    ingest.stream_normalize(spark, f"{base}/in", daily.schema, stats, ["t_in"], f"{base}/out", f"{base}/check").awaitTermination()
+    assert read.value == daily.count() and spark.read.parquet(f"{base}/out").count() == daily.count()
+
+
+def test_statistics_must_be_there_once(spark, daily):
+    stats = normalize.zscore_stats(daily, ["t_in"])
+    with pytest.raises(Exception, match="no statistics of 't_tar'"):
+        normalize.zscore_normalize(daily, ["t_in", "t_tar"], stats).collect()
+    with pytest.raises(Exception, match="several statistics"):
+        normalize.zscore_normalize(daily, ["t_in"], stats.union(stats)).collect()
+    cell = normalize.zscore_stats(daily, ["t_in"], ["iy", "ix"])
+    with pytest.raises(ValueError, match="t_tar"):
+        normalize.zscore_normalize(daily, ["t_in", "t_tar"], cell, ["iy", "ix"])
+    path = scratch_dir(spark, "stats")
+    exchange.write_stats(cell, path)
+    assert sorted(exchange.read_stats(spark, path, keys="iy int, ix int").collect()) == sorted(cell.collect())
+    with pytest.raises(ValueError, match="keys"):
+        exchange.read_stats(spark, path)
+
+
+def test_cells_outside_the_grid_are_errors(spark, daily):
+    with pytest.raises(Exception, match="outside the grid"):
+        reshape.field_tensor(daily, ["t_in"], ["t_tar"], 1, 1).collect()
+    with pytest.raises(Exception, match="outside the grid"):
+        resample.permute_patches(daily, 1, 1, (1, 1), 3).collect()
+    moving = daily.withColumn("z", F.col("t_in"))
+    with pytest.raises(Exception, match="not static"):
+        reshape.split_static_dynamic(moving)[0].collect()
+
+
+def test_bootstrap_per_key_shares_draws(spark):
+    start = dt.datetime(2020, 1, 1)
+    rows = [(start + dt.timedelta(days=i), m, float(i + 1000 * m)) for i in range(125) for m in range(3)]
+    df = spark.createDataFrame(rows, "time timestamp_ntz, member int, v double")
+    blocks = resample.block_means(df, ["v"], 10, keys=["member"])
+    assert blocks.count() == 36
+    boots = {(r.member, r.iboot): r.v_bootstrapped for r in resample.block_bootstrap(blocks, ["v"], 7, keys=["member"]).collect()}
+    assert all(boots[2, i] == pytest.approx(boots[0, i] + 2000) for i in range(7))
+    with pytest.raises(Exception, match="name the other dimensions"):
+        resample.block_means(df, ["v"], 10).collect()
+
+
 def test_scratch_folder_must_be_shared_on_a_cluster():
     class Cluster:
         class conf:  # noqa: N801
