@@ -50,7 +50,8 @@ def op5_gif(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet")
     held_out = F.coalesce(fold(F.col("doc_id"), 4) == 2, F.lit(False))
-    model = toxicity.fit(toxicity.labelled(docs, labels.where(fold(F.col("doc_id"), 4) != 2)))
+    rows, share = toxicity.labelled(docs, labels.where(fold(F.col("doc_id"), 4) != 2))
+    model = toxicity.fit(rows, share=share)
     return toxicity.score(docs.select("doc_id", "text", held_out.alias("held_out")), model, carry=["doc_id", "held_out"])
 
 

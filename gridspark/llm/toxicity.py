@@ -99,22 +99,23 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             "clean": pa.array([counts[0][k] for k in part], pa.int64()), "toxic": pa.array([counts[1][k] for k in part], pa.int64())})
 
 
-def sample(rows: DataFrame, most: int = FIT_ROWS) -> tuple[DataFrame, dict[int, float]]:
-    """About ``most`` rows per label at the most, picked by a hash of the text; and the share that each label keeps."""
+def sample(rows: DataFrame, key: str, most: int = FIT_ROWS) -> tuple[DataFrame, dict[int, float]]:
+    """About ``most`` rows per label at the most, picked by a hash of ``key``; and the share that each label keeps."""
     totals = {int(r["label"]): r["count"] for r in rows.groupBy("label").count().collect()}
     share = {k: min(1.0, most / n) for k, n in totals.items()}
-    pick = F.pmod(F.xxhash64("text"), F.lit(1_000_000))
+    pick = F.pmod(F.xxhash64(key), F.lit(1_000_000))
     limit = F.when(F.col("label") == 1, F.lit(int(share.get(1, 1.0) * 1_000_000))).otherwise(F.lit(int(share.get(0, 1.0) * 1_000_000)))
     return rows.where(pick < limit), share
 
 
-def fit(df: DataFrame, text: str = "text", label: str = "toxic", most: int = FIT_ROWS, penalty: float = SWAP_PENALTY) -> Model:
+def fit(df: DataFrame, text: str = "text", label: str = "toxic", most: int = FIT_ROWS, penalty: float = SWAP_PENALTY,
+        share: dict[int, float] | None = None) -> Model:
     """A model from the labelled rows of ``df``; rows without a label are left out, a null text is an empty one.
 
-    Nothing but the text is an input.  With no toxic row or no clean one the model gives every text the share of the labels.
+    A sample is drawn unless ``share`` says which share of each label ``df`` already is.  Nothing but the text is an input.  With no toxic row or no clean one the model gives every text the share of the labels.
     """
     rows = df.select(F.coalesce(F.col(text), F.lit("")).alias("text"), F.col(label).cast("int").alias("label")).where("label IN (0, 1)")
-    picked, share = sample(rows, most)
+    picked, share = sample(rows, "text", most) if share is None else (rows, share)
     picked = stored(picked, "toxic-sample")
     sizes = {int(r["label"]): r["count"] for r in picked.groupBy("label").count().collect()}
     n_clean, n_toxic = sizes.get(0, 0), sizes.get(1, 0)
@@ -201,10 +202,14 @@ def score(df: DataFrame, model: Model, text: str = "text", carry: list[str] | No
     return add_columns(df, [text], new, make, carry)
 
 
-def labelled(docs: DataFrame, labels: DataFrame, label: str = "toxic") -> DataFrame:
-    """Texts with the label of their document.
+def labelled(docs: DataFrame, labels: DataFrame, label: str = "toxic", most: int = FIT_ROWS) -> tuple[DataFrame, dict[int, float]]:
+    """Texts with the label of their document, at most about ``most`` per label, and the share that each label keeps.
 
-    A document with several labels counts as toxic if one says so; null labels and labels of unknown documents are left out.
+    A document with several labels counts as toxic if one says so; null labels and labels of unknown documents are left out.  The
+    sample is drawn from the labels, so that it is the labels that are sent to the texts, and no text is moved.
     """
     one = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max(label).alias("label"))
-    return docs.select("doc_id", "text").join(one, "doc_id").select("doc_id", "text", F.col("label").alias(label))
+    picked, share = sample(one, "doc_id", most)
+    # not more than two times ``most`` ids
+    met = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id")
+    return met.select("doc_id", "text", F.col("label").alias(label)), share
