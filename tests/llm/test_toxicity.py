@@ -51,7 +51,7 @@ def test_edges(table, docs, collect):
 
 def test_labels_of_a_document(spark, docs):
     labels = spark.createDataFrame([(0, 0), (0, 1), (1, None), (None, 1), (9, 1)], "doc_id long, toxic int")
-    assert [(r.doc_id, r.toxic) for r in toxicity.labelled(docs("a", "b"), labels).collect()] == [(0, 1)]
+    assert [(r.doc_id, r.toxic) for r in toxicity.labelled(docs("a", "b"), labels)[0].collect()] == [(0, 1)]
 
 
 def test_query(sure, spark, sf_dir):
