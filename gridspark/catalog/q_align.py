@@ -117,6 +117,29 @@ def remap_bilinear(spark, sf_dir):
     return df.select("t", "iy", "ix", rd("fcst", 8).alias("fcst"), rd("ref_", 8).alias("ref_"))
 
 
+# fields around the globe, and targets across their first meridian, some beyond the fields
+GLOBE, TURNS = Grid(8, 8, 0.0, 45.0, 48.0, 0.5), Grid(24, 8, -360.0, 45.0, 48.0, 0.5)
+WRAP_GRID = Grid(6, 5, -70.0, 25.0, 47.0, 1.2)
+TURNED = "SELECT t, iy, CAST(ix + k AS INT) AS ix, fcst FROM E, (SELECT unnest([0, 8, 16]) AS k)"
+
+
+@query("remap_conservative_wrap", f"""
+WITH S AS ({TURNED}), R AS ({con_sql('S', WRAP_GRID, TURNS, ['fcst'], 't')}),
+C AS (SELECT t, CAST(y AS INT) AS iy, CAST(x AS INT) AS ix FROM (SELECT DISTINCT t FROM E), range(5) a(y), range(6) b(x))
+SELECT C.t, C.iy, C.ix, {r('R.fcst', 8)} AS fcst FROM C LEFT JOIN R ON R.t = C.t AND R.iy = C.iy AND R.ix = C.ix""")
+def remap_conservative_wrap(spark, sf_dir):
+    df = regrid.remap_conservative(view_e(spark, sf_dir), GLOBE, WRAP_GRID, ["fcst"], ["t"])
+    return df.select("t", "iy", "ix", rd("fcst", 8).alias("fcst"))
+
+
+@query("remap_bilinear_wrap", f"""
+WITH S AS ({TURNED}), R AS ({bil_sql('S', WRAP_GRID, TURNS, ['fcst'], 't')})
+SELECT t, iy, ix, {r('fcst', 8)} AS fcst FROM R""")
+def remap_bilinear_wrap(spark, sf_dir):
+    df = regrid.remap_bilinear(view_e(spark, sf_dir), GLOBE, WRAP_GRID, ["fcst"], ["t"])
+    return df.select("t", "iy", "ix", rd("fcst", 8).alias("fcst"))
+
+
 COARSE_E = GRID_E.coarsened(2)
 
 

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from gridspark.catalog.fixtures import view_d, view_e
 from gridspark.catalog.registry import hash_sql, query, r, rd
-from gridspark.operators import model, resample
+from gridspark.operators import model, resample, reshape
 from gridspark.operators.scores import rmse
+from gridspark.session import stored
 
 BLOCKS = f"""SELECT CAST(floor((rn - 1) / 10) AS BIGINT) AS iblock, avg(rmse) AS rmse, avg(bias) AS bias FROM (
     SELECT row_number() OVER (ORDER BY time) AS rn, rmse, bias FROM (
@@ -127,6 +129,33 @@ def feature_importance(spark, sf_dir):
     return _importance(spark, sf_dir)[2].select("predictor", "t", rd("score").alias("score"))
 
 
+@query("feature_importance_psnr", f"""{IMPORTANCE}
+SELECT predictor, t, CASE WHEN score = 0 THEN 100.0 ELSE {r('20 * log10(2.5 / score)')} END AS score FROM S""")
+def feature_importance_psnr(spark, sf_dir):
+    e, predict, _ = _importance(spark, sf_dir)
+    df = model.feature_importance(e, ["fcst", "sq"], "ref_", 8, 8, predict, "psnr", (2, 4), 7, "t", pixel_max=2.5)
+    return df.select("predictor", "t", rd("score").alias("score"))
+
+
+def mean_filter(fields):
+    """Means over 3x3 cells, edges repeated, of the first channel."""
+    f = np.pad(fields[..., 0].astype(np.float64), ((0, 0), (1, 1), (1, 1)), mode="edge")
+    return sum(f[:, j:j + 8, i:i + 8] for j in range(3) for i in range(3)) / 9
+
+
+@query("field_inference", f"""
+WITH W AS (SELECT a.t, a.iy, a.ix, avg(CAST(CAST(b.fcst AS FLOAT) AS DOUBLE)) AS m FROM E a,
+    (SELECT unnest([-1, 0, 1]) AS dy) y, (SELECT unnest([-1, 0, 1]) AS dx) x
+  JOIN E b ON b.t = a.t AND b.iy = greatest(0, least(7, a.iy + dy)) AND b.ix = greatest(0, least(7, a.ix + dx)) GROUP BY ALL)
+SELECT W.t, W.iy, W.ix, E.lat, E.lon, {r('2.0 * m + 280.0')} AS fcst FROM W JOIN E ON E.t = W.t AND E.iy = W.iy AND E.ix = W.ix""")
+def field_inference(spark, sf_dir):
+    e = view_e(spark, sf_dir)
+    tensors = reshape.field_tensor(e, ["fcst"], ["ref_"], 8, 8, time="t")
+    df = model.field_inference(tensors, mean_filter, 8, 8, ["t"], mu=280.0, sigma=2.0)
+    placed = df.join(stored(e.select("iy", "ix", "lat", "lon").distinct(), "cells"), ["iy", "ix"])
+    return placed.select("t", "iy", "ix", "lat", "lon", rd("fcst").alias("fcst"))
+
+
 @query("importance_relative", f"""{IMPORTANCE},
 RS AS (SELECT sqrt(avg(power(0.7 * fcst + 0.4 * fcst * fcst - ref_, 2))) AS s FROM E)
 SELECT predictor, t, {r('score / s')} AS rel_change, (SELECT ceil(max(score) / max(s) + 1) FROM S, RS)::BIGINT AS axis_max

@@ -21,6 +21,14 @@ def sel_lonlat_box(spark, sf_dir):
     return df.select("t", "iy", "ix", rd("fcst").alias("fcst"))
 
 
+@query("sel_lonlat_box_wrap", f"""
+SELECT t, iy, ix, {r('fcst')} AS fcst FROM E WHERE ((ix * 45) % 360 >= 300 OR (ix * 45) % 360 <= 50) AND lat BETWEEN 48.75 AND 50.0""")
+def sel_lonlat_box_wrap(spark, sf_dir):
+    # a table of 0..360 degrees and a box across its first meridian
+    around = view_e(spark, sf_dir).withColumn("lon", 45.0 * F.col("ix"))
+    return select.sel_lonlat_box(around, (-60.0, 50.0, 48.75, 50.0)).select("t", "iy", "ix", rd("fcst").alias("fcst"))
+
+
 @query("sel_hours", f"SELECT {STIME}, {r('ref_')} AS ref_ FROM H WHERE hour(time) BETWEEN 10 AND 16")
 def sel_hours(spark, sf_dir):
     return _out(select.sel_hours(view_h(spark, sf_dir), range(10, 17)), "ref_")

@@ -22,6 +22,11 @@ class Grid:
     y0: float
     dy: float
 
+    @property
+    def cyclic(self) -> bool:
+        """Whether the last cell of a line meets the first one."""
+        return abs(self.nx * abs(self.dx) - 360.0) < 1e-6
+
     def coarsened(self, factor: int) -> Grid:
         """Every ``factor`` x ``factor`` cells become one, over the same area."""
         if self.nx % factor or self.ny % factor:
@@ -103,6 +108,12 @@ def small(df: DataFrame, rows: int) -> DataFrame:
 
 
 def in_box(lon: Column, lat: Column, box: tuple[float, float, float, float]) -> Column:
-    """Inside a lon/lat box; plain column bounds, so that they reach the Parquet scan."""
+    """Inside a lon/lat box; plain column bounds, so that they reach the Parquet scan.
+
+    Longitudes that differ by 360 degrees are the same, so a box may lie across the zero or date meridian of the table.
+    """
     x0, x1, y0, y1 = box
-    return (lon >= x0) & (lon <= x1) & (lat >= y0) & (lat <= y1)
+    inside = (lon >= x0) & (lon <= x1)
+    for turn in (-360.0, 360.0):
+        inside = inside | ((lon >= x0 + turn) & (lon <= x1 + turn))
+    return inside & (lat >= y0) & (lat <= y1)

@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Sequence
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import LinearRegression
 from pyspark.sql import Column, DataFrame
@@ -12,7 +14,7 @@ from pyspark.sql import functions as F
 
 from gridspark.columns import CELL, require
 from gridspark.operators.resample import move_patches, patch_permutation, time_permutation
-from gridspark.operators.scores import AGGREGATES
+from gridspark.operators.scores import score as score_by_name
 
 
 def fit_linear(df: DataFrame, predictors: Sequence[str], target: str) -> dict[str, float]:
@@ -47,6 +49,29 @@ def batch_inference(df: DataFrame, model: Callable[[pd.DataFrame], pd.Series], i
     return df.select(*keys, *inputs).mapInPandas(predict, fields)
 
 
+def field_inference(df: DataFrame, model: Callable[[np.ndarray], np.ndarray], nx: int, ny: int, keys: Sequence[str] = ("time",),
+                    tensor: str = "tensor", mu: float = 0.0, sigma: float = 1.0, out: str = "fcst") -> DataFrame:
+    """Predictions of a model over whole fields, back in physical units: one row per key and cell.
+
+    ``df`` has a tensor per key as ``field_tensor`` makes it; the model takes a batch of shape (fields, ny, nx, channels) and
+    returns one of (fields, ny, nx).  A field with missing cells has no prediction.
+    """
+    require(df, [*keys, tensor])
+    fields = df.select(*keys).schema.simpleString().removeprefix("struct<").removesuffix(">").replace(":", " ")
+
+    def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            cells = batch.column(tensor)
+            values = cells.flatten().flatten().to_numpy(zero_copy_only=False)
+            result = model(values.reshape(len(cells), ny, nx, -1)) if len(cells) else np.zeros((0, ny, nx))
+            rows = pa.array((np.asarray(result, dtype=np.float64) * sigma + mu).reshape(len(cells), ny * nx).tolist(), pa.list_(pa.float64()))
+            yield pa.RecordBatch.from_pydict({k: batch.column(k) for k in keys} | {"_field": rows})
+
+    whole = df.select(*keys, tensor).where(F.col(tensor).isNotNull())
+    found = whole.mapInArrow(predict, f"{fields}, _field array<double>").select(*keys, F.posexplode("_field").alias("_pos", out))
+    return found.select(*keys, F.floor(F.col("_pos") / nx).cast("int").alias("iy"), (F.col("_pos") % nx).cast("int").alias("ix"), out)
+
+
 def permuted_inputs(df: DataFrame, predictors: Sequence[str], nx: int, ny: int, patch: tuple[int, int],
                     seed: int | str = 42, time: str = "time") -> DataFrame:
     """The table once per predictor with this predictor alone permuted in time and space.
@@ -67,16 +92,17 @@ def permuted_inputs(df: DataFrame, predictors: Sequence[str], nx: int, ny: int,
 
 def feature_importance(df: DataFrame, predictors: Sequence[str], target: str, nx: int, ny: int,
                        predict: Column | Callable[[DataFrame], DataFrame], score: str = "rmse",
-                       patch: tuple[int, int] = (6, 6), seed: int | str = 42, time: str = "time") -> DataFrame:
+                       patch: tuple[int, int] = (6, 6), seed: int | str = 42, time: str = "time", **options) -> DataFrame:
     """Score per predictor and time when that predictor is permuted: ``(predictor, time, score)``.
 
     ``predict`` is a column expression, or a function that adds a ``fcst`` column to the permuted table.
-    All predictors run in the same job.
+    All predictors run in the same job.  The score is any of the registry, with its ``options``.
     """
     require(df, [*predictors, target])
     permuted = permuted_inputs(df, predictors, nx, ny, patch, seed, time)
     scored = permuted.withColumn("fcst", predict) if isinstance(predict, Column) else predict(permuted)
-    return scored.groupBy("predictor", time).agg(AGGREGATES[score]("fcst", target).alias("score"))
+    found = score_by_name(scored, score, ["predictor", time], fcst="fcst", ref=target, **options)
+    return found.select("predictor", time, F.col(score).alias("score"))
 
 
 def importance_relative(importance: DataFrame, ref_score: Column) -> DataFrame:

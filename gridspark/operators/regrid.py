@@ -15,28 +15,53 @@ from pyspark.sql import functions as F
 from gridspark.operators.grid import Grid, small
 
 
-def _overlaps(index: Column, src, dst, measure) -> Column:
-    """Source cells along one axis that the target cell touches: array of (source index, common size)."""
+# How the indices of an axis go on at its ends: not at all, after a turn of the globe, or around the globe.
+PLAIN, TURNED, CYCLIC = 0, 1, 2
+
+
+def _along_x(grid: Grid) -> int:
+    return CYCLIC if grid.cyclic else TURNED
+
+
+def _centre(index: Column, src, dst, ends: int) -> Column:
+    """Coordinate of the target cell, for longitudes in the turn that is nearest to the source."""
     (sn, s0, sd), (t0, td) = src, dst
     centre = F.lit(t0) + index * td
+    if ends == PLAIN:
+        return centre
+    middle = s0 + (sn - 1) / 2 * sd
+    return centre - 360.0 * F.round((centre - middle) / 360.0)
+
+
+def _overlaps(index: Column, src, dst, measure, ends: int = PLAIN) -> Column:
+    """Source cells along one axis that the target cell touches: array of (source index, common size)."""
+    (sn, s0, sd), (t0, td) = src, dst
+    centre = _centre(index, src, dst, ends)
     t_lo, t_hi = centre - abs(td) / 2, centre + abs(td) / 2
-    ends = (t_lo - s0) / sd, (t_hi - s0) / sd
-    first = F.greatest(F.floor(F.least(*ends)), F.lit(0)).cast("int")
-    last = F.least(F.ceil(F.greatest(*ends)), F.lit(sn - 1)).cast("int")
+    bounds = (t_lo - s0) / sd, (t_hi - s0) / sd
+    first, last = F.floor(F.least(*bounds)), F.ceil(F.greatest(*bounds))
+    if ends != CYCLIC:
+        first, last = F.greatest(first, F.lit(0)), F.least(last, F.lit(sn - 1))
+    first, last = first.cast("int"), last.cast("int")
 
     def pair(s):
         lo = F.greatest(t_lo, s0 + s * sd - abs(sd) / 2)
         hi = F.least(t_hi, s0 + s * sd + abs(sd) / 2)
-        return F.struct(s.alias("s"), F.when(hi - lo > 1e-12, measure(lo, hi)).alias("w"))
+        return F.struct(F.pmod(s, F.lit(sn)).alias("s"), F.when(hi - lo > 1e-12, measure(lo, hi)).alias("w"))
 
     cells = F.when(last >= first, F.transform(F.sequence(first, last), pair))
     return F.filter(cells, lambda c: c["w"].isNotNull())
 
 
-def _neighbours(index: Column, src, dst, extrapolate: bool) -> Column:
+def _neighbours(index: Column, src, dst, extrapolate: bool, ends: int = PLAIN) -> Column:
     """The two source indices around the target along one axis and their linear weights."""
-    (sn, s0, sd), (t0, td) = src, dst
-    f = (F.lit(t0) + index * td - s0) / sd
+    (sn, s0, sd), _ = src, dst
+    f = (_centre(index, src, dst, ends) - s0) / sd
+    if ends == CYCLIC:
+        i0 = F.floor(f).cast("int")
+        pairs = F.array(F.struct(F.pmod(i0, F.lit(sn)).alias("s"), (1 - (f - i0)).alias("w")),
+                        F.struct(F.pmod(i0 + 1, F.lit(sn)).alias("s"), (f - i0).alias("w")))
+        return F.filter(pairs, lambda c: c["w"] != 0)
     if not extrapolate:
         f = F.greatest(F.lit(0.0), F.least(F.lit(float(sn - 1)), f))
     i0 = F.greatest(F.lit(0), F.least(F.lit(max(sn - 2, 0)), F.floor(f).cast("int")))
@@ -59,7 +84,7 @@ def conservative_weights(spark: SparkSession, src: Grid, dst: Grid) -> DataFrame
     return _weight_table(
         spark, dst,
         lambda i: _overlaps(i, (src.nx, src.x0, src.dx), (dst.x0, dst.dx),
-                            lambda lo, hi: F.radians(hi) - F.radians(lo)),
+                            lambda lo, hi: F.radians(hi) - F.radians(lo), _along_x(src)),
         lambda i: _overlaps(i, (src.ny, src.y0, src.dy), (dst.y0, dst.dy),
                             lambda lo, hi: F.sin(F.radians(hi)) - F.sin(F.radians(lo))))
 
@@ -68,7 +93,7 @@ def bilinear_weights(spark: SparkSession, src: Grid, dst: Grid, extrapolate: boo
     """Up to four source neighbours per target cell."""
     return _weight_table(
         spark, dst,
-        lambda i: _neighbours(i, (src.nx, src.x0, src.dx), (dst.x0, dst.dx), extrapolate),
+        lambda i: _neighbours(i, (src.nx, src.x0, src.dx), (dst.x0, dst.dx), extrapolate, _along_x(src)),
         lambda i: _neighbours(i, (src.ny, src.y0, src.dy), (dst.y0, dst.dy), extrapolate))
 
 
@@ -78,6 +103,26 @@ def conservative_rows(src: Grid, dst: Grid) -> int:
     return dst.nx * dst.ny * along[0] * along[1]
 
 
+def without_source(df: DataFrame, weights: DataFrame, dst: Grid, values: Sequence[str], keys: Sequence[str]) -> DataFrame:
+    """Target cells that touch no source cell, missing at each key of the table, so that target fields are complete."""
+    ids = F.explode(F.sequence(F.lit(0), F.lit(dst.nx * dst.ny - 1)))
+    cells = df.select(*keys).distinct().select(*keys, ids.alias("_id"))
+    touched = weights.select((F.col("ty") * dst.nx + F.col("tx")).alias("_id")).distinct()
+    return cells.join(touched, "_id", "left_anti").select(
+        *keys, F.floor(F.col("_id") / dst.nx).cast("int").alias("iy"), (F.col("_id") % dst.nx).cast("int").alias("ix"),
+        *[F.lit(None).cast("double").alias(v) for v in values])
+
+
+def covers(src: Grid, dst: Grid) -> bool:
+    """Whether all target cells surely touch source cells, by the outer bounds of the grids."""
+    def inside(s0, sd, sn, t0, td, tn):
+        half = (abs(sd) + abs(td)) / 2
+        s, t = sorted((s0, s0 + (sn - 1) * sd)), sorted((t0, t0 + (tn - 1) * td))
+        return t[0] > s[0] - half + 1e-9 and t[1] < s[1] + half - 1e-9
+    x = src.cyclic or inside(src.x0, src.dx, src.nx, dst.x0, dst.dx, dst.nx)
+    return x and inside(src.y0, src.dy, src.ny, dst.y0, dst.dy, dst.ny)
+
+
 def apply_weights(df: DataFrame, weights: DataFrame, rows: int, values: Sequence[str],
                   keys: Sequence[str] = ("time",), renormalise: bool = True) -> DataFrame:
     """Weighted values on the target cells.
@@ -101,8 +146,10 @@ def apply_weights(df: DataFrame, weights: DataFrame, rows: int, values: Sequence
 
 def remap_conservative(df: DataFrame, src: Grid, dst: Grid, values: Sequence[str],
                        keys: Sequence[str] = ("time",)) -> DataFrame:
+    """Means by common area; a target cell that touches no source cell is missing."""
     weights = conservative_weights(df.sparkSession, src, dst)
-    return apply_weights(df, weights, conservative_rows(src, dst), values, keys)
+    out = apply_weights(df, weights, conservative_rows(src, dst), values, keys)
+    return out if covers(src, dst) else out.unionByName(without_source(df, weights, dst, values, keys))
 
 
 def remap_bilinear(df: DataFrame, src: Grid, dst: Grid, values: Sequence[str],
