@@ -106,5 +106,9 @@ def compare_experiments(scores: DataFrame, names: Sequence[str], value: str, by:
 
 
 def sort_time(df: DataFrame, time: str = "time", out: str = "pos") -> DataFrame:
-    """Position of each row on the sorted time axis."""
-    return time_ranks(df, time, out=out)
+    """Position of each row's time step on the sorted axis of distinct steps; rows of one step share it.
+
+    Only the steps are ranked, so a table of cells is not sorted.
+    """
+    steps = stored(df.select(time).distinct(), "steps")
+    return df.join(stored(time_ranks(steps, time, out=out), "positions"), time).select(*df.columns, out)

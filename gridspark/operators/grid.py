@@ -7,9 +7,6 @@ from dataclasses import dataclass, replace
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-# Tables up to this many rows may be sent to every executor.
-BROADCAST_ROWS = 2_000_000
-
 
 @dataclass(frozen=True)
 class Grid:
@@ -101,12 +98,6 @@ def grid_cells(spark: SparkSession, grid: Grid) -> DataFrame:
     return expand_cells(grid_row(spark, grid)).drop("xsize", "ysize", "xfirst", "xinc", "yfirst", "yinc")
 
 
-def small(df: DataFrame, rows: int) -> DataFrame:
-    """Broadcast a table whose row count is known from grid sizes, if it is small enough; else leave the
-    choice of the join to Spark."""
-    return F.broadcast(df) if rows <= BROADCAST_ROWS else df
-
-
 def in_box(lon: Column, lat: Column, box: tuple[float, float, float, float]) -> Column:
     """Inside a lon/lat box; plain column bounds, so that they reach the Parquet scan.
 

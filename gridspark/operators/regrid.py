@@ -1,18 +1,19 @@
 """Conservative and bilinear regridding with a weight table per pair of grids.
 
 The weights depend on the two grids only.  Along each axis the source cells that a target cell touches follow
-from arithmetic on the indices, so no range join is needed; the data meets the weights in one equi-join.
+from arithmetic on the indices, so no range join is needed; the data meets the weights in one equi-join.  The weights
+are stored first, so that Spark knows their size and sends them to the data only if they are small.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridspark.operators.grid import Grid, small
+from gridspark.operators.grid import Grid
+from gridspark.session import stored
 
 
 # How the indices of an axis go on at its ends: not at all, after a turn of the globe, or around the globe.
@@ -97,12 +98,6 @@ def bilinear_weights(spark: SparkSession, src: Grid, dst: Grid, extrapolate: boo
         lambda i: _neighbours(i, (src.ny, src.y0, src.dy), (dst.y0, dst.dy), extrapolate))
 
 
-def conservative_rows(src: Grid, dst: Grid) -> int:
-    """Upper bound of the rows of the weight table."""
-    along = [math.ceil(abs(t / s)) + 2 for t, s in ((dst.dx, src.dx), (dst.dy, src.dy))]
-    return dst.nx * dst.ny * along[0] * along[1]
-
-
 def without_source(df: DataFrame, weights: DataFrame, dst: Grid, values: Sequence[str], keys: Sequence[str]) -> DataFrame:
     """Target cells that touch no source cell, missing at each key of the table, so that target fields are complete."""
     ids = F.explode(F.sequence(F.lit(0), F.lit(dst.nx * dst.ny - 1)))
@@ -123,14 +118,14 @@ def covers(src: Grid, dst: Grid) -> bool:
     return x and inside(src.y0, src.dy, src.ny, dst.y0, dst.dy, dst.ny)
 
 
-def apply_weights(df: DataFrame, weights: DataFrame, rows: int, values: Sequence[str],
+def apply_weights(df: DataFrame, weights: DataFrame, values: Sequence[str],
                   keys: Sequence[str] = ("time",), renormalise: bool = True) -> DataFrame:
     """Weighted values on the target cells.
 
     With ``renormalise`` a missing source cell takes its own weight out of the mean (conservative);
     without it a target with any missing neighbour is missing (bilinear).
     """
-    joined = df.select(*keys, "iy", "ix", *values).join(small(weights, rows), ["iy", "ix"])
+    joined = df.select(*keys, "iy", "ix", *values).join(weights, ["iy", "ix"])
     aggs = []
     for v in values:
         total = F.sum(F.col("w") * F.col(v))
@@ -147,12 +142,12 @@ def apply_weights(df: DataFrame, weights: DataFrame, rows: int, values: Sequence
 def remap_conservative(df: DataFrame, src: Grid, dst: Grid, values: Sequence[str],
                        keys: Sequence[str] = ("time",)) -> DataFrame:
     """Means by common area; a target cell that touches no source cell is missing."""
-    weights = conservative_weights(df.sparkSession, src, dst)
-    out = apply_weights(df, weights, conservative_rows(src, dst), values, keys)
+    weights = stored(conservative_weights(df.sparkSession, src, dst), "weights")
+    out = apply_weights(df, weights, values, keys)
     return out if covers(src, dst) else out.unionByName(without_source(df, weights, dst, values, keys))
 
 
 def remap_bilinear(df: DataFrame, src: Grid, dst: Grid, values: Sequence[str],
                    keys: Sequence[str] = ("time",), extrapolate: bool = True) -> DataFrame:
-    weights = bilinear_weights(df.sparkSession, src, dst, extrapolate)
-    return apply_weights(df, weights, 4 * dst.nx * dst.ny, values, keys, renormalise=False)
+    weights = stored(bilinear_weights(df.sparkSession, src, dst, extrapolate), "weights")
+    return apply_weights(df, weights, values, keys, renormalise=False)

@@ -8,6 +8,9 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+_HANDED_OUT: dict[str, list[str]] = {}
+
+
 def build_session(app: str = "gridspark", master: str | None = None, **conf: str) -> SparkSession:
     """A session with the settings the library relies on; a cluster keeps its own master and sizes."""
     builder = SparkSession.builder.appName(app)
@@ -36,7 +39,21 @@ def scratch_dir(spark: SparkSession, label: str) -> str:
         if not spark.sparkContext.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder shared by all executors")
         base = tempfile.mkdtemp(prefix="gridspark-")
-    return f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex}"
+    path = f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex}"
+    _HANDED_OUT.setdefault(spark.sparkContext.applicationId, []).append(path)
+    return path
+
+
+def release_scratch(spark: SparkSession) -> int:
+    """Delete the folders handed out in this application so far; returns their number.
+
+    To be called when no table that was read from them is needed any more.
+    """
+    paths = _HANDED_OUT.pop(spark.sparkContext.applicationId, [])
+    for path in paths:
+        place = spark._jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+    return len(paths)
 
 
 def stored(df: DataFrame, label: str) -> DataFrame:

@@ -63,8 +63,15 @@ def test_bilinear_missing_neighbour_is_missing(make_fields, to_array):
 def test_weights_of_a_target_cell_add_up(spark):
     w = regrid.bilinear_weights(spark, FINE, Grid(7, 5, 5.9, 0.6, 47.0, 0.7)).groupBy("ty", "tx").agg(F.sum("w").alias("s"))
     assert all(r.s == pytest.approx(1.0) for r in w.collect())
-    rows = regrid.conservative_weights(spark, FINE, FINE.coarsened(2)).count()
-    assert rows <= regrid.conservative_rows(FINE, FINE.coarsened(2))
+    around = Grid(12, 4, 0.0, 30.0, 45.0, 2.0)
+    for weights in (regrid.bilinear_weights, regrid.conservative_weights):
+        w = weights(spark, around, Grid(4, 3, -40.0, 20.0, 46.0, 1.5)).groupBy("ty", "tx").agg(F.sum("w").alias("s"), F.min("ix").alias("lo"))
+        assert w.count() == 12 and all(r.lo >= 0 for r in w.collect())
+
+
+def test_targets_without_source_are_missing(make_fields, to_array):
+    out = to_array(regrid.remap_conservative(make_fields(v=np.ones((2, 6, 8))), FINE, Grid(40, 3, FINE.x0, FINE.dx, FINE.y0, FINE.dy), ["v"]), "v")
+    assert out.shape == (2, 3, 40) and (out[:, :, :8] == 1).all() and np.isnan(out[:, :, 8:]).all()
 
 
 def test_pipeline_keeps_the_height_dependence(spark, make_fields, to_array):
