@@ -95,16 +95,15 @@ def slots(of: DataFrame, mix: Mix) -> DataFrame:
     """One row per slot: ``sid``, ``shard``, ``slot``, ``pass`` and the ``block`` it holds.
 
     A source's slots fall on the shards by a multinomial draw, seeded by the source, so that its total is met and a task that
-    runs again draws the same.  A row per source and shard is dealt out before the slots are made, so that no task holds all
-    slots of a large source.
+    runs again draws the same.  A row per source and shard is dealt out to a number of tasks that grows with the slots, before
+    the slots are made, so that no task holds all slots of a large source.
     """
-    shards = of.agg(F.greatest(F.lit(1), F.ceil(F.sum("n_slots") / mix.shard_slots)).cast("bigint").alias("n_shards"))
-    seed = mix.seed
+    total = of.agg(F.sum("n_slots")).first()[0] or 0
+    m, seed = max(1, -(-total // mix.shard_slots)), mix.seed
 
     def draw(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             for r in frame.itertuples():
-                m = int(r.n_shards)
                 counts = np.random.default_rng(_key(seed, r.sid)).multinomial(int(r.n_slots), np.full(m, 1.0 / m))
                 first = np.cumsum(counts) - counts
                 has = np.flatnonzero(counts)
@@ -123,10 +122,9 @@ def slots(of: DataFrame, mix: Mix) -> DataFrame:
                     block[at] = shuffled_index(index[at], int(n), _key(seed, r.sid, int(p)))
                 yield pd.DataFrame({"sid": r.sid, "shard": r.shard, "slot": slot, "pass": turn, "block": block})
 
-    # one row for all, joined to a row per source: not more rows than sources
-    drawn = (of.where("n_slots > 0").select("sid", "n_blocks", "n_slots", "n_passes", "last_blocks").join(F.broadcast(shards))
+    drawn = (of.where("n_slots > 0").select("sid", "n_blocks", "n_slots", "n_passes", "last_blocks")
              .mapInPandas(draw, "sid long, n_blocks long, n_passes long, last_blocks long, shard long, first long, n long"))
-    return (drawn.repartition("sid", "shard")
+    return (drawn.repartition(-(-m // 8), "sid", "shard")
             .mapInPandas(fill, "sid long, shard long, slot long, `pass` long, block long"))
 
 
@@ -176,7 +174,8 @@ def taken(df: DataFrame, mix: Mix = Mix(), text: str = "text", source: str = "so
     docs = numbered(df, text, source, inner)
     of, slot, pieces = plan(docs, mix)
     uses = slot.groupBy("sid", "block").agg(F.count("*").alias("uses"))
-    sums = pieces.join(uses, ["sid", "block"]).groupBy("row_id").agg(F.sum(F.col("n") * F.col("uses")).alias("taken"))
+    # the slots grow with the documents, which an estimate from the sources does not show
+    sums = pieces.join(uses.hint("merge"), ["sid", "block"]).groupBy("row_id").agg(F.sum(F.col("n") * F.col("uses")).alias("taken"))
     rows = docs.join(of.select("source_size", "target", F.col("source").alias("_source")), F.col("source").eqNullSafe(F.col("_source")))
     return (rows.join(sums, "row_id", "left")
             .select(*(F.col(f"_c{i}").alias(c) for i, c in enumerate(carry)), "size", "source_size", "target",
@@ -194,7 +193,7 @@ def mixed_documents(df: DataFrame, mix: Mix = Mix(), text: str = "text", source:
     docs = numbered(packed.select("_row", F.col(f"_row.`{text}`").alias("_text"), F.col(f"_row.`{source}`").alias("_source")),
                     "_text", "_source", (F.col("_row"),))
     _, slot, pieces = plan(docs, mix)
-    runs = (pieces.join(slot.select("sid", "block", "pass"), ["sid", "block"]).groupBy("row_id", "pass")
+    runs = (pieces.join(slot.select("sid", "block", "pass").hint("merge"), ["sid", "block"]).groupBy("row_id", "pass")
             .agg(F.array_sort(F.collect_list(F.struct("skip", "n"))).alias("runs"), F.sum("n").alias("n_taken")))
     old = F.col(f"_row.`{text}`")
     parts = bind(words(old), lambda w: F.array_join(F.transform(
