@@ -36,7 +36,8 @@ SIBLINGS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "
             "option": {"option"}, "thead": {"tr", "td", "th", "tbody"}, "tbody": {"tr", "td", "th", "thead", "tbody"}}
 SCOPES = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"table"}, "th": {"table"}, "thead": {"table"},
           "tbody": {"table"}, "option": {"select"}}
-PROSE = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre li dd dt td th figcaption caption".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+PROSE = HEADINGS | frozenset("p blockquote pre li dd dt td th figcaption caption".split())
 MAIN = frozenset("article main".split())
 DROPPED_ROLES = frozenset("navigation banner contentinfo complementary search form menu menubar dialog alert alertdialog toolbar".split())
 # Parts of class names and ids that mark what is no text of the article.
@@ -193,24 +194,46 @@ def _holds_prose(e: Element) -> bool:
     return False
 
 
+def _with_text(root: Element) -> list[tuple[Element, bool]]:
+    """The elements that are not marked, parents first, and whether text stands in them that is not marked."""
+    order, stack = [], [root]
+    while stack:
+        x = stack.pop()
+        order.append(x)
+        stack.extend(c for c in x.children if not isinstance(c, str) and not marked(c))
+    full: set[int] = set()
+    for x in reversed(order):
+        if any(isinstance(c, str) and unescape(c).strip() for c in x.children):
+            full.add(id(x))
+        if id(x) in full and x.parent is not None:
+            full.add(id(x.parent))
+    return [(x, id(x) in full) for x in order]
+
+
 def candidates(root: Element) -> Iterator[int]:
-    """Hashes of the subtrees that may be templates: all that hold text, but inside an article only those without prose.
+    """Hashes of the subtrees that may be templates: blocks that hold text, but inside an article only those without prose.
 
-    Paragraphs of an article may recur because the article does; what recurs beside them is furniture.
+    Paragraphs of an article may recur because the article does; what recurs beside them is furniture.  Words of a sentence and
+    headings recur because the language does, so that inline elements and headings go only with a block that holds them.
     """
     mains = {id(x) for x in main_part(root) if x is not root}
-    stack = [(root, False)]
-    while stack:
-        x, inside = stack.pop()
-        inside = inside or id(x) in mains
-        if x is not root and x.tag not in ("html", "body") and id(x) not in mains and not marked(x):
-            if not inside or (x.tag not in INLINE and not _holds_prose(x)):
-                yield x.digest
-        stack.extend((c, inside) for c in x.children if not isinstance(c, str) and not marked(c))
+    inside: set[int] = set()
+    for x, has_text in _with_text(root):
+        if id(x) in mains or (x.parent is not None and id(x.parent) in inside):
+            inside.add(id(x))
+        if x is root or not has_text or x.tag in ("html", "body") or x.tag in INLINE or x.tag in HEADINGS or id(x) in mains:
+            continue
+        if id(x) not in inside or not _holds_prose(x):
+            yield x.digest
+
+
+def _parts_text(e: Element) -> bool:
+    """Whether an element that is left out still parts the text before it from the text behind it."""
+    return e.tag not in INLINE and (e.tag not in DROPPED or e.tag in CLOSES_P)
 
 
 def text_of(root: Element, templates: frozenset[int] | set[int]) -> str:
-    """Texts of the blocks of the main part, white space made one blank, joined by a blank."""
+    """Texts of the blocks of the main part, white space made one blank, joined by a blank, also where a block is left out."""
     parts: list[str] = []
     mains = main_part(root)
     keep = {id(m) for m in mains}
@@ -221,6 +244,8 @@ def text_of(root: Element, templates: frozenset[int] | set[int]) -> str:
             parts.append(unescape(x))
             continue
         if id(x) not in keep and (marked(x) or x.digest in templates):
+            if _parts_text(x):
+                parts.append(" ")
             continue
         block = x.tag not in INLINE
         if block:

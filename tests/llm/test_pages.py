@@ -57,3 +57,13 @@ def test_nulls_repeats_clashes_and_empty_tables(spark):
     got = sorted((str(r.page_id), r.text[:3], r.n_chars) for r in pages.extract(df).collect())
     assert got == [("1", "", 0), ("1", "", 0), ("2", "w w", 199_999), ("None", "t", 1)]
     assert pages.extract(df.limit(0)).count() == 0
+
+
+def test_breaks_inline_words_and_headings_are_no_templates(spark):
+    rows = site(30, lambda i: f"<article><p>line {i}<br>line two<hr>three</p>ab<div></div>cd<div>&nbsp;</div>ef</article>")
+    rows += site(30, lambda i: f"<body><h2>Summary</h2><p>{i} <b>Note</b>: see <a href=/x>here</a></p><div>x{i}<p></p>y</div></body>", "b.example")
+    rows += site(30, lambda i: f"<article>t{i}<div class=x7>Box</div>u<div class=ad>Buy</div>v<script>s</script>w</article>", "c.example")
+    got = {r.url: r.text for r in pages.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got["http://a.example/5"] == "line 5 line two three ab cd ef"
+    assert got["http://b.example/5"] == "Summary 5 Note: see here x5 y"
+    assert got["http://c.example/5"] == "t5 u vw"
