@@ -20,8 +20,8 @@ from pyspark.sql import types as T
 
 from gridspark.session import stored
 
-#: A subtree is a template when it stands on so many pages of the host, and on this share of them.
-LEAST_PAGES, LEAST_SHARE = 10, 0.2
+#: A subtree is a template when it stands on so many different pages of the host, or on the square root of their number if that is more.
+LEAST_PAGES = 10
 
 # Element names of the HTML standard by their role here.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -265,7 +265,7 @@ def _hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hosts, found, whole = [], [], []
         for host, html in zip(batch.column("host").to_pylist(), batch.column("html").to_pylist()):
             root = parse(html or "")
-            page, of = digest(root), set(candidates(root))
+            page, of = digest(root), {None, *candidates(root)}
             hosts += [host] * len(of)
             whole += [page] * len(of)
             found += of
@@ -273,17 +273,21 @@ def _hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                                           "page": pa.array(whole, pa.int64())})
 
 
-def templates(pages: DataFrame, least_pages: int = LEAST_PAGES, least_share: float = LEAST_SHARE) -> DataFrame:
+def templates(pages: DataFrame, least_pages: int = LEAST_PAGES) -> DataFrame:
     """``host`` and ``hash`` of the subtrees that recur; ``pages`` has ``host`` and ``html``.
 
-    Copies of a page count once.  Counts are combined before they are shuffled, so a host with a third of all pages is no
-    burden.
+    Copies of a page count once, in the size of a host too.  The share of the pages that makes a template falls with the size of
+    the host, so that a box of one section of a large site goes.  Counts are combined before they are shuffled, so a host with a
+    third of all pages is no burden.
     """
+    # a row per subtree, and one without a hash that counts the pages
     seen = pages.select("host", "html").mapInArrow(_hashes, "host string, hash long, page long")
     once = seen.select("host", "hash", "page").distinct()
-    counts = once.groupBy("host", "hash").agg(F.count("*").alias("n")).where(F.col("n") >= least_pages)
-    sizes = pages.groupBy("host").agg(F.count("*").alias("pages"))
-    return counts.join(sizes, "host").where(F.col("n") >= least_share * F.col("pages")).select("host", "hash")
+    counts = once.groupBy("host", "hash").agg(F.count("*").alias("n")).where(F.col("hash").isNull() | (F.col("n") >= least_pages))
+    # stored, so that the pages are parsed once for both sides
+    counts = stored(counts, "page-counts")
+    sizes = counts.where("hash IS NULL").select("host", F.col("n").alias("pages"))
+    return counts.where("hash IS NOT NULL").join(sizes, "host").where(F.col("n") >= F.sqrt("pages")).select("host", "hash")
 
 
 def extract(df: DataFrame, html: str = "html", url: str = "url", carry: tuple[str, ...] = ("page_id", "url")) -> DataFrame:
@@ -293,7 +297,7 @@ def extract(df: DataFrame, html: str = "html", url: str = "url", carry: tuple[st
     Most sites have few templates; their lists are stored, so that Spark knows whether to send them to the pages.
     """
     picked = df.select(*(F.col(c).alias(f"_c{i}") for i, c in enumerate(carry)), host_of(F.col(url)).alias("host"), F.col(html).alias("html"))
-    # a list per host, no longer than the elements of its pages over the least share
+    # a list per host, no longer than the elements of its pages over the least number of pages
     listed = stored(templates(picked).groupBy("host").agg(F.sort_array(F.collect_set("hash")).alias("templates")), "page-templates")
     met = picked.join(listed, "host", "left").select(*(f"_c{i}" for i in range(len(carry))), "html", "templates")
     kept = [T.StructField(f"_c{i}", df.schema[c].dataType) for i, c in enumerate(carry)]

@@ -67,3 +67,14 @@ def test_breaks_inline_words_and_headings_are_no_templates(spark):
     assert got["http://a.example/5"] == "line 5 line two three ab cd ef"
     assert got["http://b.example/5"] == "Summary 5 Note: see here x5 y"
     assert got["http://c.example/5"] == "t5 u vw"
+
+
+def test_templates_of_hosts_of_copies_and_of_sections(spark):
+    rows = site(30, lambda i: f"<body><div class=x7>Box</div><p>Own {i}</p></body>")
+    rows += [(1000 + i, f"http://a.example/copy{i}", rows[0][2]) for i in range(300)]
+    rows += site(200, lambda i: f"<body><div class=x7>Section {i // 20}</div><p>Own {i}</p></body>", "b.example")
+    rows += site(400, lambda i: f"<body><div class=x7>Few {i // 12}</div><p>Own {i}</p></body>", "c.example")
+    got = {r.url: r.text for r in pages.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got["http://a.example/5"] == "Own 5" and got["http://a.example/copy9"] == "Own 0"
+    assert got["http://b.example/50"] == "Own 50"
+    assert got["http://c.example/30"] == "Few 2 Own 30"  # 12 of 400 pages are fewer than 20
