@@ -27,7 +27,9 @@ ORDER = 4
 FIT_DOCUMENTS = 6_000
 LETTERS = re.compile(r"[^\W\d_]+")
 START, STOP = "\x02", "\x03"
+#: The quantile of a language's entropies that its limit starts from; the margin where there is no second language to leave out.
 REJECT_SHARE, REJECT_MARGIN = 0.999, 1.5
+BIN = 0.01  # nats a letter, of the counts that limits are taken from
 UNDECIDED = "und"
 FOLDS = 5  # fold 0 is held out
 
@@ -62,6 +64,7 @@ class LanguageModel:
     backs: list[np.ndarray]      # per order: logarithms of back-off weights
     floor: np.ndarray            # letters that no language has seen
     limits: np.ndarray           # entropy beyond which a language's texts are rejected
+    errors: tuple[float, float] = (np.nan, np.nan)  # share of texts rejected; share of texts of a language left out that are not
 
     def entropies(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Sums of -log p and numbers of letters (with the end) of each word: a row per word, a column per language."""
@@ -194,8 +197,8 @@ def _count(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def fit(df: DataFrame, text: str = "text", lang: str = "lang", most: int = FIT_DOCUMENTS) -> LanguageModel:
     """Models from the labelled rows of ``df``.
 
-    At most about ``most`` documents are fitted on, an equal number of each language, picked by a hash of the text; a tenth of
-    them sets the limits of rejection.  Rows without a label or text are left out.
+    At most about ``most`` documents are fitted on, an equal number of each language, picked by a hash of the text.  All other
+    labelled rows, a tenth of the picked ones among them, set the limits of rejection.  Rows without a label or text are left out.
     """
     rows = df.select(F.col(text).alias("text"), F.col(lang).alias("lang")).where("text IS NOT NULL AND lang IS NOT NULL")
     totals = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}
@@ -204,9 +207,8 @@ def fit(df: DataFrame, text: str = "text", lang: str = "lang", most: int = FIT_D
     share = {k: min(1.0, most / len(totals) / n) for k, n in totals.items()}
     pick = F.pmod(F.xxhash64("text"), F.lit(1_000_000))
     shares = F.create_map(*(F.lit(x) for k, v in share.items() for x in (k, int(v * 1_000_000))))
-    picked = rows.withColumn("pick", pick).where(F.col("pick") < F.element_at(shares, F.col("lang")))
-    aside = F.pmod(F.xxhash64("text", F.lit(1)), F.lit(10)) == 0
-    counted = (picked.where(~aside).mapInPandas(_count, "lang string, gram string, n long")
+    fitted = (pick < F.element_at(shares, F.col("lang"))) & (F.pmod(F.xxhash64("text", F.lit(1)), F.lit(10)) != 0)
+    counted = (rows.where(fitted).mapInPandas(_count, "lang string, gram string, n long")
                .groupBy("lang", "gram").agg(F.sum("n").alias("n")))
     grams: dict[str, Counter] = {k: Counter() for k in totals}
     # the n-grams of a bounded sample
@@ -214,12 +216,107 @@ def fit(df: DataFrame, text: str = "text", lang: str = "lang", most: int = FIT_D
         grams[r["lang"]][r["gram"]] = r["n"]
     languages = sorted(k for k in totals if grams[k]) or sorted(totals)
     model = _kneser_ney(grams, languages)
-    held = score(picked.where(aside), model, carry=["lang"]).where("lang_pred = lang")
-    limits = {r["lang"]: r["q"] for r in held.groupBy("lang").agg(F.percentile_approx("entropy", REJECT_SHARE).alias("q")).collect()}
-    model.limits = np.array([limits.get(x, np.inf) + REJECT_MARGIN for x in languages])
+    _set_limits(model, rows.where(~fitted))
     return model
 
 
+def _set_limits(model: LanguageModel, rows: DataFrame) -> None:
+    """Limits and error rates from rows with ``text`` and ``lang`` that the model was not fitted on; equal texts count once.
+
+    A limit is the quantile ``REJECT_SHARE`` of the language's own texts plus a margin, the same for all.  The margin has the lowest
+    sum of two rates, each a mean over the languages: that of texts rejected, and that of texts not rejected when the model of
+    their own language is left out.  The models do not depend on each other, so that one pass gives both.
+    """
+    shared, width = rows.sparkSession.sparkContext.broadcast(model), len(model.languages)
+
+    def make():
+        m = shared.value
+        of = _summed(m)
+        column = {x: i for i, x in enumerate(m.languages)}
+
+        def run(texts, langs):
+            best, entropy, other, left = [], [], [], []
+            for (sums, letters), lang in zip(of(texts), langs):
+                e = sums / letters if letters and lang in column else None
+                k = int(np.argmin(e)) if e is not None else None
+                best.append(k)
+                entropy.append(None if e is None else float(e[k]))
+                if e is not None and width > 1:
+                    e[column[lang]] = np.inf
+                    k = int(np.argmin(e))
+                    other.append(k)
+                    left.append(float(e[k]))
+                else:
+                    other.append(None)
+                    left.append(None)
+            return {"best": best, "entropy": entropy, "other": other, "left": left}
+        return run
+
+    kinds = {"best": T.IntegerType(), "entropy": T.DoubleType(), "other": T.IntegerType(), "left": T.DoubleType()}
+    keyed = rows.select("text", "lang", F.xxhash64("text").alias("key"))
+    judged = add_columns(keyed, ["text", "lang"], T.StructType([T.StructField(n, k) for n, k in kinds.items()]), make, ["lang", "key"])
+    once = judged.where("best IS NOT NULL").groupBy("lang", "key").agg(*(F.min(c).alias(c) for c in kinds))
+    sides = F.explode(F.array(F.struct(F.lit(True).alias("own"), F.col("best").alias("k"), F.floor(F.col("entropy") / BIN).alias("bin")),
+                              F.struct(F.lit(False).alias("own"), F.col("other").alias("k"), F.floor(F.col("left") / BIN).alias("bin"))))
+    # a row per pair of languages and bin, whatever the number of texts
+    table = once.select("lang", sides.alias("s")).where("s.k IS NOT NULL").groupBy("lang", "s.own", "s.k", "s.bin").count().collect()
+    found = [(model.languages.index(r["lang"]), r["own"], r["k"], r["bin"], r["count"]) for r in table]
+    start = np.full(width, np.inf)
+    for i in range(width):
+        bins = sorted((b, n) for lang, own, k, b, n in found if own and lang == k == i)
+        if bins:
+            reached = np.cumsum([n for _, n in bins])
+            start[i] = bins[int(np.searchsorted(reached, REJECT_SHARE * reached[-1]))][0]
+    over = [(lang, own, b - start[k], n) for lang, own, k, b, n in found]
+    ends = [x for _, _, x, _ in over if np.isfinite(x)]
+    margin = round(REJECT_MARGIN / BIN)
+    if ends:
+        steps = np.arange(min(ends) - 1, max(ends) + 1)
+        rejected, passed = _shares(over, True, steps), 1 - _shares(over, False, steps)
+        if not np.isnan(passed).any():
+            least = np.flatnonzero(rejected + passed <= (rejected + passed).min() + 1e-12)
+            margin = steps[least[len(least) // 2]]
+        at = int(np.clip(margin - steps[0], 0, len(steps) - 1))
+        model.errors = float(rejected[at]), float(passed[at])
+    model.limits = (start + 1 + margin) * BIN
+
+
+def _shares(over: list[tuple], own: bool, steps: np.ndarray) -> np.ndarray:
+    """Mean over the languages of the share of their texts that are beyond each step."""
+    shares = []
+    for lang in sorted({x[0] for x in over if x[1] == own}):
+        d, n = (np.array(x, dtype=float) for x in zip(*((d, n) for i, o, d, n in over if i == lang and o == own)))
+        order = np.argsort(d)
+        below = np.r_[0, np.cumsum(n[order])][np.searchsorted(d[order], steps, side="right")]
+        shares.append(1 - below / n.sum())
+    return np.mean(shares, axis=0) if shares else np.full(len(steps), np.nan)
+
+
+def _summed(m: LanguageModel):
+    """A function of texts that gives the sums of -log p, a column per language, and the letters of each; it remembers words."""
+    known: dict[str, int] = {}
+    sums, sizes = [np.zeros((0, len(m.languages)))], [np.zeros(0, dtype=np.int64)]
+
+    def run(texts: list[str | None]) -> Iterator[tuple[np.ndarray, int]]:
+        if len(known) > 400_000:
+            known.clear()
+            sums[:], sizes[:] = [np.zeros((0, len(m.languages)))], [np.zeros(0, dtype=np.int64)]
+        runs = [letter_runs(t) if t else [] for t in texts]
+        new = list({w for r in runs for w in r if w not in known})
+        for at in range(0, len(new), 20_000):
+            part = new[at:at + 20_000]
+            a, b = m.entropies(part)
+            sums.append(a)
+            sizes.append(b)
+            known.update(zip(part, range(len(known), len(known) + len(part))))
+        if len(sums) > 1:
+            sums[:], sizes[:] = [np.concatenate(sums)], [np.concatenate(sizes)]
+        for r in runs:
+            at = np.fromiter(map(known.__getitem__, r), dtype=np.int64, count=len(r))
+            yield sums[0][at].sum(axis=0), int(sizes[0][at].sum())
+    return run
+
+
 def score(df: DataFrame, model: LanguageModel, text: str = "text", carry: list[str] | None = None,
           prefix: str = "") -> DataFrame:
     """Add ``lang_pred``, ``score`` (0 to 1), ``rejected`` and ``entropy`` (nats per letter) of each whole text.
@@ -231,28 +328,10 @@ def score(df: DataFrame, model: LanguageModel, text: str = "text", carry: list[s
 
     def make():
         m = shared.value
-        known: dict[str, int] = {}
-        sums, sizes = [np.zeros((0, len(m.languages)))], [np.zeros(0, dtype=np.int64)]
+        of = _summed(m)
 
         def run(texts):
-            if len(known) > 400_000:
-                known.clear()
-                sums[:], sizes[:] = [np.zeros((0, len(m.languages)))], [np.zeros(0, dtype=np.int64)]
-            runs = [letter_runs(t) if t else [] for t in texts]
-            new = list({w for r in runs for w in r if w not in known})
-            for at in range(0, len(new), 20_000):
-                part = new[at:at + 20_000]
-                a, b = m.entropies(part)
-                sums.append(a)
-                sizes.append(b)
-                known.update(zip(part, range(len(known), len(known) + len(part))))
-            if len(sums) > 1:
-                sums[:], sizes[:] = [np.concatenate(sums)], [np.concatenate(sizes)]
-            out = []
-            for r in runs:
-                at = np.fromiter(map(known.__getitem__, r), dtype=np.int64, count=len(r))
-                letters = int(sizes[0][at].sum())
-                out.append(m.judge(sums[0][at].sum(axis=0), letters) if letters else (UNDECIDED, 0.0, True, 0.0))
+            out = [m.judge(sums, letters) if letters else (UNDECIDED, 0.0, True, 0.0) for sums, letters in of(texts)]
             return dict(zip(names, map(list, zip(*out))))
         return run
 

@@ -4,6 +4,7 @@ import math
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from gridspark.llm import language
 
@@ -69,6 +70,32 @@ def test_undecided_rejected_and_edges(model, docs, collect):
     assert kept.columns == df.columns and {3, 4} <= {r.doc_id for r in kept.collect()} and kept.where("doc_id < 3").count() == 0
 
 
+def test_texts_of_a_language_without_labels_are_rejected(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    model = language.fit(language.training_rows(docs).where("lang != 'en'"))
+    held = docs.where(F.crc32(F.col("doc_id").cast("string")) % language.FOLDS == 0).where("text IS NOT NULL AND lang IS NOT NULL")
+    got = language.score(held, model, carry=["lang"]).groupBy((F.col("lang") == "en").alias("out")).agg(
+        F.avg(F.col("rejected").cast("int")).alias("rate")).collect()
+    rate = {r["out"]: r["rate"] for r in got}
+    assert rate[True] > 0.95 and rate[False] < 0.03
+
+
+def test_limits_of_many_rows_and_of_copies(spark):
+    rng = np.random.default_rng(5)
+    rows = [(" ".join(rng.choice(w, 30)), k) for k, w in WORDS.items() for _ in range(400)]
+    few = spark.createDataFrame(rows, "text string, lang string")
+    model = language.fit(few, most=40)
+    # 20 texts a language are fitted on at the most; the others have the quantile, and a few of 380 may be beyond it
+    judged = language.score(few, model, carry=["lang"])
+    assert judged.where("rejected").count() <= 8 and model.errors[0] <= 0.01 and model.errors[1] <= 0.01
+    copied = few.union(spark.createDataFrame([rows[0]] * 3000, "text string, lang string"))
+    again = language.LanguageModel(model.languages, model.keys, model.probs, model.back_keys, model.backs, model.floor, model.limits)
+    language._set_limits(again, few)
+    first = again.limits.copy()
+    language._set_limits(again, copied)
+    assert np.array_equal(first, again.limits)
+
+
 def test_nothing_to_learn_from_is_an_error(docs):
     with pytest.raises(ValueError, match="labelled"):
         language.fit(docs(None, lang=None))
