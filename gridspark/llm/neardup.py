@@ -231,6 +231,11 @@ def near_duplicates(df: DataFrame, text: str = "text", doc_id: str = "doc_id") -
     equal sets are one class, whatever their ids; repeated rows give repeated results.  A null id counts for nothing in
     ``component_id``: it is null where no id can be reached, and a row without an id is kept only there.
     """
+    return _judged(df, text, doc_id).select("doc_id", "n_shingles", "component_id", "kept")
+
+
+def _judged(df: DataFrame, text: str, doc_id: str) -> DataFrame:
+    """What ``near_duplicates`` gives, with ``text_hash`` and ``component``, which is null where there are no shingles."""
     texts = df.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).alias("text"))
     rows = signatures(texts.withColumn("text_hash", F.xxhash64("text")), "text", ["doc_id", "text_hash"])
     rows = stored(rows.withColumn("row_id", F.monotonically_increasing_id()), "dup-rows")
@@ -241,20 +246,26 @@ def near_duplicates(df: DataFrame, text: str = "text", doc_id: str = "doc_id") -
     found = stored(components(links(nodes, texts)), "dup-components")
     named = _with_component(classes, found)
     ids = named.groupBy("component").agg(F.min("least").alias("component_id"))
-    of = named.join(ids, "component").select("digest", "component_id")
-    out = rows.select("doc_id", "n_shingles", "digest").join(of, "digest", "left")
-    component = F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
-    return out.select("doc_id", "n_shingles", component.alias("component_id")).withColumn(
+    of = named.join(ids, "component").select("digest", "component", "component_id")
+    out = rows.select("doc_id", "n_shingles", "digest", "text_hash").join(of, "digest", "left")
+    least = F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
+    return out.select("doc_id", "n_shingles", least.alias("component_id"), "text_hash",
+                      F.when(F.col("n_shingles") > 0, F.col("component")).alias("component")).withColumn(
         "kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.col("component_id").isNull()))
 
 
 def one_of_each(df: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """One row of each group, with the columns of ``df``.
 
-    Ids name documents: of the rows that repeat a kept id one stays, and of rows without an id one per text.
+    Ids name documents: of the rows that repeat a kept id one stays.  Of a group in which no row has an id one row stays, and of
+    texts without shingles and id one per text.
     """
-    kept = near_duplicates(df, text, doc_id).where("kept").select(F.col("doc_id").alias("_kept")).distinct()
-    rows = df.join(kept, F.col(doc_id).cast("bigint").eqNullSafe(F.col("_kept")), "left_semi")
+    bare = F.col("doc_id").isNull() & F.col("component").isNotNull()
+    # rows are told apart by id and text, which stay as they are when the input is read again
+    kept = (_judged(df, text, doc_id).where("kept").groupBy(F.col("doc_id").alias("_kept"), F.when(bare, F.col("component")),
+                                                            F.when(~bare, F.col("text_hash")))
+            .agg(F.min("text_hash").alias("_kept_hash")).select("_kept", "_kept_hash"))
+    rows = df.join(kept, F.col(doc_id).cast("bigint").eqNullSafe(F.col("_kept")) & (F.xxhash64(text) == F.col("_kept_hash")), "left_semi")
     same = Window.partitionBy(doc_id, F.when(F.col(doc_id).isNull(), F.xxhash64(text))).orderBy(F.xxhash64(text))
     return rows.withColumn("_nth", F.row_number().over(same)).where("_nth = 1").drop("_nth")
 

@@ -92,6 +92,18 @@ def test_one_of_each(spark):
     assert neardup.one_of_each(df.limit(0)).count() == 0
 
 
+def test_one_of_each_without_ids(spark):
+    def near(word, last):
+        return " ".join([f"{word}{i}" for i in range(60)] + [last])
+    rows = [(None, near("a", x), "en", "a", 1) for x in "xyz"]  # no id: one stays
+    rows += [(7, near("b", "x"), "en", "a", 1), (None, near("b", "y"), "en", "a", 1)]  # the one with the id
+    rows += [(3, near("c", "x"), "en", "a", 1), (4, near("c", "y"), "en", "a", 1), (4, near("d", "x"), "en", "a", 1)]  # an id with two texts
+    rows += [(None, None, "en", "a", 1)] * 2 + [(None, "lone", "en", "a", 1)] * 2
+    got = sorted((str(r.doc_id), str(r.text)[:1], str(r.text)[-1:]) for r in neardup.one_of_each(spark.createDataFrame(rows, SCHEMA)).collect())
+    assert [x[:2] for x in got if x[0] == "None"] == [("None", "N"), ("None", "a"), ("None", "l")]
+    assert [x for x in got if x[0] != "None"] == [("3", "c", "x"), ("4", "d", "x"), ("7", "b", "x")]
+
+
 def test_query_against_all_pairs(sure, texts):
     got = sure("op2_near_duplicates")
     for doc_id, n, component in plain(list(texts.items())):
