@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -51,3 +51,13 @@ class Memo(dict):
             self.clear()
         value = self[key] = self.function(key)
         return value
+
+
+def packed(kept: Sequence[str]) -> Column:
+    """The columns that a job carries along as one column ``row``, where their names cannot clash with its own."""
+    return F.struct(F.lit(True).alias("_there"), *[F.col(f"`{c}`") for c in kept]).alias("row")
+
+
+def unpacked(kept: Sequence[str]) -> list[Column]:
+    """The columns of ``packed`` again."""
+    return [F.col("row").getField(c).alias(c) for c in kept]
