@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridspark.llm import gif, language, licenses, maxent, mixing, neardup, pages, pieces, quality, toxicity
+from gridspark.llm import (alignment, centroids, chat, gif, language, licenses, maxent, mixing, neardup, pages, pieces, quality,
+                           toxicity)
 from gridspark.llm.words import documents, fold
 
 Build = Callable[[SparkSession, str], DataFrame]
@@ -20,6 +21,13 @@ def piece_model_path() -> str:
     return public_tokenizers.path("piece_bpe_32k.model")
 
 
+def byte_vocabulary_path() -> str:
+    """The installed public byte-level vocabulary; ``alignment`` takes any path."""
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
 def op1_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = piece_model_path()
     encoded = pieces.encode(documents(spark, sf_dir), path, carry=["doc_id"])
@@ -78,6 +86,27 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.taken(documents(spark, sf_dir))
 
 
-QUERIES: dict[str, Build] = {q.__name__: q for q in (op1_pieces, op2_near_duplicates, op3_main_text, op4_licenses, op5_gif, op6_toxicity, op7_quality_rules, op8_language, op9_maxent, op10_mixing)}
+def op11_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "role", "text")
+    formatted = chat.format_conversations(chat.text_parts(rows.unionByName(chat.injected(spark, rows.schema))))
+    return chat.digests(formatted).select(
+        "conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars")
+
+
+def op12_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = alignment.align(documents(spark, sf_dir), byte_vocabulary_path(), piece_model_path(), carry=["doc_id"])
+    return found.select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256")
+
+
+def op13_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = centroids.cluster(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), carry=["vec_id"])
+    return found.select("vec_id", "cluster", "distance", "cluster_inertia", "inertia", F.sha2(
+        F.array_join("centroid", ",").cast("binary"), 256).alias("centroid_sha256"))
+
+
+QUERIES: dict[str, Build] = {q.__name__: q for q in (
+    op1_pieces, op2_near_duplicates, op3_main_text, op4_licenses, op5_gif, op6_toxicity, op7_quality_rules, op8_language, op9_maxent,
+    op10_mixing, op11_chat, op12_alignment, op13_centroids)}
 
-SQL: dict[str, str] = {"op2_near_duplicates": neardup.ORACLE_SQL, "op4_licenses": licenses.oracle_sql(), "op7_quality_rules": quality.oracle_sql()}
+SQL: dict[str, str] = {"op2_near_duplicates": neardup.ORACLE_SQL, "op4_licenses": licenses.oracle_sql(),
+                       "op7_quality_rules": quality.oracle_sql(), "op11_chat": chat.oracle_sql(), "op13_centroids": centroids.oracle_sql()}
