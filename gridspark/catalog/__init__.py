@@ -5,7 +5,7 @@ from __future__ import annotations
 import importlib
 
 MODULES = ("q_sources", "q_reshape", "q_select", "q_align", "q_scores", "q_fields", "q_resample", "q_scalar",
-           "q_samples")
+           "q_samples", "q_rotated")
 
 
 def load_queries():

@@ -7,10 +7,15 @@ from dataclasses import dataclass, replace
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from gridspark.functions.sphere import to_geographic
+
 
 @dataclass(frozen=True)
 class Grid:
-    """A regular grid: sizes, centre of the first cell, spacing (which may be negative)."""
+    """A regular grid: sizes, centre of the first cell, spacing (which may be negative).
+
+    With ``pole``, the geographic latitude and longitude of its north pole, the coordinates are those of a rotated system.
+    """
 
     nx: int
     ny: int
@@ -18,6 +23,7 @@ class Grid:
     dx: float
     y0: float
     dy: float
+    pole: tuple[float, float] | None = None
 
     @property
     def cyclic(self) -> bool:
@@ -29,8 +35,8 @@ class Grid:
         if self.nx % factor or self.ny % factor:
             raise ValueError(f"{self.nx}x{self.ny} cells cannot be divided by {factor}")
         shift = (factor - 1) / 2
-        return Grid(self.nx // factor, self.ny // factor, self.x0 + shift * self.dx, self.dx * factor,
-                    self.y0 + shift * self.dy, self.dy * factor)
+        return replace(self, nx=self.nx // factor, ny=self.ny // factor, x0=self.x0 + shift * self.dx, dx=self.dx * factor,
+                       y0=self.y0 + shift * self.dy, dy=self.dy * factor)
 
     def padded(self, factor: int) -> tuple[Grid, Grid]:
         """The fine grid with one coarse cell more on each side, and its coarsened form."""
@@ -76,26 +82,39 @@ def coarsen_table(df: DataFrame, factor: int, extrapolate: bool = False) -> Data
     return df.withColumns(new)
 
 
+POLE = ("grid_north_pole_latitude", "grid_north_pole_longitude")
+
+
 def expand_cells(df: DataFrame) -> DataFrame:
-    """Cell centres and edges of every grid description in a table."""
+    """Cell centres and edges of every grid description in a table.
+
+    Where a description has the columns of a rotated pole, centres and edges are in its own system, and ``geo_lat`` and
+    ``geo_lon`` are the geographic place of the centre; they are the same where the pole is missing.
+    """
     rows = df.withColumn("iy", F.explode(F.sequence(F.lit(0), (F.col("ysize") - 1).cast("int"))))
     cells = rows.withColumn("ix", F.explode(F.sequence(F.lit(0), (F.col("xsize") - 1).cast("int"))))
     lat, lon = F.col("yfirst") + F.col("iy") * F.col("yinc"), F.col("xfirst") + F.col("ix") * F.col("xinc")
     half_y, half_x = F.abs("yinc") / 2, F.abs("xinc") / 2
-    return cells.withColumns({
+    placed = cells.withColumns({
         "lat": lat, "lon": lon, "lat_lo": lat - half_y, "lat_hi": lat + half_y,
         "lon_lo": lon - half_x, "lon_hi": lon + half_x})
+    if not all(c in df.columns for c in POLE):
+        return placed
+    turned = F.col(POLE[0]).isNotNull() & F.col(POLE[1]).isNotNull()
+    there = to_geographic(F.col("lat"), F.col("lon"), F.col(POLE[0]), F.col(POLE[1]))
+    return placed.withColumns({f"geo_{c}": F.when(turned, at).otherwise(F.col(c)) for c, at in zip(("lat", "lon"), there)})
 
 
 def grid_row(spark: SparkSession, grid: Grid) -> DataFrame:
+    pole = [] if grid.pole is None else [F.lit(float(v)).alias(c) for c, v in zip(POLE, grid.pole)]
     return spark.range(1).select(
         F.lit(grid.nx).alias("xsize"), F.lit(grid.ny).alias("ysize"), F.lit(float(grid.x0)).alias("xfirst"),
         F.lit(float(grid.dx)).alias("xinc"), F.lit(float(grid.y0)).alias("yfirst"),
-        F.lit(float(grid.dy)).alias("yinc"))
+        F.lit(float(grid.dy)).alias("yinc"), *pole)
 
 
 def grid_cells(spark: SparkSession, grid: Grid) -> DataFrame:
-    return expand_cells(grid_row(spark, grid)).drop("xsize", "ysize", "xfirst", "xinc", "yfirst", "yinc")
+    return expand_cells(grid_row(spark, grid)).drop("xsize", "ysize", "xfirst", "xinc", "yfirst", "yinc", *POLE)
 
 
 def in_box(lon: Column, lat: Column, box: tuple[float, float, float, float]) -> Column:

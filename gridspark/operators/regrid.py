@@ -3,6 +3,9 @@
 The weights depend on the two grids only.  Along each axis the source cells that a target cell touches follow
 from arithmetic on the indices, so no range join is needed; the data meets the weights in one equi-join.  The weights
 are stored first, so that Spark knows their size and sends them to the data only if they are small.
+
+Grids with different poles have no common axes.  Bilinear weights then follow from the same arithmetic on the target's centres in
+the coordinates of the source, conservative ones from clipping cells.
 """
 
 from __future__ import annotations
@@ -12,6 +15,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from gridspark.functions.sphere import to_geographic, to_rotated
+from gridspark.operators.clipping import clipped_weights
 from gridspark.operators.grid import Grid
 from gridspark.session import stored
 
@@ -26,8 +31,13 @@ def _along_x(grid: Grid) -> int:
 
 def _centre(index: Column, src, dst, ends: int) -> Column:
     """Coordinate of the target cell, for longitudes in the turn that is nearest to the source."""
-    (sn, s0, sd), (t0, td) = src, dst
-    centre = F.lit(t0) + index * td
+    t0, td = dst
+    return _turned(F.lit(t0) + index * td, src, ends)
+
+
+def _turned(centre: Column, src, ends: int) -> Column:
+    """The coordinate, for longitudes in the turn that is nearest to the source."""
+    sn, s0, sd = src
     if ends == PLAIN:
         return centre
     middle = s0 + (sn - 1) / 2 * sd
@@ -54,10 +64,10 @@ def _overlaps(index: Column, src, dst, measure, ends: int = PLAIN) -> Column:
     return F.filter(cells, lambda c: c["w"].isNotNull())
 
 
-def _neighbours(index: Column, src, dst, extrapolate: bool, ends: int = PLAIN) -> Column:
-    """The two source indices around the target along one axis and their linear weights."""
-    (sn, s0, sd), _ = src, dst
-    f = (_centre(index, src, dst, ends) - s0) / sd
+def _neighbours(centre: Column, src, extrapolate: bool, ends: int = PLAIN) -> Column:
+    """The two source indices around a target centre along one axis and their linear weights."""
+    sn, s0, sd = src
+    f = (centre - s0) / sd
     if ends == CYCLIC:
         i0 = F.floor(f).cast("int")
         pairs = F.array(F.struct(F.pmod(i0, F.lit(sn)).alias("s"), (1 - (f - i0)).alias("w")),
@@ -71,31 +81,53 @@ def _neighbours(index: Column, src, dst, extrapolate: bool, ends: int = PLAIN) -
     return F.filter(pairs, lambda c: (c["s"] < sn) & (c["w"] != 0))
 
 
-def _weight_table(spark: SparkSession, dst: Grid, along_x, along_y) -> DataFrame:
-    """Every target cell with its source cells; the weight of a cell is the product over the axes."""
-    cells = spark.range(dst.nx * dst.ny).select(
+def _cells(spark: SparkSession, dst: Grid) -> DataFrame:
+    return spark.range(dst.nx * dst.ny).select(
         F.floor(F.col("id") / dst.nx).cast("int").alias("ty"), (F.col("id") % dst.nx).cast("int").alias("tx"))
-    pairs = (cells.withColumn("y", F.explode(along_y(F.col("ty")))).withColumn("x", F.explode(along_x(F.col("tx")))))
+
+
+def _products(cells: DataFrame, along_x: Column, along_y: Column) -> DataFrame:
+    """Every target cell with its source cells; the weight of a cell is the product over the axes."""
+    pairs = cells.withColumn("y", F.explode(along_y)).withColumn("x", F.explode(along_x))
     return pairs.select(F.col("y.s").alias("iy"), F.col("x.s").alias("ix"), "ty", "tx",
                         (F.col("y.w") * F.col("x.w")).alias("w"))
 
 
 def conservative_weights(spark: SparkSession, src: Grid, dst: Grid) -> DataFrame:
-    """``(iy, ix)`` of the source, ``(ty, tx)`` of the target and their common area on the sphere."""
-    return _weight_table(
-        spark, dst,
-        lambda i: _overlaps(i, (src.nx, src.x0, src.dx), (dst.x0, dst.dx),
-                            lambda lo, hi: F.radians(hi) - F.radians(lo), _along_x(src)),
-        lambda i: _overlaps(i, (src.ny, src.y0, src.dy), (dst.y0, dst.dy),
-                            lambda lo, hi: F.sin(F.radians(hi)) - F.sin(F.radians(lo))))
+    """``(iy, ix)`` of the source, ``(ty, tx)`` of the target and their common area on the sphere.
+
+    Cells of grids with the same pole are bounded by circles of latitude, those of grids with different poles by great circles
+    between their corners.
+    """
+    if src.pole != dst.pole:
+        return clipped_weights(spark, src, dst)
+    return _products(
+        _cells(spark, dst),
+        _overlaps(F.col("tx"), (src.nx, src.x0, src.dx), (dst.x0, dst.dx), lambda lo, hi: F.radians(hi) - F.radians(lo), _along_x(src)),
+        _overlaps(F.col("ty"), (src.ny, src.y0, src.dy), (dst.y0, dst.dy),
+                  lambda lo, hi: F.sin(F.radians(hi)) - F.sin(F.radians(lo))))
+
+
+def _centres(cells: DataFrame, src: Grid, dst: Grid) -> DataFrame:
+    """The target cells with their centres ``cx, cy`` in the coordinates of the source."""
+    x, y = (src.nx, src.x0, src.dx), (src.ny, src.y0, src.dy)
+    if src.pole == dst.pole:
+        return cells.withColumns({"cx": _centre(F.col("tx"), x, (dst.x0, dst.dx), _along_x(src)),
+                                  "cy": _centre(F.col("ty"), y, (dst.y0, dst.dy), PLAIN)})
+    lat, lon = F.lit(dst.y0) + F.col("ty") * dst.dy, F.lit(dst.x0) + F.col("tx") * dst.dx
+    if dst.pole is not None:
+        lat, lon = to_geographic(lat, lon, *(F.lit(float(p)) for p in dst.pole))
+    if src.pole is not None:
+        lat, lon = to_rotated(lat, lon, *(F.lit(float(p)) for p in src.pole))
+    return cells.withColumns({"cx": _turned(lon, x, _along_x(src)), "cy": lat})
 
 
 def bilinear_weights(spark: SparkSession, src: Grid, dst: Grid, extrapolate: bool = True) -> DataFrame:
     """Up to four source neighbours per target cell."""
-    return _weight_table(
-        spark, dst,
-        lambda i: _neighbours(i, (src.nx, src.x0, src.dx), (dst.x0, dst.dx), extrapolate, _along_x(src)),
-        lambda i: _neighbours(i, (src.ny, src.y0, src.dy), (dst.y0, dst.dy), extrapolate))
+    return _products(
+        _centres(_cells(spark, dst), src, dst),
+        _neighbours(F.col("cx"), (src.nx, src.x0, src.dx), extrapolate, _along_x(src)),
+        _neighbours(F.col("cy"), (src.ny, src.y0, src.dy), extrapolate))
 
 
 def without_source(df: DataFrame, weights: DataFrame, dst: Grid, values: Sequence[str], keys: Sequence[str]) -> DataFrame:
@@ -110,6 +142,9 @@ def without_source(df: DataFrame, weights: DataFrame, dst: Grid, values: Sequenc
 
 def covers(src: Grid, dst: Grid) -> bool:
     """Whether all target cells surely touch source cells, by the outer bounds of the grids."""
+    if src.pole != dst.pole:
+        return False
+
     def inside(s0, sd, sn, t0, td, tn):
         half = (abs(sd) + abs(td)) / 2
         s, t = sorted((s0, s0 + (sn - 1) * sd)), sorted((t0, t0 + (tn - 1) * td))

@@ -42,5 +42,6 @@ def test_query_equals_sql(spark, sf_dir, duck, name):
 
 
 def test_entry_points(spark):
-    assert entry_points.queries().keys() == entry_points.oracle_sql().keys()
+    # a text operator may have no form in SQL
+    assert load_queries().keys() <= entry_points.oracle_sql().keys() <= entry_points.queries().keys()
     assert entry_points.entry(spark).count() > 0
