@@ -178,6 +178,32 @@ def vertical_interp(spark, sf_dir):
     return df.select(ts().alias("time"), "iy", "ix", "plev", rd("t").alias("t"))
 
 
+# coefficients of six half levels, and the model level that each pressure level of L stands for
+HALF = ((0.0, 0.0), (20000.0, 0.1), (30000.0, 0.3), (20000.0, 0.6), (8000.0, 0.85), (0.0, 1.0))
+MODEL_LEVELS = {50000: 1, 70000: 2, 85000: 3, 92500: 4, 100000: 5}
+
+
+@query("vertical_interp_hybrid", f"""
+WITH C AS (SELECT unnest({[i for i in range(len(HALF))]}) AS half, unnest({[a for a, _ in HALF]}) AS a, unnest({[b for _, b in HALF]}) AS b),
+P AS (SELECT h.time, h.iy, h.ix, u.half + 1 AS k, (u.a + o.a + (u.b + o.b) * (90000 + 50 * h.ref_)) / 2 AS p FROM H h, C u, C o
+  WHERE o.half = u.half + 1),
+M AS (SELECT time, iy, ix, CASE level {' '.join(f'WHEN {p} THEN {k}' for p, k in MODEL_LEVELS.items())} END AS k, t FROM L),
+S AS (SELECT time, iy, ix, p AS p0, t AS t0, lead(p) OVER w AS p1, lead(t) OVER w AS t1,
+    row_number() OVER w AS n, count(*) OVER (PARTITION BY time, iy, ix) AS m FROM M JOIN P USING (time, iy, ix, k)
+  WINDOW w AS (PARTITION BY time, iy, ix ORDER BY p)),
+X AS (SELECT s.*, CAST(q AS DOUBLE) AS plev FROM S s JOIN (SELECT unnest({TARGETS}) AS q) ON p1 IS NOT NULL
+  AND (n = 1 OR q > p0) AND (n = m - 1 OR q <= p1))
+SELECT {STIME}, plev, {r('t0 + (t1 - t0) * (ln(plev) - ln(p0)) / (ln(p1) - ln(p0))')} AS t FROM X""")
+def vertical_interp_hybrid(spark, sf_dir):
+    numbered = F.create_map(*[F.lit(x) for pair in MODEL_LEVELS.items() for x in pair])
+    levels = view_l(spark, sf_dir).withColumn("k", numbered[F.col("level")])
+    surface = view_h(spark, sf_dir).select("time", "iy", "ix", F.ln(90000 + 50 * F.col("ref_")).alias("lnsp")).select(
+        "time", "iy", "ix", vertical.surface_pressure(F.col("lnsp")).alias("sp"))
+    half = spark.createDataFrame([(i, a, b) for i, (a, b) in enumerate(HALF)], "half int, a double, b double")
+    df = vertical.hybrid_to_pressure_levels(levels, surface, half, TARGETS, ["t"], level="k")
+    return df.select(ts().alias("time"), "iy", "ix", "plev", rd("t").alias("t"))
+
+
 RUN_SQL = """SELECT time, iy, ix, fcst, hour(time) AS h,
   CASE WHEN hour(time) < 12 THEN date_trunc('day', time) - INTERVAL 6 HOUR
     ELSE date_trunc('day', time) + INTERVAL 6 HOUR END AS run_init FROM H"""
