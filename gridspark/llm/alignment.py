@@ -15,6 +15,7 @@ import re
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -30,11 +31,11 @@ from gridspark.session import stored
 BLOCK_BYTES = 4 << 20
 #: Tokens of the first side in a stretch, and documents given to a tokenizer at once.
 STRETCH, ENCODE_ROWS = 256, 64
-#: Texts beyond so many characters are given to the byte-level tokenizer in parts.
-LONG = 1 << 17
 BLOCKS_PER_TASK = 4
-#: A blank between two letters always begins a token of the byte-level tokenizer.
-BLANK = re.compile(r"(?<=[A-Za-z]) (?=[A-Za-z])")
+#: What byte-level tokenizers cut texts into first (fixed, part of the format).
+PRETOKENS = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+#: Runs of white space that overflow the pattern matcher of the fast encoder; the library of the file encodes such texts.
+LONG_RUN = re.compile(r"\s{1000}")
 
 
 def byte_alphabet() -> dict[str, int]:
@@ -64,38 +65,44 @@ class Pair:
         self.bytes_b = [bytes([int(b.id_to_piece(i)[3:5], 16)]) if b.is_byte(i) else b.id_to_piece(i).replace("▁", " ").encode()
                         for i in range(b.get_piece_size())]
         self.size_a, self.size_b = (np.array([len(x) for x in t], np.int64) for t in (self.bytes_a, self.bytes_b))
+        self.fast = self._ranked(path_a)
         # an id in the text of the groups: inside a group or last on its side
         self.words = np.array([f"{i}{mark}" for t, end in ((self.bytes_a, "|"), (self.bytes_b, ";")) for mark in (",", end)
                                for i in range(len(t))], dtype=object)
 
+    def _ranked(self, path: str):
+        """The same byte-level vocabulary for the faster library, or none if its ids are not the ranks of the merges."""
+        import json
+
+        import tiktoken
+
+        with open(path, encoding="utf-8") as f:
+            spec = json.load(f)
+        vocab, merges = spec["model"]["vocab"], [m.split(" ") if isinstance(m, str) else m for m in spec["model"]["merges"]]
+        pre = spec["pre_tokenizer"] or {}
+        ranked = all(vocab[a + b] == 256 + k for k, (a, b) in enumerate(merges)) and sorted(
+            i for x, i in vocab.items() if len(x) == 1) == list(range(256)) and spec["normalizer"] is None
+        if not ranked or pre.get("type") != "ByteLevel" or pre.get("add_prefix_space") or not pre.get("use_regex"):
+            return None
+        ranks = {self.bytes_a[i]: i for i in range(256 + len(merges))}
+        return tiktoken.Encoding("first side", pat_str=PRETOKENS, mergeable_ranks=ranks, special_tokens={})
+
+    def encode_a(self, texts: Sequence[str]) -> list[list[int]]:
+        """Ids of the first side."""
+        slow = [k for k, t in enumerate(texts) if self.fast is None or LONG_RUN.search(t)]
+        found = dict(zip(slow, self.a.encode_batch([texts[k] for k in slow], add_special_tokens=False)))
+        return [found[k].ids if k in found else self.fast.encode_ordinary(t) for k, t in enumerate(texts)]
+
     def encode(self, texts: Sequence[str]) -> tuple[list[list[int]], list[list[int]]]:
         """Ids of both sides; none where the bytes of either differ from a blank and the text."""
-        parts, owner = [], []
-        for k, text in enumerate(texts):
-            found = self._parts(" " + text)
-            parts += found
-            owner += [k] * len(found)
-        ids_a: list[list[int]] = [[] for _ in texts]
-        for k, e in zip(owner, self.a.encode_batch(parts, add_special_tokens=False)):
-            ids_a[k] += e.ids
+        ids_a = self.encode_a([" " + t for t in texts])
         ids_b = self.b.encode(list(texts), num_threads=1)
         for k, text in enumerate(texts):
             data = b" " + text.encode()
-            if not text or any(b"".join([table[i] for i in ids[k]]) != data for table, ids in ((self.bytes_a, ids_a), (self.bytes_b, ids_b))):
+            if not text or any(b"".join(map(table.__getitem__, ids[k])) != data for table, ids in ((self.bytes_a, ids_a), (self.bytes_b, ids_b))):
                 ids_a[k], ids_b[k] = [], []
         return ids_a, ids_b
 
-    @staticmethod
-    def _parts(text: str) -> list[str]:
-        out, at = [], 0
-        while len(text) - at > LONG:
-            cut = BLANK.search(text, at + LONG // 2)
-            if cut is None:
-                break
-            out.append(text[at:cut.start()])
-            at = cut.start()
-        return [*out, text[at:]]
-
 
 @lru_cache(maxsize=2)
 def load(path_a: str, path_b: str) -> Pair:
@@ -134,7 +141,7 @@ def stretches(ends_a: np.ndarray, ends_b: np.ndarray, last_a: np.ndarray, every:
 def lockstep(ids_a: Sequence[Sequence[int]], ids_b: Sequence[Sequence[int]], size_a: np.ndarray, size_b: np.ndarray) -> Merged:
     """All links and cuts of documents given by their ids on both sides."""
     from_a, from_b = (np.concatenate([[0], np.cumsum([len(x) for x in ids], dtype=np.int64)]) for ids in (ids_a, ids_b))
-    flat_a, flat_b = (np.fromiter((i for x in ids for i in x), np.int32, n[-1]) for ids, n in ((ids_a, from_a), (ids_b, from_b)))
+    flat_a, flat_b = (np.fromiter(chain.from_iterable(ids), np.int32, n[-1]) for ids, n in ((ids_a, from_a), (ids_b, from_b)))
     ends_a, ends_b = np.cumsum(size_a[flat_a]), np.cumsum(size_b[flat_b])
     there = from_a[1:] > from_a[:-1]
     stop_a = stretches(ends_a, ends_b, from_a[1:][there] - 1) if len(flat_a) else np.zeros(0, np.int64)

@@ -90,12 +90,20 @@ def test_stretches_give_the_same_links(pair):
     assert whole.cut_a.tolist() == cut.cut_a.tolist() and whole.cut_b.tolist() == cut.cut_b.tolist()
 
 
-def test_long_texts_are_encoded_whole(pair):
+def test_both_encoders_of_the_first_side_agree(pair):
     rng = random.Random(1)
-    text = " ".join("".join(rng.choice("abcdeé'1 \n") for _ in range(rng.randint(1, 9))) for _ in range(60_000))
-    assert len(text) > 2 * alignment.LONG
-    (a,), (b,) = pair.encode([text])
-    assert a == pair.a.encode(" " + text, add_special_tokens=False).ids and b == pair.b.encode(text)
+    signs = " \n\t\r\x0b\x0c\x1c\x85\xa0\u2003\u3000\u200b\ufeffabcABC'st\u00e9\u65e5\u672c0\u0663\u00b2\u00bd_-<|>\u20ac\U0001f600\u0301\u2581\x00\u0130\u00df\u017f'll,."
+    texts = [" " + "".join(rng.choice(signs) for _ in range(rng.randint(0, 14))) for _ in range(20_000)]
+    assert pair.fast is not None
+    assert pair.encode_a(texts) == [e.ids for e in pair.a.encode_batch(texts, add_special_tokens=False)]
+
+
+def test_very_long_texts_and_runs(pair):
+    rng = random.Random(1)
+    words = " ".join("".join(rng.choice("abcde\u00e9'1 \n") for _ in range(rng.randint(1, 9))) for _ in range(60_000))
+    for text in (words, "ab" * 100_000, "x" + " " * 100_000 + "y", "\n" * 100_000, "\u00e9!" * 50_000):
+        (a,), (b,) = pair.encode([text])
+        assert a == pair.a.encode(" " + text, add_special_tokens=False).ids and b == pair.b.encode(text)
 
 
 def test_small_blocks_give_the_same_counts(spark, docs, collect, pair, monkeypatch):
