@@ -54,6 +54,24 @@ def block_bootstrap_cells(spark, sf_dir):
     return boots.select("iy", "ix", "iboot", rd("mae_bootstrapped").alias("mae_bootstrapped"))
 
 
+@query("bootstrap_ci_cells", f"""
+WITH R AS (SELECT time, floor((row_number() OVER (ORDER BY time) - 1) / 10) AS iblock FROM (SELECT DISTINCT time FROM D)),
+W AS (SELECT iblock FROM R GROUP BY 1 HAVING count(*) = 10),
+B AS (SELECT iy, ix, iblock, avg(abs(t_in - t_tar)) AS mae, avg(t_in - t_tar) AS bias FROM D JOIN R USING (time) JOIN W USING (iblock) GROUP BY ALL),
+N AS (SELECT count(*) AS n FROM W),
+DR AS (SELECT b AS iboot, CAST(floor(CAST({hash_sql("'42'", 'b', 's')} AS DOUBLE) / 4294967296 * n) AS BIGINT) AS iblock
+  FROM range({NBOOTS}) x(b), N, range(100000) y(s) WHERE s < n),
+BS AS (SELECT iy, ix, iboot, avg(mae) AS mae, avg(bias) AS bias FROM DR JOIN B USING (iblock) GROUP BY ALL)
+SELECT iy, ix, {r('quantile_cont(mae, 0.025)')} AS mae_lower, {r('quantile_cont(mae, 0.975)')} AS mae_upper,
+  {r('quantile_cont(bias, 0.025)')} AS bias_lower, {r('quantile_cont(bias, 0.975)')} AS bias_upper FROM BS GROUP BY iy, ix""")
+def bootstrap_ci_cells(spark, sf_dir):
+    bias = F.col("t_in") - F.col("t_tar")
+    d = view_d(spark, sf_dir).withColumns({"mae": F.abs(bias), "bias": bias})
+    blocks = resample.block_means(d, ["mae", "bias"], 10, keys=["iy", "ix"])
+    df = resample.block_bootstrap_ci(blocks, ["mae", "bias"], {"lower": 0.025, "upper": 0.975}, NBOOTS, keys=["iy", "ix"])
+    return df.select("iy", "ix", *[rd(c).alias(c) for c in ("mae_lower", "mae_upper", "bias_lower", "bias_upper")])
+
+
 @query("bootstrap_ci", f"""{BOOTS} SELECT {r('quantile_cont(rmse, 0.025)')} AS lower, {r('quantile_cont(rmse, 0.5)')} AS median,
   {r('quantile_cont(rmse, 0.975)')} AS upper FROM BS""")
 def bootstrap_ci(spark, sf_dir):
