@@ -27,9 +27,10 @@ LEAST_PAGES = 10
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes plaintext".split())
 DROPPED = frozenset("script style textarea title xmp iframe noembed noframes head nav header footer aside form noscript template button "
-                    "select option datalist dialog menu svg canvas object audio video map math input".split())
-INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark nobr q rp rt ruby s samp small span "
-                   "strike strong sub sup time tt u var wbr".split())
+                    "select option datalist dialog menu svg canvas object audio video map input".split())
+INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark math nobr q rp rt ruby s samp small span "
+                   "strike strong sub sup time tt u var wbr mi mn mo ms mtext mspace mrow mfrac msqrt mroot mstyle msub msup msubsup "
+                   "munder mover munderover semantics".split())
 CLOSES_P = frozenset("address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 "
                      "h5 h6 header hgroup hr main menu nav ol p pre section search summary table ul".split())
 SIBLINGS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"},
@@ -46,6 +47,13 @@ MARKS = frozenset("ad ads advert adverts advertisement advertising sponsor spons
                   "overlay newsletter subscribe subscription signup login share sharing social comment comments reply replies disqus related "
                   "recommended recommendations widget toolbar pagination pager search skip skiplink copyright".split())
 
+# Marks that no wrapper of an article has, and words before a mark that say what a page has, not what a part is.
+APART = frozenset("comment comments reply replies disqus related recommended recommendations".split())
+MODIFIERS = frozenset("has no with without is not hide show js".split())
+#: A part with a class name, id or form tag that marks it stays when it holds prose and so much of the text: it wraps the article.
+WRAPPER_SHARE = 0.7
+PLAIN, NAMED, APART_FROM, DROP = 0, 1, 2, 3
+
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|</([a-zA-Z][^\s/>]*)[^>]*(?:>|\Z)"
                     r"|<([a-zA-Z][^\s/>]*)((?:\s+|/(?!>)|[^\s\"'>/=]+(?:\s*=\s*(?:\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?|[\"'=])*)\s*/?(?:>|\Z)", re.S)
 _ATTRIBUTE = re.compile(r"([^\s\"'>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.S)
@@ -59,6 +67,9 @@ class Element:
     parent: Element | None
     children: list = field(default_factory=list)
     digest: int = 0
+    mark: int = -1
+    size: int = 0
+    prose: bool = False
 
 
 def parse(html: str) -> Element:
@@ -126,20 +137,59 @@ def _attributes(e: Element) -> dict[str, str]:
     return {m[0].lower(): unescape(m[1] or m[2] or m[3]) for m in _ATTRIBUTE.findall(e.attributes)} if e.attributes.strip(" /\n\t\r") else {}
 
 
-def marked(e: Element) -> bool:
-    """Whether tag, role, class or id mark an element as no text of the article."""
-    if e.tag in DROPPED:
-        return True
+def mark_of(e: Element) -> int:
+    """Whether an element is no text of the article: by its tag, role or style, as a part apart from it, or by its name only."""
+    if e.mark < 0:
+        e.mark = _mark(e)
+    return e.mark
+
+
+def _mark(e: Element) -> int:
+    if e.tag in DROPPED and e.tag != "form":
+        return DROP
     of = _attributes(e)
-    if not of:
-        return False
-    if of.get("role", "").lower() in DROPPED_ROLES or "hidden" in of or of.get("aria-hidden", "").lower() == "true":
-        return True
-    if re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", of.get("style", ""), re.I):
-        return True
-    if e.tag in MAIN or e.tag in ("body", "html"):
-        return False
-    return any(not MARKS.isdisjoint(_PARTS.findall(re.sub(r"([a-z0-9])([A-Z])", r"\1 \2", of.get(a, "")).lower())) for a in ("class", "id"))
+    if of:
+        role = of.get("role", "").lower()
+        if (role in DROPPED_ROLES and role != "form") or "hidden" in of or of.get("aria-hidden", "").lower() == "true":
+            return DROP
+        if re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", of.get("style", ""), re.I):
+            return DROP
+    if e.tag in ("body", "html"):
+        return PLAIN
+    marks = {m for a in ("class", "id") for name in of.get(a, "").split() for m in _marks(name)}
+    if marks & APART:
+        return APART_FROM
+    named = marks and e.tag not in MAIN
+    return NAMED if named or e.tag == "form" or of.get("role", "").lower() == "form" else PLAIN
+
+
+def _marks(name: str) -> set[str]:
+    """The marks in one class name or id; what follows a modifier says how the page is laid out."""
+    parts = _PARTS.findall(re.sub(r"([a-z0-9])([A-Z])", r"\1 \2", name).lower())
+    return {x for k, x in enumerate(parts) if x in MARKS and not (k and parts[k - 1] in MODIFIERS)}
+
+
+def weigh(root: Element) -> None:
+    """Note for every element how many characters of text stand in it that are not dropped, and whether prose does."""
+    order, stack = [], [root]
+    while stack:
+        x = stack.pop()
+        order.append(x)
+        stack.extend(c for c in x.children if not isinstance(c, str) and mark_of(c) < APART_FROM)
+    for x in reversed(order):
+        x.size, x.prose = 0, x.tag in PROSE
+        for c in x.children:
+            if isinstance(c, str):
+                x.size += len(unescape(c).strip())
+            elif mark_of(c) < APART_FROM:
+                x.size += c.size
+                x.prose |= c.prose
+
+
+def left_out(e: Element, base: Element) -> bool:
+    """Whether a part of ``base`` is no text of the article; a name does not count where the part is most of it."""
+    mark = mark_of(e)
+    return mark >= APART_FROM or (mark == NAMED and not (e.prose and e.size >= WRAPPER_SHARE * base.size))
 
 
 def _is_main(e: Element) -> bool:
@@ -162,68 +212,59 @@ def digest(e: Element) -> int:
     return e.digest
 
 
-def main_part(root: Element) -> list[Element]:
-    """The outermost articles or main elements that are not marked as something else, or else the whole page."""
+def _outermost(root: Element, wanted, through) -> list[Element]:
+    """The outermost elements that are wanted, in page order, below elements that may be gone through."""
     found, stack = [], [root]
     while stack:
         x = stack.pop()
-        if x is not root and marked(x):
+        if x is not root and not through(x):
             continue
-        if x is not root and x.tag in ("article",):
+        if x is not root and wanted(x):
             found.append(x)
         else:
             stack.extend(c for c in reversed(x.children) if not isinstance(c, str))
-    if found:
-        return found
-    stack = [root]
-    while stack:
-        x = stack.pop()
-        if x is not root and _is_main(x):
-            return [x]
-        stack.extend(c for c in reversed(x.children) if not isinstance(c, str) and not marked(c))
-    return [root]
+    return found
 
 
-def _holds_prose(e: Element) -> bool:
-    stack = [e]
-    while stack:
-        x = stack.pop()
-        if x.tag in PROSE:
-            return True
-        stack.extend(c for c in x.children if not isinstance(c, str))
-    return False
+def main_part(root: Element) -> list[Element]:
+    """The outermost articles, or else the first main element, or else the whole page; ``root`` must be weighed.
+
+    Articles below parts that their names mark are taken where those outside hold less than half as much text: then the names
+    belong to wrappers.
+    """
+    for wanted, most in ((lambda x: x.tag == "article", None), (_is_main, 1)):
+        inside = _outermost(root, wanted, lambda x: mark_of(x) < APART_FROM)[:most]
+        plain = _outermost(root, wanted, lambda x: mark_of(x) == PLAIN or wanted(x) and mark_of(x) < APART_FROM)[:most]
+        found = plain if 2 * sum(x.size for x in plain) >= sum(x.size for x in inside) and plain else inside
+        if found:
+            return found
+    return [root]
 
 
-def _with_text(root: Element) -> list[tuple[Element, bool]]:
-    """The elements that are not marked, parents first, and whether text stands in them that is not marked."""
+def _with_text(root: Element) -> list[Element]:
+    """The elements that hold text and are not left out, parents first."""
     order, stack = [], [root]
     while stack:
         x = stack.pop()
         order.append(x)
-        stack.extend(c for c in x.children if not isinstance(c, str) and not marked(c))
-    full: set[int] = set()
-    for x in reversed(order):
-        if any(isinstance(c, str) and unescape(c).strip() for c in x.children):
-            full.add(id(x))
-        if id(x) in full and x.parent is not None:
-            full.add(id(x.parent))
-    return [(x, id(x) in full) for x in order]
+        stack.extend(c for c in x.children if not isinstance(c, str) and c.size and not left_out(c, root))
+    return order
 
 
 def candidates(root: Element) -> Iterator[int]:
     """Hashes of the subtrees that may be templates: blocks that hold text, but inside an article only those without prose.
 
-    Paragraphs of an article may recur because the article does; what recurs beside them is furniture.  Words of a sentence and
+    ``root`` must be weighed.  Paragraphs of an article may recur because the article does; what recurs beside them is furniture.  Words of a sentence and
     headings recur because the language does, so that inline elements and headings go only with a block that holds them.
     """
     mains = {id(x) for x in main_part(root) if x is not root}
     inside: set[int] = set()
-    for x, has_text in _with_text(root):
+    for x in _with_text(root):
         if id(x) in mains or (x.parent is not None and id(x.parent) in inside):
             inside.add(id(x))
-        if x is root or not has_text or x.tag in ("html", "body") or x.tag in INLINE or x.tag in HEADINGS or id(x) in mains:
+        if x is root or not x.size or x.tag in ("html", "body") or x.tag in INLINE or x.tag in HEADINGS or id(x) in mains:
             continue
-        if id(x) not in inside or not _holds_prose(x):
+        if id(x) not in inside or not x.prose:
             yield x.digest
 
 
@@ -233,17 +274,23 @@ def _parts_text(e: Element) -> bool:
 
 
 def text_of(root: Element, templates: frozenset[int] | set[int]) -> str:
-    """Texts of the blocks of the main part, white space made one blank, joined by a blank, also where a block is left out."""
+    """Texts of the blocks of the main part, white space made one blank, joined by a blank, also where a block is left out.
+
+    ``root`` must be weighed.
+    """
     parts: list[str] = []
     mains = main_part(root)
     keep = {id(m) for m in mains}
     stack: list = list(reversed(mains))
+    base = root
     while stack:
         x = stack.pop()
         if isinstance(x, str):
             parts.append(unescape(x))
             continue
-        if id(x) not in keep and (marked(x) or x.digest in templates):
+        if id(x) in keep:
+            base = x
+        elif left_out(x, base) or x.digest in templates:
             if _parts_text(x):
                 parts.append(" ")
             continue
@@ -265,6 +312,7 @@ def _hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hosts, found, whole = [], [], []
         for host, html in zip(batch.column("host").to_pylist(), batch.column("html").to_pylist()):
             root = parse(html or "")
+            weigh(root)
             page, of = digest(root), {None, *candidates(root)}
             hosts += [host] * len(of)
             whole += [page] * len(of)
@@ -307,6 +355,7 @@ def extract(df: DataFrame, html: str = "html", url: str = "url", carry: tuple[st
             texts = []
             for page, of in zip(batch.column("html").to_pylist(), batch.column("templates").to_pylist()):
                 root = parse(page or "")
+                weigh(root)
                 if of:
                     digest(root)
                 texts.append(text_of(root, frozenset(of or ())))

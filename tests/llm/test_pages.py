@@ -1,12 +1,47 @@
 from __future__ import annotations
 
 import html
+import random
 import re
 
 import pytest
 
 from gridspark.llm import pages
 
+
+
+def text(source):
+    root = pages.parse(source)
+    pages.weigh(root)
+    return pages.text_of(root, frozenset())
+
+
+BODY = "<h1>Title</h1><p>A sentence of the article.</p><p>And one more.</p>"
+PLAIN = "Title A sentence of the article. And one more."
+FURNITURE = "<nav>menu</nav><div class='sidebar'><p>aside</p></div><footer>foot</footer>"
+WRAPPED = [
+    f"<div class='layout has-sidebar'><article>{BODY}</article>{FURNITURE}</div>",
+    f"<div id='page' class='no-sidebar'>{FURNITURE}<main>{BODY}</main></div>",
+    f"<form id='aspnetForm'>{FURNITURE}<article>{BODY}</article></form>",
+    f"<article><form>{BODY}</form><div class=share>tweet</div></article>",
+    f"<div class='page-with-menu sidebar'>{FURNITURE}<div class=text>{BODY}</div></div>",
+    f"<form><div class='content header-fixed'>{BODY}</div>{FURNITURE}</form>",
+    f"<div class='cookie-ready'><article>{BODY}</article></div><p>outside</p>",
+    f"<div class='sidebar-left'><article>{BODY}</article><section class='comments'><article>reader " + "words " * 99 + "</article></section></div>",
+    f"<article>{BODY}<div id='comments'><p>" + "reader comment " * 99 + "</p></div></article>",
+    f"<article>{BODY}<form><p>your mail</p><input></form><div class='newsletter'>join</div></article>",
+    f"<article>{BODY}</article><div class='related'><article>" + "other " * 99 + "</article></div>"]
+
+
+@pytest.mark.parametrize("source", WRAPPED)
+def test_wrappers_keep_the_article(source):
+    assert text(f"<html><body>{source}</body></html>") == PLAIN
+
+
+def test_formulas_stay():
+    assert text("<article><p>so <math><mi>a</mi><mo>=</mo><mn>1</mn></math> holds</p></article>") == "so a=1 holds"
+
+
 CASES = {
     "": "", "just < text & more": "just < text & more", "<p>a<b>b</b>c<p>d": "abc d", "<article><h1>T</h1><p>x &amp; y</p></article><p>out": "T x & y",
     "<nav>n</nav><main><p>a<br>b</main><footer>f</footer>": "a b", "<body><header>h</header><p>a</p><aside>s</aside></body>": "a",
@@ -19,13 +54,32 @@ CASES = {
 
 @pytest.mark.parametrize("source", CASES)
 def test_text_of_a_page(source):
-    assert pages.text_of(pages.parse(source), frozenset()) == CASES[source]
+    assert text(source) == CASES[source]
 
 
 def site(n, body, host="a.example"):
     return [(i, f"http://{host}/{i}", body(i)) for i in range(n)]
 
 
+def test_templates_against_a_plain_count(spark):
+    rng = random.Random(4)
+    boxes = [f"<div class=b{k}><span>box {k}</span></div>" for k in range(12)]
+    rows = [(i, f"http://h{i % 3}.example/{i}", f"<body><div class=u{i // 5}>few</div>" + "".join(rng.sample(boxes, 1 + i % 3 * 2)) + f"<article><p>own {i % 150}</p>"
+             + rng.choice(boxes) + "</article><ul><li>" + rng.choice("abc") + "</ul></body>") for i in range(400)]
+    seen, sizes = {}, {}
+    for _, url, html in rows:
+        root = pages.parse(html)
+        pages.weigh(root)
+        whole, host = pages.digest(root), url.split("/")[2]
+        sizes.setdefault(host, set()).add(whole)
+        for h in pages.candidates(root):
+            seen.setdefault((host, h), set()).add(whole)
+    want = {k for k, of in seen.items() if len(of) >= 10 and len(of) ** 2 >= len(sizes[k[0]])}
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {(r.host, r.hash) for r in pages.templates(df.select(pages.host_of(df.url).alias("host"), "html")).collect()}
+    assert got == want and 0 < len(want) < len(seen)
+
+
 def test_templates_of_a_site_go(spark):
     furniture = "<div class=x1><span>All rights</span><p>Same on every page</p></div>"
     rows = site(30, lambda i: f"<body>{furniture}<div><p>Own text {i}</p></div></body>")
