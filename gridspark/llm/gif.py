@@ -16,6 +16,8 @@ from gridspark.llm.batches import add_columns
 
 WIDTH, FRAME_ROWS, DELAY = 192, 1024, 10
 BINS = 16
+#: Larger canvases and frames are an error, so that a damaged header cannot fill the memory.
+MOST_PIXELS = 1 << 26
 _MOST_CODES = 4096
 _GREY = bytes(level for level in range(256) for _ in range(3))
 
@@ -199,6 +201,8 @@ def frames(data: bytes) -> Iterator[Frame]:
     shared = np.zeros((256, 3), dtype=np.uint8)
     if flags & 0x80:
         shared, at = _palette(data, at, flags)
+    if width * height > MOST_PIXELS:
+        raise ValueError(f"a GIF of {width} x {height} pixels is larger than {MOST_PIXELS}")
     canvas = np.zeros((height, width, 4), dtype=np.uint8)
     delay, disposal, transparent, index = 0, 0, -1, 0
     while data[at] != 0x3B:
@@ -213,6 +217,8 @@ def frames(data: bytes) -> Iterator[Frame]:
             raise ValueError("a GIF holds a block of unknown kind")
         left, top, w, h = np.frombuffer(data, dtype="<u2", count=4, offset=at + 1).tolist()
         own, at = data[at + 9], at + 10
+        if w * h > MOST_PIXELS:
+            raise ValueError(f"a frame of {w} x {h} pixels is larger than {MOST_PIXELS}")
         colours = shared
         if own & 0x80:
             colours, at = _palette(data, at, own)
@@ -261,38 +267,70 @@ FRAME = T.StructType([
     T.StructField("samples", T.BinaryType()), T.StructField("histogram", T.ArrayType(T.LongType()))])
 
 
-def read_frames(df: DataFrame, media: str = "media", out: str = "frames", carry: list[str] | None = None) -> DataFrame:
-    """Add ``frames``: the timed frames of each GIF with samples and colour histogram; null media give none."""
+def read_frames(df: DataFrame, media: str = "media", out: str = "frames", carry: list[str] | None = None,
+                error: str = "media_error") -> DataFrame:
+    """Add ``frames``: the timed frames of each GIF with samples and colour histogram, and ``media_error``.
+
+    Null media have no frames and no error.  Media that are no GIF, are cut off or damaged have the frames before the damage and
+    an error that names it.  Columns of these names are replaced; repeated rows and empty tables need no special case.
+    """
     def make():
         def run(rows):
-            found = []
+            found, errors = [], []
             for data in rows:
-                start, of = 0, []
-                for f in frames(bytes(data)) if data is not None else ():
-                    of.append({"index": f.index, "start_ms": start, "delay_ms": f.delay_ms, "disposal": f.disposal, "width": f.width,
-                               "height": f.height, "samples": f.samples, "histogram": f.histogram()})
-                    start += f.delay_ms
+                start, of, wrong = 0, [], None
+                try:
+                    for f in frames(bytes(data)) if data is not None else ():
+                        of.append({"index": f.index, "start_ms": start, "delay_ms": f.delay_ms, "disposal": f.disposal, "width": f.width,
+                                   "height": f.height, "samples": f.samples, "histogram": f.histogram()})
+                        start += f.delay_ms
+                except DAMAGE as e:
+                    wrong = _named(e)
                 found.append(of)
-            return {out: found}
+                errors.append(wrong)
+            return {out: found, error: errors}
         return run
 
-    return add_columns(df, [media], T.StructType([T.StructField(out, T.ArrayType(FRAME))]), make, carry)
+    return add_columns(df, [media], T.StructType([T.StructField(out, T.ArrayType(FRAME)), T.StructField(error, T.StringType())]), make, carry)
+
+
+DAMAGE = (ValueError, IndexError)
+
+
+def _named(e: Exception) -> str:
+    return str(e) if isinstance(e, ValueError) else "a GIF ends before its end"
+
+
+NOTHING = (None, None, None, None)
+
+
+def _read_back(data: bytes) -> tuple[tuple, str | None]:
+    """Length, hash, tail checksum and histogram of the samples of a GIF, or nothing and what is wrong with it."""
+    sums, samples = np.zeros(3 * BINS, dtype=np.int64), []
+    try:
+        for f in frames(data):
+            samples.append(f.samples)
+            sums += f.histogram()
+    except DAMAGE as e:
+        return NOTHING, _named(e)
+    read = b"".join(samples)
+    return (len(read), hashlib.sha256(read).hexdigest(), zlib.crc32(read[-16:]), f"{len(samples)}:" + ",".join(map(str, sums[:BINS]))), None
 
 
 def digests(df: DataFrame, media: str = "media", carry: list[str] | None = None) -> DataFrame:
-    """Add what is read back from each GIF: payload length, hash and tail checksum, hash and length of the media, histogram."""
+    """Add what is read back from each GIF: payload length, hash and tail checksum, hash and length of the media, histogram.
+
+    Null media have nulls.  Media that are no GIF, are cut off or damaged have their length and hash, an error in
+    ``media_error`` and nulls elsewhere.  Columns of these names are replaced; repeated rows and empty tables need no special case.
+    """
     def make():
         def run(rows):
             out = {n: [] for n in DIGEST.fieldNames()}
             for data in rows:
-                sums, samples = np.zeros(3 * BINS, dtype=np.int64), []
-                for f in frames(bytes(data)):
-                    samples.append(f.samples)
-                    sums += f.histogram()
-                read = b"".join(samples)
-                for name, value in zip(DIGEST.fieldNames(), (
-                        len(read), hashlib.sha256(read).hexdigest(), zlib.crc32(read[-16:]), len(data), hashlib.sha256(data).hexdigest(),
-                        f"{len(samples)}:" + ",".join(map(str, sums[:BINS])))):
+                data = None if data is None else bytes(data)
+                read, wrong = (NOTHING, None) if data is None else _read_back(data)
+                whole = (None, None) if data is None else (len(data), hashlib.sha256(data).hexdigest())
+                for name, value in zip(DIGEST.fieldNames(), (*read[:3], *whole, read[3], wrong)):
                     out[name].append(value)
             return out
         return run
@@ -302,4 +340,5 @@ def digests(df: DataFrame, media: str = "media", carry: list[str] | None = None)
 
 DIGEST = T.StructType([
     T.StructField("payload_bytes", T.LongType()), T.StructField("payload_sha256", T.StringType()), T.StructField("tail_crc32", T.LongType()),
-    T.StructField("media_bytes", T.LongType()), T.StructField("media_sha256", T.StringType()), T.StructField("feature", T.StringType())])
+    T.StructField("media_bytes", T.LongType()), T.StructField("media_sha256", T.StringType()), T.StructField("feature", T.StringType()),
+    T.StructField("media_error", T.StringType())])

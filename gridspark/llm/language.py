@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from gridspark.llm.batches import add_columns
-from gridspark.llm.words import fold
+from gridspark.llm.words import fold, picked, row_hash
 
 ORDER = 4
 #: Documents that the models are fitted on, over all languages: a bounded sample of the labelled rows.
@@ -197,24 +197,26 @@ def _count(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def fit(df: DataFrame, text: str = "text", lang: str = "lang", most: int = FIT_DOCUMENTS) -> LanguageModel:
     """Models from the labelled rows of ``df``.
 
-    At most about ``most`` documents are fitted on, an equal number of each language, picked by a hash of the text.  All other
-    labelled rows, a tenth of the picked ones among them, set the limits of rejection.  Rows without a label or text are left out.
+    At most about ``most`` documents are fitted on, an equal number of each language, picked by a hash of the whole row, so that
+    copies with ids of their own are picked one by one.  All other labelled rows, a tenth of the picked ones among them, set the
+    limits of rejection.  Rows without a label or text are left out.  Without any, the model knows no language.
     """
-    rows = df.select(F.col(text).alias("text"), F.col(lang).alias("lang")).where("text IS NOT NULL AND lang IS NOT NULL")
+    rows = df.select(F.col(text).alias("text"), F.col(lang).alias("lang"), row_hash(df).alias("hash")).where(
+        "text IS NOT NULL AND lang IS NOT NULL")
     totals = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}
-    if not totals:
-        raise ValueError("there are no labelled texts to learn from")
-    share = {k: min(1.0, most / len(totals) / n) for k, n in totals.items()}
-    pick = F.pmod(F.xxhash64("text"), F.lit(1_000_000))
-    shares = F.create_map(*(F.lit(x) for k, v in share.items() for x in (k, int(v * 1_000_000))))
-    fitted = (pick < F.element_at(shares, F.col("lang"))) & (F.pmod(F.xxhash64("text", F.lit(1)), F.lit(10)) != 0)
+    pick = F.lit(False)  # stays so without labels
+    for k, n in totals.items():
+        pick = F.when(F.col("lang") == k, picked(F.col("hash"), most / len(totals) / n)).otherwise(pick)
+    fitted = pick & (F.pmod(F.xxhash64("hash", F.lit(1)), F.lit(10)) != 0)
     counted = (rows.where(fitted).mapInPandas(_count, "lang string, gram string, n long")
                .groupBy("lang", "gram").agg(F.sum("n").alias("n")))
     grams: dict[str, Counter] = {k: Counter() for k in totals}
     # the n-grams of a bounded sample
     for r in counted.toLocalIterator(prefetchPartitions=True):
         grams[r["lang"]][r["gram"]] = r["n"]
-    languages = sorted(k for k in totals if grams[k]) or sorted(totals)
+    languages = sorted(k for k in totals if grams[k])
+    if not languages:
+        return LanguageModel([], [], [], [], [], np.zeros(0), np.zeros(0))
     model = _kneser_ney(grams, languages)
     _set_limits(model, rows.where(~fitted))
     return model
@@ -321,17 +323,17 @@ def score(df: DataFrame, model: LanguageModel, text: str = "text", carry: list[s
           prefix: str = "") -> DataFrame:
     """Add ``lang_pred``, ``score`` (0 to 1), ``rejected`` and ``entropy`` (nats per letter) of each whole text.
 
-    A text that is null or holds no letter is ``und`` with score 0 and is rejected.  Equal texts have equal results; empty
+    A model without languages knows no text.  A text that is null or holds no letter is ``und`` with score 0 and is rejected.  Equal texts have equal results; empty
     tables give empty results; columns of these names, put behind ``prefix``, are replaced.
     """
     shared = df.sparkSession.sparkContext.broadcast(model)  # bounded by the sample it was fitted on
 
     def make():
         m = shared.value
-        of = _summed(m)
+        of = _summed(m) if m.languages else (lambda texts: [(0, 0)] * len(texts))
 
         def run(texts):
-            out = [m.judge(sums, letters) if letters else (UNDECIDED, 0.0, True, 0.0) for sums, letters in of(texts)]
+            out = [m.judge(sums, letters) if letters and m.languages else (UNDECIDED, 0.0, True, 0.0) for sums, letters in of(texts)]
             return dict(zip(names, map(list, zip(*out))))
         return run
 

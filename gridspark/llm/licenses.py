@@ -13,7 +13,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gridspark.llm.words import bind
+from gridspark.llm.words import bind, unused
 
 SPLIT = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 LEAST_SHARE = 0.8
@@ -140,23 +140,24 @@ def scan(df: DataFrame, text: str = "text", templates: tuple[Template, ...] = TE
         fields = [_found(t, anchors[t], w, at, idf, least_share).alias(f"t{n}") for n, t in enumerate(templates)]
         return F.struct(F.size(w).cast("bigint").alias("n_words"), *fields)
 
-    m = df.withColumn("_m", bind(licence_words(F.col(text)), find))
+    held = unused(df, "_m")
+    m = df.withColumn(held, bind(licence_words(F.col(text)), find))
     base = [(n, t) for n, t in enumerate(templates) if t.base]
     other = [(n, t) for n, t in enumerate(templates) if not t.base]
-    starts = F.concat(*(F.col(f"_m.t{n}") for n, _ in base))
-    base_labels = F.array(*(F.when(F.size(f"_m.t{n}") > 0, F.lit(t.label)) for n, t in base))
-    labels = F.concat(base_labels, F.array(*(F.when(F.col(f"_m.t{n}").isNotNull(), F.lit(t.label)) for n, t in other)))
+    starts = F.concat(*(F.col(f"{held}.t{n}") for n, _ in base))
+    base_labels = F.array(*(F.when(F.size(f"{held}.t{n}") > 0, F.lit(t.label)) for n, t in base))
+    labels = F.concat(base_labels, F.array(*(F.when(F.col(f"{held}.t{n}").isNotNull(), F.lit(t.label)) for n, t in other)))
     joined = lambda a: F.array_join(F.array_sort(F.array_distinct(F.array_compact(a))), ",")
-    best_other = F.array_max(F.array(*(F.col(f"_m.t{n}") for n, _ in other), F.lit(0.0)))
+    best_other = F.array_max(F.array(*(F.col(f"{held}.t{n}") for n, _ in other), F.lit(0.0)))
     return m.withColumns({
-        "n_words": F.col("_m.n_words"),
+        "n_words": F.col(f"{held}.n_words"),
         "n_base": F.size(starts).cast("bigint"),
         "first_word": F.array_min(starts).cast("bigint"),
         "last_word": F.array_max(starts).cast("bigint"),
         "base_labels": joined(base_labels),
         "labels": joined(labels),
         "score": F.when(F.size(starts) > 0, 1.0).otherwise(best_other),
-    }).drop("_m")
+    }).drop(held)
 
 
 def oracle_sql(templates: tuple[Template, ...] = TEMPLATES, least_share: float = LEAST_SHARE) -> str:

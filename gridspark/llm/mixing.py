@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from gridspark.llm.words import bind, words
+from gridspark.llm.words import bind
 from gridspark.session import stored
 
 WEIGHTS = (5.0, 2.0, 1.0)
@@ -182,23 +182,37 @@ def taken(df: DataFrame, mix: Mix = Mix(), text: str = "text", source: str = "so
                     F.coalesce("taken", F.lit(0).cast("bigint")).alias("taken")))
 
 
+def stretches(text: Column, runs: Column) -> Column:
+    """The words of a text that sorted runs of ``skip`` and ``n`` take, with the white space between words that both are taken.
+
+    Each word is cut out with the white space behind it, which goes where the next word is not taken.
+    """
+    def stretch(r: Column, i: Column, w: Column, all_runs: Column) -> Column:
+        part = F.array_join(F.slice(w, (r["skip"] + 1).cast("int"), r["n"].cast("int")), "")
+        following = F.get(all_runs, i + 1)
+        bare = F.regexp_replace(part, r"[\x20\x09-\x0D]+$", "")
+        return (F.when(following.isNull(), bare).when(following["skip"] == r["skip"] + r["n"], part)
+                .otherwise(F.concat(bare, F.lit(" "))))
+
+    cut = F.regexp_extract_all(text, F.lit(r"[^\x20\x09-\x0D]+[\x20\x09-\x0D]*"), F.lit(0))
+    return bind(cut, lambda w: F.array_join(F.transform(runs, lambda r, i: stretch(r, i, w, runs)), ""))
+
+
 def mixed_documents(df: DataFrame, mix: Mix = Mix(), text: str = "text", source: str = "source") -> DataFrame:
     """The mix as documents: one row per document and pass over its source, with the words that the pass takes.
 
     A document whose blocks are all taken keeps its text as it is; otherwise its text is the stretches between the first and
-    last word of each run of taken blocks, joined by a blank.  A document without words is no part of a mix.  The columns are
-    those of the input.
+    last word of each run of taken blocks, white space inside them as it was, joined by a blank.  A document without words is no
+    part of a mix.  The columns are those of the input.
     """
-    packed = df.select(F.struct(*(F.col(f"`{c}`") for c in df.columns)).alias("_row"))
-    docs = numbered(packed.select("_row", F.col(f"_row.`{text}`").alias("_text"), F.col(f"_row.`{source}`").alias("_source")),
+    rows = df.select(F.struct(*(F.col(f"`{c}`") for c in df.columns)).alias("_row"))
+    docs = numbered(rows.select("_row", F.col(f"_row.`{text}`").alias("_text"), F.col(f"_row.`{source}`").alias("_source")),
                     "_text", "_source", (F.col("_row"),))
     _, slot, pieces = plan(docs, mix)
     runs = (pieces.join(slot.select("sid", "block", "pass").hint("merge"), ["sid", "block"]).groupBy("row_id", "pass")
             .agg(F.array_sort(F.collect_list(F.struct("skip", "n"))).alias("runs"), F.sum("n").alias("n_taken")))
     old = F.col(f"_row.`{text}`")
-    parts = bind(words(old), lambda w: F.array_join(F.transform(
-        F.col("runs"), lambda r: F.array_join(F.slice(w, (r["skip"] + 1).cast("int"), r["n"].cast("int")), " ")), " "))
-    new = F.when(F.col("n_taken") == F.col("size"), old).otherwise(parts)
+    new = F.when(F.col("n_taken") == F.col("size"), old).otherwise(stretches(old, F.col("runs")))
     out = docs.join(runs, "row_id").select("_row", new.alias("_new"))
     return out.select(*(F.col("_new").alias(c) if c == text else F.length("_new").cast("bigint").alias(c) if c == "n_chars"
                         else F.col(f"_row.`{c}`").alias(c) for c in df.columns))

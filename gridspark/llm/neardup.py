@@ -25,7 +25,7 @@ from pyspark.sql import types as T
 
 from gridspark.llm.batches import add_columns
 from gridspark.llm.components import components
-from gridspark.llm.words import Memo, memo_key
+from gridspark.llm.words import Memo, memo_key, packed, unpacked
 from gridspark.session import stored
 
 WIDTH, SIZE, MATCHES = 5, 64, 30
@@ -262,12 +262,13 @@ def one_of_each(df: DataFrame, text: str = "text", doc_id: str = "doc_id") -> Da
     """
     bare = F.col("doc_id").isNull() & F.col("component").isNotNull()
     # rows are told apart by id and text, which stay as they are when the input is read again
-    kept = (_judged(df, text, doc_id).where("kept").groupBy(F.col("doc_id").alias("_kept"), F.when(bare, F.col("component")),
+    kept = (_judged(df, text, doc_id).where("kept").groupBy(F.col("doc_id").alias("kept"), F.when(bare, F.col("component")),
                                                             F.when(~bare, F.col("text_hash")))
-            .agg(F.min("text_hash").alias("_kept_hash")).select("_kept", "_kept_hash"))
-    rows = df.join(kept, F.col(doc_id).cast("bigint").eqNullSafe(F.col("_kept")) & (F.xxhash64(text) == F.col("_kept_hash")), "left_semi")
-    same = Window.partitionBy(doc_id, F.when(F.col(doc_id).isNull(), F.xxhash64(text))).orderBy(F.xxhash64(text))
-    return rows.withColumn("_nth", F.row_number().over(same)).where("_nth = 1").drop("_nth")
+            .agg(F.min("text_hash").alias("kept_hash")).select("kept", "kept_hash"))
+    rows = df.select(packed(df.columns), F.col(f"`{doc_id}`").cast("bigint").alias("id"), F.xxhash64(F.col(f"`{text}`")).alias("hash"))
+    met = rows.join(kept, F.col("id").eqNullSafe(F.col("kept")) & (F.col("hash") == F.col("kept_hash")), "left_semi")
+    same = Window.partitionBy("id", F.when(F.col("id").isNull(), F.col("hash"))).orderBy("hash")
+    return met.withColumn("nth", F.row_number().over(same)).where("nth = 1").select(*unpacked(df.columns))
 
 
 ORACLE_SQL = """

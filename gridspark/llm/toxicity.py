@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from gridspark.llm.batches import add_columns
-from gridspark.llm.words import Memo
+from gridspark.llm.words import Memo, memo_key, picked as in_share, row_hash
 from gridspark.session import stored
 
 RUNS = re.compile(r"[^\W\d_]+")
@@ -65,12 +65,27 @@ def swapped(words: list[str]) -> list[str] | None:
     return [SWAPS.get(w, w) for w in words] if not SWAPS.keys().isdisjoint(words) else None
 
 
+def inserted(words: list[str]) -> tuple[list[str], list[str]]:
+    """Two forms of a sentence without identity terms: with a term, and with its counterpart, at the same place.
+
+    A hash of the sentence picks kind, term and place.
+    """
+    h = memo_key(" ".join(words).encode())
+    kind = IDENTITY_TERMS[h % len(IDENTITY_TERMS)]
+    term, place = kind[(h >> 16) % len(kind)], (h >> 32) % (len(words) + 1)
+    return [*words[:place], term, *words[place:]], [*words[:place], SWAPS[term], *words[place:]]
+
+
 @dataclass
 class Model:
-    """Weights of features by level, ``weights[i, l]`` being added where feature i stands at more than l places."""
+    """Weights of features by level, ``weights[i, l]`` being added where feature i stands at more than l places.
+
+    ``pairs`` says how many counterfactual pairs the fit has held together: by swapped terms and by inserted ones.
+    """
     names: dict[str, int]
     weights: np.ndarray
     bias: float
+    pairs: tuple[int, int] = (0, 0)
 
     def score(self, words: list[str], of: Memo | None = None) -> float:
         of = of if of is not None else Memo(self.known)
@@ -103,9 +118,8 @@ def sample(rows: DataFrame, key: str, most: int = FIT_ROWS) -> tuple[DataFrame,
     """About ``most`` rows per label at the most, picked by a hash of ``key``; and the share that each label keeps."""
     totals = {int(r["label"]): r["count"] for r in rows.groupBy("label").count().collect()}
     share = {k: min(1.0, most / n) for k, n in totals.items()}
-    pick = F.pmod(F.xxhash64(key), F.lit(1_000_000))
-    limit = F.when(F.col("label") == 1, F.lit(int(share.get(1, 1.0) * 1_000_000))).otherwise(F.lit(int(share.get(0, 1.0) * 1_000_000)))
-    return rows.where(pick < limit), share
+    hashed = F.xxhash64(key)
+    return rows.where(F.when(F.col("label") == 1, in_share(hashed, share.get(1, 1.0))).otherwise(in_share(hashed, share.get(0, 1.0)))), share
 
 
 def fit(df: DataFrame, text: str = "text", label: str = "toxic", most: int = FIT_ROWS, penalty: float = SWAP_PENALTY,
@@ -114,8 +128,9 @@ def fit(df: DataFrame, text: str = "text", label: str = "toxic", most: int = FIT
 
     A sample is drawn unless ``share`` says which share of each label ``df`` already is.  Nothing but the text is an input.  With no toxic row or no clean one the model gives every text the share of the labels.
     """
-    rows = df.select(F.coalesce(F.col(text), F.lit("")).alias("text"), F.col(label).cast("int").alias("label")).where("label IN (0, 1)")
-    picked, share = sample(rows, "text", most) if share is None else (rows, share)
+    rows = df.select(F.coalesce(F.col(text), F.lit("")).alias("text"), F.col(label).cast("int").alias("label"), row_hash(df).alias("hash"))
+    rows = rows.where("label IN (0, 1)")
+    picked, share = sample(rows, "hash", most) if share is None else (rows, share)
     picked = stored(picked, "toxic-sample")
     sizes = {int(r["label"]): r["count"] for r in picked.groupBy("label").count().collect()}
     n_clean, n_toxic = sizes.get(0, 0), sizes.get(1, 0)
@@ -144,25 +159,28 @@ def fit(df: DataFrame, text: str = "text", label: str = "toxic", most: int = FIT
             for t in batch.column("text").to_pylist():
                 words = runs(t)
                 other = swapped(words)
-                out.append((indices(words), indices(other) if other else None))
+                pair = (words, other) if other else inserted(words)
+                out.append((indices(words), indices(pair[0]), indices(pair[1]), bool(other)))
             kind = pa.list_(pa.int32())
             yield pa.RecordBatch.from_pydict({"label": batch.column("label"), "x": pa.array([o[0] for o in out], kind),
-                                              "other": pa.array([o[1] for o in out], kind)})
+                                              "one": pa.array([o[1] for o in out], kind), "other": pa.array([o[2] for o in out], kind),
+                                              "swapped": pa.array([o[3] for o in out])})
 
     # a bounded sample over a bounded number of features
-    data = picked.mapInArrow(rows_of, "label int, x array<int>, other array<int>").orderBy("label", "x", "other").toPandas()
+    data = picked.mapInArrow(rows_of, "label int, x array<int>, one array<int>, other array<int>, swapped boolean")
+    data = data.orderBy("label", "x", "one", "other").toPandas()
     y = data["label"].to_numpy(dtype=np.float64)
     weight = np.where(y == 1, 1 / share.get(1, 1.0), 1 / share.get(0, 1.0))
-    weights, bias = _train(data["x"].tolist(), data["other"].tolist(), y, weight / weight.mean(), width * LEVELS, bias, penalty)
-    return Model(names, weights.reshape(width, LEVELS), bias)
+    weights, bias = _train(data["x"].tolist(), list(zip(data["one"], data["other"])), y, weight / weight.mean(), width * LEVELS, bias, penalty)
+    n_swapped = int(data["swapped"].sum())
+    return Model(names, weights.reshape(width, LEVELS), bias, (n_swapped, len(data) - n_swapped))
 
 
-def _train(x: list, other: list, y: np.ndarray, weight: np.ndarray, width: int, bias: float, penalty: float) -> tuple[np.ndarray, float]:
-    """Weights that minimise log loss + penalty * (change under the swap)**2 + ridge, by scaled gradient steps."""
+def _train(x: list, pairs: list, y: np.ndarray, weight: np.ndarray, width: int, bias: float, penalty: float) -> tuple[np.ndarray, float]:
+    """Weights that minimise log loss + penalty * (change within a pair)**2 + ridge, by scaled gradient steps."""
     flat, size = np.concatenate([np.asarray(r, dtype=np.int64) for r in x]), np.array([len(r) for r in x])
     row = np.repeat(np.arange(len(x)), size)
-    pairs = [k for k, o in enumerate(other) if o is not None]
-    change = [(np.asarray(x[k], dtype=np.int64), np.asarray(other[k], dtype=np.int64)) for k in pairs]
+    change = [(np.asarray(a, dtype=np.int64), np.asarray(b, dtype=np.int64)) for a, b in pairs]
     c_flat = np.concatenate([np.concatenate(c) for c in change]) if change else np.zeros(0, dtype=np.int64)
     c_sign = np.concatenate([np.r_[np.ones(len(a)), -np.ones(len(b))] for a, b in change]) if change else np.zeros(0)
     c_row = np.repeat(np.arange(len(pairs)), [len(a) + len(b) for a, b in change]) if change else np.zeros(0, dtype=np.int64)

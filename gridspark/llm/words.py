@@ -61,3 +61,21 @@ def packed(kept: Sequence[str]) -> Column:
 def unpacked(kept: Sequence[str]) -> list[Column]:
     """The columns of ``packed`` again."""
     return [F.col("row").getField(c).alias(c) for c in kept]
+
+
+def unused(df: DataFrame, stem: str) -> str:
+    """A column name that the table does not have."""
+    name = stem
+    while name.lower() in {c.lower() for c in df.columns}:
+        name += "_"
+    return name
+
+
+def picked(hashed: Column, share: float) -> Column:
+    """Whether a 64-bit hash falls into a share of all hashes, however small the share."""
+    return F.lit(True) if share >= 1 else hashed < F.lit(int(share * 2**64) - 2**63)
+
+
+def row_hash(df: DataFrame) -> Column:
+    """A hash of a whole row; columns that have no hash (maps) are left out."""
+    return F.xxhash64(*[F.col(f"`{f.name}`") for f in df.schema if "map<" not in f.dataType.simpleString()])

@@ -88,3 +88,19 @@ def test_edges(docs, collect):
     assert len(got[4]["frames"]) == 4 and [f["start_ms"] for f in got[4]["frames"]] == [0, 100, 200, 300]
     assert b"".join(bytes(f["samples"]) for f in got[4]["frames"]).rstrip() == ("long " * 120_000).strip().encode()
     assert gif.store(df.limit(0)).count() == 0
+
+
+def test_null_and_broken_media_are_reported(spark):
+    good = gif.encode(bytes(range(192)) * 8)
+    bad = [None, good, b"", b"no image at all", good[:-30], good[:9], good[:800], good[:6] + b"\xff\xff\xff\xff" + good[10:], good]
+    df = spark.createDataFrame([(i, m, "x") for i, m in enumerate(bad)], "id int, media binary, feature string")
+    got = {r.id: r for r in gif.digests(df).collect()}
+    assert got[0].media_bytes is None and got[0].media_error is None and got[0].payload_bytes is None
+    for i in (1, 8):
+        assert got[i].payload_bytes == 192 * 8 and got[i].media_error is None
+    for i in range(2, 8):
+        assert got[i].media_error and got[i].payload_bytes is None and got[i].media_bytes == len(bad[i])
+    frames = {r.id: r for r in gif.read_frames(df).collect()}
+    assert frames[0].frames == [] and frames[0].media_error is None and len(frames[1].frames) == 1 and frames[1].media_error is None
+    assert all(frames[i].media_error for i in range(2, 8))
+    assert gif.digests(df.limit(0)).count() == 0

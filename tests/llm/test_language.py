@@ -96,6 +96,28 @@ def test_limits_of_many_rows_and_of_copies(spark):
     assert np.array_equal(first, again.limits)
 
 
-def test_nothing_to_learn_from_is_an_error(docs):
-    with pytest.raises(ValueError, match="labelled"):
-        language.fit(docs(None, lang=None))
+
+def test_without_labels_no_language_is_known(spark, docs, tmp_path):
+    df = docs("some text", None, "", lang=None)
+    model = language.fit(df)
+    got = language.score(df, model).collect()
+    assert model.languages == [] and [(r.lang_pred, r.score, r.rejected) for r in got] == [("und", 0.0, True)] * 3
+    assert language.fit(df.limit(0)).languages == []
+    from gridspark.llm.catalog import QUERIES
+    df.limit(0).write.parquet(f"{tmp_path}/documents.parquet")
+    assert QUERIES["op8_language"](spark, str(tmp_path)).count() == 0
+
+
+def test_shares_below_a_millionth_keep_rows(spark):
+    from gridspark.llm.words import picked
+    hashes = spark.range(200_000).select(F.xxhash64("id").alias("h"))
+    assert hashes.where(picked(F.col("h"), 1.0)).count() == 200_000
+    assert hashes.where(picked(F.col("h"), 0.1)).count() == pytest.approx(20_000, rel=0.05)
+    assert spark.range(1).where(picked(F.lit(-2**63), 1e-9)).count() == 1
+    assert spark.range(1).where(picked(F.lit(-2**63 + 2 * 10**10), 1e-9)).count() == 0
+
+
+def test_copies_with_ids_are_picked_one_by_one(spark):
+    df = spark.range(3000).selectExpr("id AS doc_id", "'the same short text again' AS text", "'en' AS lang")
+    from gridspark.llm.words import picked, row_hash
+    assert 200 < df.where(picked(row_hash(df), 0.1)).count() < 400

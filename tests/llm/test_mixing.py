@@ -1,6 +1,8 @@
 from __future__ import annotations
 
 import numpy as np
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -69,3 +71,30 @@ def test_nulls_repeats_and_empty_tables(spark):
     assert {r.source_size for r in got} == {6, 5000} and sum(r.taken for r in got if r.size == 0) == 0
     assert mixing.taken(spark.createDataFrame([], SCHEMA)).count() == 0
     assert mixing.mixed_documents(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def test_white_space_stays_where_words_are_taken(spark):
+    text = "  a b\nc\td  e\n\nf g "
+    cases = {((0, 7),): "a b\nc\td  e\n\nf g", ((0, 2), (2, 2)): "a b\nc\td", ((0, 2), (4, 2)): "a b e\n\nf", ((6, 1),): "g", ((1, 1), (3, 1), (5, 2)): "b d f g"}
+    for runs, want in cases.items():
+        df = spark.createDataFrame([(text, [tuple(r) for r in runs])], "text string, runs array<struct<skip:long,n:long>>")
+        assert df.select(mixing.stretches(F.col("text"), F.col("runs"))).first()[0] == want
+
+
+def test_mixed_texts_are_parts_of_their_documents(spark, sf_dir):
+    df = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    whole = {r.doc_id: r.text for r in df.collect()}
+    changed = [r for r in mixing.mixed_documents(df).collect() if r.text != whole[r.doc_id]]
+    assert changed and any("\n" in r.text for r in changed)
+
+    def in_order(part, text):
+        left = iter(re.findall(r"[^ \t-\r]+", text))
+        return all(w in left for w in re.findall(r"[^ \t-\r]+", part))
+
+    assert all(in_order(r.text, whole[r.doc_id]) for r in changed)
+
+
+def test_a_source_of_each_row(spark):
+    df = spark.createDataFrame([(i, "w " * (i % 90 + 1), "en", f"s{i}", 1) for i in range(300)], SCHEMA)
+    got = mixing.taken(df, carry=("doc_id", "source")).collect()
+    assert len(got) == 300 and all(r.source_size == r.size and r.taken <= 3 * r.size for r in got)

@@ -115,3 +115,9 @@ def test_components_of_a_long_path(spark):
     got = components(links).collect()
     assert len(got) == 501 and {r.component for r in got} == {0}
     assert components(links.limit(0)).count() == 0
+
+
+def test_columns_of_any_name_stay(spark):
+    rows = [(1, "a b c d e f", 1, "x", 3), (2, "a b c d e f", 2, "y", 4), (3, "other words than those above here", 5, "z", 6)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, _kept int, _nth string, kept_hash int")
+    assert sorted(tuple(r) for r in neardup.one_of_each(df).collect()) == [rows[0], rows[2]]

@@ -52,3 +52,9 @@ def test_empty_table(spark):
     for _, stage in corpus_pipeline.STAGES:
         docs = stage(spark, docs, "")
         assert docs.count() == 0
+
+
+def test_documents_without_language_labels_stay(spark, docs):
+    df = docs("one text", "ein Text", None, lang=None)
+    with pytest.warns(UserWarning, match="no document has a language label"):
+        assert corpus_pipeline.language_id(spark, df, "").count() == 3

@@ -44,3 +44,10 @@ def test_rules_name_what_failed(docs, collect):
 def test_plan_has_no_python(docs):
     plan = quality.judge(docs("a"))._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan and "Exchange" not in plan
+
+
+def test_no_text_is_too_long_and_no_column_is_lost(spark):
+    assert all(r.high is None for r in quality.RULES if r.metric in ("n_words", "n_stop_words"))
+    df = spark.createDataFrame([("the quick brown fox and the lazy dog of this house " * 3_000, 5)], "text string, _m int")
+    got = quality.judge(df, rules=tuple(r for r in quality.RULES if r.name in ("words", "stop_words"))).first()
+    assert got._m == 5 and got.failed_rules == ""

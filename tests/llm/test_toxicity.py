@@ -39,6 +39,35 @@ def test_swaps_move_scores_less_with_the_penalty(table):
     assert held.score(text) < 0.3 and held.score("thing1 vermin thing2".split()) > 0.7
 
 
+def test_pairs_by_insertion(spark):
+    """Sentences without identity terms: toxic words share beginnings with terms, which must not move with them."""
+    rng = np.random.default_rng(8)
+    rows = [(i, " ".join(rng.choice(["this", "that", "thing", "place", "walk", "read"], 12)) + (" muslix blackish" if i % 4 == 0 else ""), int(i % 4 == 0))
+            for i in range(400)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    held, free = toxicity.fit(df, penalty=20.0), toxicity.fit(df, penalty=0.0)
+    assert held.pairs == (0, 400)
+
+    def gap(m, a, b):
+        return abs(np.log(m.score(a) / (1 - m.score(a))) - np.log(m.score(b) / (1 - m.score(b))))
+
+    for term in ("muslim", "black"):
+        a, b = ["this", term, "place"], ["this", toxicity.SWAPS[term], "place"]
+        assert gap(held, a, b) < 0.25 * gap(free, a, b)
+    assert held.score("this muslix blackish place".split()) > 0.5 > held.score("this place".split())
+    one, other = toxicity.inserted("a b c".split())
+    assert len(one) == len(other) == 4 and sum(x != y for x, y in zip(one, other)) == 1
+
+
+def test_the_model_of_the_query_treats_groups_alike(spark, sf_dir):
+    docs, labels = spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet")
+    rows, share = toxicity.labelled(docs, labels)
+    model = toxicity.fit(rows, share=share)
+    assert sum(model.pairs) == rows.count()
+    for term, other in toxicity.SWAPS.items():
+        assert abs(model.score(["the", term, "family"]) - model.score(["the", other, "family"])) < 0.05
+
+
 def test_edges(table, docs, collect):
     model = toxicity.fit(table)
     df = docs(None, "", "vermin " * 50_000, "thing1", "thing1").withColumnRenamed("lang", "score")
