@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import warnings
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,11 +18,15 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in a language of the training folds of their table; a table without labels has no languages and keeps none."""
-    rows = language.training_rows(docs)
-    if rows.where("text IS NOT NULL AND lang IS NOT NULL").isEmpty():
-        return docs.limit(0)
-    return language.keep_identified(docs, language.fit(rows))
+    """Documents in a language of the training folds of their table.
+
+    A table without labels has no languages: then all documents stay, and a warning says so.
+    """
+    model = language.fit(language.training_rows(docs))
+    if not model.languages:
+        warnings.warn("no document has a language label: none is rejected by its language", stacklevel=2)
+        return docs
+    return language.keep_identified(docs, model)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
