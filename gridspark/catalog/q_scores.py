@@ -222,9 +222,7 @@ def _panel_sql(label: str, cond: str, target: str) -> str:
        + _panel_sql("likelihood-base_rate", "ref_", "fcst"))
 def conditional_quantiles(spark, sf_dir):
     h = stored(view_h(spark, sf_dir), "verification")
-    parts = [distribution.conditional_quantiles(h, f).withColumn("factorization", F.lit(f))
-             for f in ("calibration_refinement", "likelihood-base_rate")]
-    return parts[0].unionByName(parts[1]).select(
+    return distribution.conditional_panels(h).select(
         "factorization", F.col("bin_center").cast("double").alias("bin_center"),
         *[rd(c).alias(c) for c in ("q05", "q50", "q95")])
 

@@ -93,28 +93,36 @@ def iqd(df: DataFrame, nodes: Sequence[float] | None = None, hours: int = 0, dro
     return both.select(*by, area.alias("iqd"), complete.alias("complete"))
 
 
-def conditional_quantiles(df: DataFrame, factorization: str = "calibration_refinement",
-                          quantiles: Sequence[float] = (0.05, 0.5, 0.95), fcst: str = "fcst",
-                          ref: str = "ref_") -> DataFrame:
+CALIBRATION, LIKELIHOOD = "calibration_refinement", "likelihood-base_rate"
+
+
+def conditional_quantiles(df: DataFrame, factorization: str = CALIBRATION, quantiles: Sequence[float] = (0.05, 0.5, 0.95),
+                          fcst: str = "fcst", ref: str = "ref_") -> DataFrame:
     """Quantiles of one variable where the other lies in unit bins ``[b, b+1)``.
 
     The panel covers the range of both variables; bins without values are NULL, and so is everything at or
     above the rounded-up maximum of the conditioning variable.
     """
+    if factorization not in (CALIBRATION, LIKELIHOOD):
+        raise ValueError(f"choose '{CALIBRATION}' or '{LIKELIHOOD}' as factorization")
+    return conditional_panels(df, [factorization], quantiles, fcst, ref).drop("factorization")
+
+
+def conditional_panels(df: DataFrame, factorizations: Sequence[str] = (CALIBRATION, LIKELIHOOD),
+                       quantiles: Sequence[float] = (0.05, 0.5, 0.95), fcst: str = "fcst", ref: str = "ref_") -> DataFrame:
+    """The same for several factorizations in the same passes over the data, with a column ``factorization``."""
     if len(quantiles) < 3:
         raise ValueError("give at least three quantiles")
-    if factorization == "calibration_refinement":
-        cond, target = fcst, ref
-    elif factorization == "likelihood-base_rate":
-        cond, target = ref, fcst
-    else:
-        raise ValueError("choose 'calibration_refinement' or 'likelihood-base_rate' as factorization")
     names = {f"q{str(round(q * 100, 6)).rstrip('0').rstrip('.').replace('.', '_').zfill(2)}": q for q in quantiles}
-    binned = df.select(F.floor(cond).alias("bin"), F.col(target).alias("_t")).where(F.col("bin").isNotNull())
-    per_bin = wide_quantiles(binned, ["bin"], "_t", names)
-    span = df.agg(F.least(F.floor(F.min(cond)), F.floor(F.min(target))).alias("lo"),
-                  F.greatest(F.ceil(F.max(cond)), F.ceil(F.max(target))).alias("hi"),
-                  F.ceil(F.max(cond)).alias("top"))
-    panel = count_up(span, F.col("hi") - F.col("lo"), "_i").select((F.col("lo") + F.col("_i")).alias("bin"), "top")
+    sides = {CALIBRATION: (fcst, ref), LIKELIHOOD: (ref, fcst)}
+    pairs = F.explode(F.array(*[F.struct(F.lit(f).alias("factorization"), F.floor(sides[f][0]).alias("bin"), F.col(sides[f][1]).alias("_t"))
+                                for f in factorizations]))
+    binned = df.select(pairs.alias("_p")).select("_p.*").where(F.col("bin").isNotNull())
+    per_bin = wide_quantiles(binned, ["factorization", "bin"], "_t", names)
+    span = df.agg(F.least(F.floor(F.min(fcst)), F.floor(F.min(ref))).alias("lo"),
+                  F.greatest(F.ceil(F.max(fcst)), F.ceil(F.max(ref))).alias("hi"),
+                  F.array(*[F.struct(F.lit(f).alias("factorization"), F.ceil(F.max(sides[f][0])).alias("top")) for f in factorizations]).alias("tops"))
+    panel = count_up(span.select("lo", "hi", F.inline("tops")), F.col("hi") - F.col("lo"), "_i").select(
+        "factorization", (F.col("lo") + F.col("_i")).alias("bin"), "top")
     kept = [F.when(F.col("bin") < F.col("top"), F.col(n)).alias(n) for n in names]
-    return panel.join(per_bin, "bin", "left").select((F.col("bin") + 0.5).alias("bin_center"), *kept)
+    return panel.join(per_bin, ["factorization", "bin"], "left").select("factorization", (F.col("bin") + 0.5).alias("bin_center"), *kept)

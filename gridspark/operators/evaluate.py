@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from gridspark.columns import CELL
 from gridspark.functions.calendar import season_of
-from gridspark.functions.quantiles import wide_quantiles
+from gridspark.functions.quantiles import with_quantiles
 from gridspark.session import stored
 
 
@@ -51,14 +51,13 @@ def score_map(df: DataFrame, by: Sequence[str] = (), on: Sequence[str] = CELL, f
 
 def boxplot_stats(df: DataFrame, value: str, by: Sequence[str]) -> DataFrame:
     """Quartiles, whiskers (the furthest values within 1.5 quartile ranges) and the largest outlier."""
-    boxes = wide_quantiles(df, by, value, {"q1": 0.25, "median": 0.5, "q3": 0.75})
-    reach = 1.5 * (F.col("q3") - F.col("q1"))
-    v, lo, hi = F.col(value), F.col("q1") - reach, F.col("q3") + reach
-    joined = df.where(v.isNotNull()).join(stored(boxes, "boxes"), list(by))
+    joined = with_quantiles(df.where(F.col(value).isNotNull()), by, value, {"_q1": 0.25, "_median": 0.5, "_q3": 0.75})
+    reach = 1.5 * (F.col("_q3") - F.col("_q1"))
+    v, lo, hi = F.col(value), F.col("_q1") - reach, F.col("_q3") + reach
     return joined.groupBy(*by).agg(
-        F.max("q1").alias("q1"), F.max("median").alias("median"), F.max("q3").alias("q3"),
-        F.least(F.min(F.when(v >= lo, v)), F.max("q1")).alias("whisker_lo"),
-        F.greatest(F.max(F.when(v <= hi, v)), F.max("q3")).alias("whisker_hi"),
+        F.max("_q1").alias("q1"), F.max("_median").alias("median"), F.max("_q3").alias("q3"),
+        F.least(F.min(F.when(v >= lo, v)), F.max("_q1")).alias("whisker_lo"),
+        F.greatest(F.max(F.when(v <= hi, v)), F.max("_q3")).alias("whisker_hi"),
         F.max(F.when((v < lo) | (v > hi), v)).alias("outlier_max"))
 
 

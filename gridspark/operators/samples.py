@@ -14,7 +14,9 @@ from gridspark.session import stored
 
 def closest_divisor(n: Column, wanted: int) -> Column:
     """The divisor of ``n`` nearest to the wanted one, the smaller of two."""
-    divisors = F.filter(F.sequence(F.lit(1).cast("bigint"), n), lambda d: n % d == 0)
+    root = F.floor(F.sqrt(n.cast("double")))
+    small = F.filter(F.sequence(F.lit(1).cast("bigint"), root), lambda d: n % d == 0)
+    divisors = F.concat(small, F.transform(small, lambda d: F.floor(n / d)))
     best = F.array_min(F.transform(divisors, lambda d: F.struct(F.abs(d - wanted).alias("gap"), d.alias("d"))))
     return best["d"]
 

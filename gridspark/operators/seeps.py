@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gridspark.columns import CELL
-from gridspark.functions.quantiles import grouped_quantiles
+from gridspark.functions.quantiles import with_quantiles
 from gridspark.session import stored
 
 
@@ -37,13 +37,11 @@ def seeps_climatology(df: DataFrame, value: str = "ref_", light: float = 5.0, on
 
     The strong threshold is the 2/3 quantile of the wet values of the cell.
     """
-    strong = grouped_quantiles(df.where(F.col(value) > light), on, value, [2 / 3])
-    strong = strong.select(*on, F.col("q").alias("t3"))
-    valued = df.where(F.col(value).isNotNull()).join(stored(strong, "strong-thresholds"), list(on), "left")
-    return valued.groupBy(*on).agg(
+    rows = with_quantiles(df.where(F.col(value).isNotNull()), on, value, {"_t3": 2 / 3}, F.col(value) > light)
+    return rows.groupBy(*on).agg(
         F.avg((F.col(value) <= light).cast("double")).alias("p1"),
-        F.avg((F.col(value) >= F.col("t3")).cast("double")).alias("p3"),
-        F.lit(light).alias("t1"), F.max("t3").alias("t3"))
+        F.avg((F.col(value) >= F.col("_t3")).cast("double")).alias("p3"),
+        F.lit(light).alias("t1"), F.max("_t3").alias("t3"))
 
 
 def seeps(df: DataFrame, params: DataFrame, by: Sequence[str] = (), on: Sequence[str] = CELL, fcst: str = "fcst",

@@ -80,9 +80,12 @@ def test_listing_reads_no_content(spark, fields):
         tables.list_files(spark, path, "*.nc")
 
 
-def test_quantiles_sort_only_what_two_broadcasts_let_through(fields):
+def test_quantiles_sort_only_what_two_broadcasts_let_through(fields, monkeypatch):
+    from gridspark.functions import quantiles
     from gridspark.functions.quantiles import grouped_quantiles
 
+    monkeypatch.setattr(quantiles, "BIG", 10)
+
     text = plan(grouped_quantiles(fields.withColumn("k", F.col("ix") % 3), ["k"], "fcst", [0.5]))
     before_first_shuffle = text.split("Exchange hashpartitioning")[-1]
     assert "BroadcastHashJoin [k" in before_first_shuffle and "SortMergeJoin" not in text
