@@ -35,13 +35,15 @@ def centered_difference(value: Column, coord: Column, index: str, line: Sequence
             .when((has_up == i + 1) & (has_down == i - 1), inner))
 
 
-def by_field(df: DataFrame, grid: Grid | None, time: str) -> DataFrame:
+def by_field(df: DataFrame, grid: Grid | None, time: str, together: bool | None = None) -> DataFrame:
     """Bring each field together once, so that windows along both axes and sums per field share one shuffle.
 
-    Only where the grid shows that a field is small; otherwise the windows spread the lines of a field.
+    ``together`` says whether a field fits into a task; left open, it does where the grid is known and has at most
+    ``FIELD_CELLS`` cells.  Otherwise the windows spread the lines of a field.
     """
-    whole = grid is not None and grid.nx * grid.ny <= FIELD_CELLS
-    return df.repartition(time) if whole else df
+    if together is None:
+        together = grid is not None and grid.nx * grid.ny <= FIELD_CELLS
+    return df.repartition(time) if together else df
 
 
 def _degrees(x: float | Column) -> Column:
@@ -68,16 +70,26 @@ def gradient_amplitude(df: DataFrame, values: Sequence[str], dlon: float | Colum
 
 
 def spatial_gradient(df: DataFrame, values: Sequence[str], dlon: float | Column, dlat: float | Column, time: str = "time",
-                     grid: Grid | None = None, keys: Sequence[str] = (), **kw) -> DataFrame:
+                     grid: Grid | None = None, keys: Sequence[str] = (), together: bool | None = None, **kw) -> DataFrame:
     """Mean gradient amplitude of each variable per time and ``keys``."""
-    out = gradient_amplitude(by_field(df, grid, time), values, dlon, dlat, time=time, keys=keys, **kw)
+    out = gradient_amplitude(by_field(df, grid, time, together), values, dlon, dlat, time=time, keys=keys, **kw)
     return out.groupBy(*keys, time).agg(*[F.avg(f"grad_{v}").alias(f"grad_{v}") for v in values])
 
 
-def spacing(df: DataFrame, coord: str, index: str) -> Column:
-    """The grid spacing along an axis in degrees, from the range of the coordinate: a scalar shared by all rows."""
-    ends = df.agg(F.try_divide(F.abs(F.max_by(coord, index) - F.min_by(coord, index)), F.max(index) - F.min(index)).alias("d"))
-    return ends.scalar()
+def grid_of(df: DataFrame, lat: str = "lat", lon: str = "lon") -> Grid | None:
+    """The grid that a table covers, from its indices and coordinates in one pass; none for an empty table.
+
+    Axes of a single cell have no spacing, which is NaN.
+    """
+    def axis(coord: str, index: str) -> list[Column]:
+        return [F.min(index), F.max(index), F.min_by(coord, index).cast("double"), F.max_by(coord, index).cast("double")]
+
+    row = df.agg(*[c.alias(f"c{i}") for i, c in enumerate([*axis(lon, "ix"), *axis(lat, "iy")])]).first()
+    if row is None or None in tuple(row):
+        return None
+    (i0, i1, x0, x1), (j0, j1, y0, y1) = row[:4], row[4:]
+    return Grid(i1 - i0 + 1, j1 - j0 + 1, x0, (x1 - x0) / (i1 - i0) if i1 > i0 else float("nan"),
+                y0, (y1 - y0) / (j1 - j0) if j1 > j0 else float("nan"))
 
 
 def amplitude_ratio(df: DataFrame, by: Sequence[str] = ("time",), dlon: float | None = None, dlat: float | None = None,
@@ -85,14 +97,17 @@ def amplitude_ratio(df: DataFrame, by: Sequence[str] = ("time",), dlon: float |
                     lat: str = "lat", lon: str = "lon", **kw) -> DataFrame:
     """Gradient amplitude of the forecast over that of the reference per time, averaged per ``by``.
 
-    Spacings that are not given come from the grid, or else from the coordinates.  ``by`` may hold the time, columns that
-    follow from it, and further dimensions, whose fields are kept apart.
+    Spacings that are not given come from the grid, or else from the coordinates, which are then read once at the call and also
+    tell whether a field fits into a task.  ``by`` may hold the time, columns that follow from it, and further dimensions, whose
+    fields are kept apart.
     """
     if order != 1:
         raise ValueError("only first-order differences are implemented")
     require(df, by)
-    dlon = dlon if dlon is not None else abs(grid.dx) if grid is not None else spacing(df, lon, "ix")
-    dlat = dlat if dlat is not None else abs(grid.dy) if grid is not None else spacing(df, lat, "iy")
+    if grid is None and (dlon is None or dlat is None):
+        grid = grid_of(df, lat, lon)
+    dlon = dlon if dlon is not None else abs(grid.dx) if grid is not None else 1.0
+    dlat = dlat if dlat is not None else abs(grid.dy) if grid is not None else 1.0
     keys = [c for c in by if c != time]
     grads = spatial_gradient(df, [fcst, ref], dlon, dlat, time, grid=grid, keys=keys, lat=lat, lon=lon, **kw)
     ratio = grads.select(*keys, time, F.try_divide(F.col(f"grad_{fcst}"), F.col(f"grad_{ref}")).alias("grad_amplitude"))

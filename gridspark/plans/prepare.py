@@ -18,19 +18,28 @@ def coarsen_then_refine(df: DataFrame, grid: Grid, factor: int, variables: Seque
     """Fields averaged to a coarse grid and interpolated back, next to the fine originals.
 
     Temperature travels as dry static energy, together with the geopotential that was regridded the same way,
-    so that its height dependence is kept.  Results have the suffixes ``_in`` and ``_tar``.
+    so that its height dependence is kept.  Results have the suffixes ``_in`` and ``_tar``; a cell needs both.
+
+    The fields are shuffled once, by time.  Both regriddings work within a time step and keep that placement, and inputs and
+    targets meet by grouping instead of a join, which would place them anew.
     """
     coarse = grid.coarsened(factor)
     moved = [*variables, *([geopotential] if temperature else [])]
-    fine = broadcast_static(df.select(time, *CELL, *variables), static.select(*CELL, geopotential)) if temperature \
-        else df.select(time, *CELL, *variables)
+    # rows without a cell go now, so that the plan needs no filter that would tell the two branches apart
+    placed = [F.col(c).isNotNull() for c in CELL]
+    fine = df.select(time, *CELL, *variables).where(placed[0] & placed[1]).repartition(time)
     work = fine
     if temperature:
+        # after the shuffle, so that both branches below read the same one
+        work = broadcast_static(fine, static.select(*CELL, geopotential))
         work = work.withColumn(temperature, dry_static_energy(F.col(temperature), F.col(geopotential)))
     low = remap_conservative(work, grid, coarse, moved, [time])
     back = remap_bilinear(low, coarse, grid, moved, [time])
     if temperature:
         back = back.withColumn(temperature, temperature_of(F.col(temperature), F.col(geopotential)))
+    names = [f"{v}_in".lower() for v in moved] + [f"{v}_tar".lower() for v in variables]
     inputs = back.withColumnsRenamed({v: f"{v}_in".lower() for v in moved})
     targets = fine.select(time, *CELL, *[F.col(v).alias(f"{v}_tar".lower()) for v in variables])
-    return inputs.join(targets, [time, *CELL])
+    met = inputs.withColumn("_side", F.lit(1)).unionByName(targets.withColumn("_side", F.lit(2)), allowMissingColumns=True)
+    both = met.groupBy(time, *CELL).agg(*[F.max(c).alias(c) for c in names], F.bit_or("_side").alias("_side"))
+    return both.where(F.col("_side") == 3).drop("_side")

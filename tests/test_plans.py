@@ -89,3 +89,41 @@ def test_quantiles_sort_only_what_two_broadcasts_let_through(fields, monkeypatch
     text = plan(grouped_quantiles(fields.withColumn("k", F.col("ix") % 3), ["k"], "fcst", [0.5]))
     before_first_shuffle = text.split("Exchange hashpartitioning")[-1]
     assert "BroadcastHashJoin [k" in before_first_shuffle and "SortMergeJoin" not in text
+
+
+def test_coarse_and_fine_fields_are_placed_once(spark, make_fields):
+    import numpy as np
+
+    from gridspark.operators.grid import Grid
+    from gridspark.plans.prepare import coarsen_then_refine
+    from gridspark.session import stored
+
+    grid = Grid(8, 6, 5.0, 0.5, 48.0, 0.5)
+    rng = np.random.default_rng(0)
+    # stored, so that Spark knows that the static side is small
+    df = stored(make_fields(grid, temp=rng.normal(280, 3, (5, 6, 8)), wind=rng.normal(size=(5, 6, 8))), "fields")
+    static = df.where("time = 0").selectExpr("iy", "ix", "wind * 100 AS z")
+    out = coarsen_then_refine(df, grid, 2, ["temp", "wind"], "temp", static)
+    assert out.count() == 5 * 48
+    out.collect()
+    final = out._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    # the fields are shuffled by time once, everything else is broadcast
+    assert final.count("- Exchange hashpartitioning") == final.count("ReusedExchange") == 1 and "SortMergeJoin" not in final
+
+
+def test_gradients_without_a_grid_are_placed_once(make_fields):
+    import numpy as np
+
+    from gridspark.operators import gradient
+    from gridspark.operators.grid import Grid
+
+    df = make_fields(Grid(5, 4, 5.0, 0.5, 48.0, 0.5), fcst=np.random.default_rng(0).normal(size=(3, 4, 5)), ref_=np.ones((3, 4, 5)).cumsum(axis=2))
+    out = gradient.amplitude_ratio(df)
+    assert plan(out).count("Exchange hashpartitioning") == 1
+    spread = gradient.spatial_gradient(df, ["fcst"], 0.5, 0.5, together=False)
+    assert plan(spread).count("Exchange hashpartitioning") == 3
+    whole = gradient.spatial_gradient(df, ["fcst"], 0.5, 0.5, together=True)
+    a, b = ({r.time: r.grad_fcst for r in x.collect()} for x in (spread, whole))
+    assert a == pytest.approx(b)
+    grid = gradient.grid_of(df)
+    assert (grid.nx, grid.ny, grid.dx, grid.dy) == (5, 4, 0.5, 0.5) and gradient.grid_of(df.limit(0)) is None
