@@ -1,8 +1,10 @@
 """Licence scans by a positional index of rare words, with built-in functions only.
 
-Templates are short licence notices.  The corpus says how rare each of their words is; the rarest word of a template that
-stands in it is its anchor.  A file is looked up by its anchor words: each place of one puts the template at a relative
-position, where the other words are then compared and the template's mandatory phrases verified.
+Templates are short licence notices.  The corpus says how rare each of their words is; the rarest word of a template is its
+anchor, and the rarest other word that it must hold its second.  Postings say for each such word which templates have it where.
+The rare words of a file are looked up in the postings, each putting templates at relative positions; the positions by anchors and
+by seconds are intersected, and where both agree the mandatory phrases are verified and the other words compared.  Templates and
+postings are a row of data, so the plan is the same for any number of them.
 """
 
 from __future__ import annotations
@@ -12,6 +14,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from gridspark.llm.words import bind, unused
 
@@ -40,6 +43,10 @@ TEMPLATES = (
     Template("mit", "mit license", base=True),
     Template("gpl-3.0", "licensed under the gnu general public license version 3", ("general public license version 3",)),
     Template("gpl-2.0", "licensed under the gnu general public license version 2", ("general public license version 2",)),
+    Template("gpl-3.0", "under the terms of the gnu general public license as published by the free software foundation either version 3 of the license",
+             ("gnu general public license as published by the free software foundation", "either version 3 of the license")),
+    Template("gpl-2.0", "under the terms of the gnu general public license as published by the free software foundation either version 2 of the license",
+             ("gnu general public license as published by the free software foundation", "either version 2 of the license")),
     Template("lgpl", "licensed under the gnu lesser general public license", ("lesser general public license",)),
     Template("agpl", "licensed under the gnu affero general public license", ("affero general public license",)),
     Template("apache-2.0", "licensed under the apache license version 2 0", ("apache license version 2",)),
@@ -97,25 +104,51 @@ def _offset(template: Template, phrase: str) -> int:
     return next(k for k in range(len(words)) if words[k:k + len(part)] == part)
 
 
-def _rows(t: Template, idf: dict[str, float]) -> Column:
-    """The words of a template with place, rarity and whether a mandatory phrase holds them, as a constant."""
-    held = set(range(len(t.words))) if t.base else {
-        k for p in t.phrases for k in range(_offset(t, p), _offset(t, p) + len(p.split()))}
-    return F.expr("array(" + ", ".join(f"named_struct('k', {k}, 'w', '{w}', 'idf', {idf[w]!r}D, 'held', {str(k in held).lower()})"
-                                       for k, w in enumerate(t.words)) + ")")
+def _held(t: Template) -> set[int]:
+    """Positions of the words that must stand: those of the mandatory phrases, all of a base template."""
+    return set(range(len(t.words))) if t.base else {k for p in t.phrases for k in range(_offset(t, p), _offset(t, p) + len(p.split()))}
 
 
-def _found(t: Template, k: int, w: Column, at: Column, idf: dict[str, float], least_share: float) -> Column:
-    """Of a base template its starts, of another the share it has at its best start, or null; ``k`` is its anchor."""
-    starts = F.transform(F.filter(at, lambda i: _same(F.get(w, i), F.lit(t.words[k]))), lambda i: i - k)
-    rows = _rows(t, idf)
-    standing = F.filter(starts, lambda s: F.forall(rows, lambda x: ~x["held"] | _same(F.get(w, s + x["k"]), x["w"])))
-    if t.base:
-        return standing
-    matched = F.transform(standing, lambda s: F.aggregate(
-        rows, F.lit(0.0), lambda total, x: total + F.when(_same(F.get(w, s + x["k"]), x["w"]), x["idf"]).otherwise(0.0)))
-    best = F.round(F.array_max(matched) / sum(idf[x] for x in t.words), 6)
-    return F.when(best >= least_share, best)
+def second(template: Template, first: int, idf: dict[str, float]) -> int | None:
+    """Position of the rarest other word that must stand, if there is one."""
+    return max(_held(template) - {first}, key=lambda k: (idf[template.words[k]], -k), default=None)
+
+
+INDEX = T.StructType([
+    T.StructField("postings", T.MapType(T.StringType(), T.ArrayType(T.StructType([
+        T.StructField("t", T.IntegerType()), T.StructField("k", T.IntegerType()), T.StructField("role", T.IntegerType())])))),
+    T.StructField("templates", T.ArrayType(T.StructType([
+        T.StructField("label", T.StringType()), T.StructField("base", T.BooleanType()), T.StructField("total", T.DoubleType()),
+        T.StructField("words", T.ArrayType(T.StructType([
+            T.StructField("k", T.IntegerType()), T.StructField("w", T.StringType()), T.StructField("idf", T.DoubleType()),
+            T.StructField("held", T.BooleanType())])))])))])
+FIRST, SECOND, ALONE = 0, 1, 2
+
+
+def index(templates: tuple[Template, ...], idf: dict[str, float]) -> tuple[dict, list]:
+    """Postings of the anchors and seconds, and the templates with the rarity of their words."""
+    postings: dict[str, list] = {}
+    entries = []
+    for n, t in enumerate(templates):
+        first = anchor(t, idf)
+        other = second(t, first, idf)
+        postings.setdefault(t.words[first], []).append((n, first, FIRST if other is not None else ALONE))
+        if other is not None:
+            postings.setdefault(t.words[other], []).append((n, other, SECOND))
+        held = _held(t)
+        entries.append((t.label, t.base, float(sum(idf[x] for x in t.words)), [(k, w, idf[w], k in held) for k, w in enumerate(t.words)]))
+    return postings, entries
+
+
+def _stands(w: Column, words: Column, start: Column) -> Column:
+    return F.forall(words, lambda x: ~x["held"] | _same(F.get(w, start + x["k"]), x["w"]))
+
+
+def _share(w: Column, template: Column, start: Column) -> Column:
+    """The share of the rarity of a template whose words stand in their places."""
+    matched = F.aggregate(template["words"], F.lit(0.0), lambda total, x: total + F.when(
+        _same(F.get(w, start + x["k"]), x["w"]), x["idf"]).otherwise(0.0))
+    return F.round(matched / template["total"], 6)
 
 
 def scan(df: DataFrame, text: str = "text", templates: tuple[Template, ...] = TEMPLATES, least_share: float = LEAST_SHARE,
@@ -125,39 +158,48 @@ def scan(df: DataFrame, text: str = "text", templates: tuple[Template, ...] = TE
     A base template counts every place where its words stand consecutively.  Any other template is found where its anchor
     stands, its mandatory phrases stand at their relative positions, and its matched words have ``least_share`` of its
     rarity.  ``score`` is the largest share of a found template, the base ones at 1 and 0 where none is found.  Null and
-    empty texts have no words, no labels and null positions; columns of these names are replaced.
+    empty texts have no words, no labels and null positions; repeated rows are scanned each and an empty table gives none.
+    Columns of these names are replaced.
     """
     idf = idf or rarity(df, text, templates)
-    anchors = {t: anchor(t, idf) for t in templates}
-    anchor_words = sorted({t.words[k] for t, k in anchors.items()})
+    postings, entries = index(templates, idf)
+    rare = df.sparkSession.createDataFrame([(postings, entries)], INDEX).select(F.struct("postings", "templates")).scalar()
+    known, held = unused(df, "_index"), unused(df, "_m")
 
     def find(w: Column) -> Column:
-        # places of anchor words: few, as these are the rarest of their templates
-        places = F.filter(F.transform(w, lambda x, i: F.when(F.lower(x).isin(*anchor_words), i)), lambda i: i.isNotNull())
-        return bind(places, lambda at: _matches(w, at))
-
-    def _matches(w: Column, at: Column) -> Column:
-        fields = [_found(t, anchors[t], w, at, idf, least_share).alias(f"t{n}") for n, t in enumerate(templates)]
-        return F.struct(F.size(w).cast("bigint").alias("n_words"), *fields)
-
-    held = unused(df, "_m")
-    m = df.withColumn(held, bind(licence_words(F.col(text)), find))
-    base = [(n, t) for n, t in enumerate(templates) if t.base]
-    other = [(n, t) for n, t in enumerate(templates) if not t.base]
-    starts = F.concat(*(F.col(f"{held}.t{n}") for n, _ in base))
-    base_labels = F.array(*(F.when(F.size(f"{held}.t{n}") > 0, F.lit(t.label)) for n, t in base))
-    labels = F.concat(base_labels, F.array(*(F.when(F.col(f"{held}.t{n}").isNotNull(), F.lit(t.label)) for n, t in other)))
-    joined = lambda a: F.array_join(F.array_sort(F.array_distinct(F.array_compact(a))), ",")
-    best_other = F.array_max(F.array(*(F.col(f"{held}.t{n}") for n, _ in other), F.lit(0.0)))
+        # places of rare words, few as these are the rarest of their templates
+        places = F.filter(F.transform(w, lambda x, i: F.when(
+            F.lower(x).isin(*sorted(postings)) & (F.octet_length(x) == F.length(x)), F.struct(i.alias("i"), F.lower(x).alias("w")))),
+            lambda p: p.isNotNull())
+        met = F.flatten(F.transform(places, lambda p: F.transform(F.element_at(F.col(f"{known}.postings"), p["w"]), lambda x: F.struct(
+            x["t"].alias("t"), (p["i"] - x["k"]).alias("s"), x["role"].alias("role")))))
+        return F.struct(F.size(w).cast("bigint").alias("n_words"), bind(met, lambda m: found(w, m)).alias("found"))
+
+    def at(m: Column, role: int) -> Column:
+        return F.transform(F.filter(m, lambda x: x["role"] == role), lambda x: F.struct(x["t"].alias("t"), x["s"].alias("s")))
+
+    def found(w: Column, m: Column) -> Column:
+        agreed = F.concat(F.array_intersect(at(m, FIRST), at(m, SECOND)), at(m, ALONE))
+        named = F.transform(agreed, lambda c: F.struct(c["s"].alias("s"), F.get(F.col(f"{known}.templates"), c["t"]).alias("of")))
+        standing = F.filter(named, lambda c: _stands(w, c["of"]["words"], c["s"]))
+        return F.transform(standing, lambda c: F.struct(
+            c["of"]["label"].alias("label"), c["of"]["base"].alias("base"), c["s"].alias("s"),
+            F.when(c["of"]["base"], 1.0).otherwise(_share(w, c["of"], c["s"])).alias("share")))
+
+    m = df.withColumn(known, rare).withColumn(held, bind(licence_words(F.col(f"`{text}`")), find))
+    hits = F.filter(f"{held}.found", lambda c: c["base"] | (c["share"] >= least_share))
+    base = F.filter(hits, lambda c: c["base"])
+    starts = F.transform(base, lambda c: c["s"])
+    joined = lambda a: F.array_join(F.array_sort(F.array_distinct(F.transform(a, lambda c: c["label"]))), ",")
     return m.withColumns({
         "n_words": F.col(f"{held}.n_words"),
         "n_base": F.size(starts).cast("bigint"),
         "first_word": F.array_min(starts).cast("bigint"),
         "last_word": F.array_max(starts).cast("bigint"),
-        "base_labels": joined(base_labels),
-        "labels": joined(labels),
-        "score": F.when(F.size(starts) > 0, 1.0).otherwise(best_other),
-    }).drop(held)
+        "base_labels": joined(base),
+        "labels": joined(hits),
+        "score": F.coalesce(F.array_max(F.transform(hits, lambda c: c["share"])), F.lit(0.0)),
+    }).drop(held, known)
 
 
 def oracle_sql(templates: tuple[Template, ...] = TEMPLATES, least_share: float = LEAST_SHARE) -> str:

@@ -29,3 +29,39 @@ def test_clashing_columns_and_empty_tables(docs):
 def test_plan_has_no_python(docs):
     plan = licenses.scan(docs("a"))._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan and "Exchange" not in plan
+
+
+def many(n):
+    return tuple(licenses.Template(f"made-{k}", f"terms of made licence number {k} apply here", (f"licence number {k}",)) for k in range(n))
+
+
+def test_the_plan_does_not_grow_with_the_templates(docs):
+    df = docs("under the terms of made licence number 7 apply here now")
+    sizes = []
+    for n in (20, 500):
+        found = licenses.scan(df, templates=licenses.TEMPLATES + many(n))
+        assert found.first().labels == "made-7"
+        sizes.append(found._jdf.queryExecution().optimizedPlan().toString().count("lambda"))
+    assert sizes[0] == sizes[1]
+
+
+def test_usual_wording_of_notices(docs, collect):
+    text = ("This program is free software: you can redistribute it under the terms of the GNU General Public License as published by the "
+            "Free Software Foundation, either version {} of the License, or (at your option) any later version.")
+    got = collect(licenses.scan(docs(text.format(3), text.format(2), text.format(9), text.format(3).replace("either", "neither"))))
+    assert [got[i]["labels"] for i in range(4)] == ["gpl,gpl-3.0", "gpl,gpl-2.0", "gpl", "gpl"]
+
+
+def test_every_place_and_any_column(spark):
+    text = "mit license mit license MIT  license mitlicense mit-license x cc by cc by"
+    df = spark.createDataFrame([(1, text, 5, "i"), (2, None, 6, "j"), (3, "", 7, "k"), (1, text, 5, "i")], "doc_id long, text string, _m int, _index string")
+    got = sorted(licenses.scan(df).collect(), key=lambda r: r.doc_id)
+    assert [(r.n_words, r.n_base, r.first_word, r.last_word, r.base_labels, r.score, r._m, r._index) for r in got] == [
+        (14, 6, 0, 12, "cc-by,mit", 1.0, 5, "i")] * 2 + [(0, 0, None, None, "", 0.0, 6, "j"), (0, 0, None, None, "", 0.0, 7, "k")]
+    assert licenses.scan(df.limit(0)).count() == 0
+
+
+def test_words_that_only_look_alike(docs, collect):
+    # the Kelvin sign folds to k, a long s stays itself
+    got = collect(licenses.scan(docs("mit licenſe", "gnu general public license", "mit lı̇cense")))
+    assert [got[i]["n_base"] for i in range(3)] == [0, 1, 0]
