@@ -39,11 +39,8 @@ SELECT strftime(t.time, '%Y-%m-%d %H:%M:%S') AS time, n.event_type FROM (SELECT
   (SELECT DISTINCT event_type FROM H1) n WHERE NOT EXISTS (
   SELECT 1 FROM H1 h WHERE h.time = t.time AND h.event_type = n.event_type)""")
 def missing_names(spark, sf_dir):
-    wide = events(spark, sf_dir).groupBy("time").pivot("event_type").agg(F.first("event_type", ignorenulls=True))
-    # the names of the columns are what is available over all, the filled ones what a time has
-    wanted = columns.missing_names(["time"], wide.columns)
-    lost = F.array_compact(F.array(*[F.when(F.col(name).isNull(), F.lit(name)) for name in wanted]))
-    return wide.select(ts().alias("time"), F.explode(lost).alias("event_type"))
+    lost = columns.missing_per_key(events(spark, sf_dir), ["time"], "event_type")
+    return lost.select(ts().alias("time"), "event_type")
 
 
 @query("first_sample", f"SELECT {STIME}, {r('fcst')} AS fcst FROM H WHERE time = (SELECT min(time) FROM H)")

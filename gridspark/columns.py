@@ -21,6 +21,16 @@ def missing_names(available: Iterable[str], wanted: Iterable[str]) -> list[str]:
     return [name for name in wanted if name not in have]
 
 
+def missing_per_key(df: DataFrame, keys: Sequence[str], name: str) -> DataFrame:
+    """Of all names that the table has anywhere, those that a key lacks: rows ``(keys, name)``.
+
+    The names, of which there are as many as variables, go to the keys as one array.
+    """
+    present = df.select(*keys, name).where(F.col(name).isNotNull()).distinct()
+    names = df.agg(F.sort_array(F.collect_set(name))).scalar()
+    return df.select(*keys).distinct().withColumn(name, F.explode(names)).join(present, [*keys, name], "left_anti")
+
+
 def require(df: DataFrame, names: Iterable[str]) -> None:
     lost = missing_names(df.columns, names)
     if lost:

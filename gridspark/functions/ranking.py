@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gridspark.functions.draws import hash_bucket, seeded_hash
+from gridspark.session import stored
 
 
 def row_numbers(df: DataFrame, bucket: Column, order: Sequence[Column], keys: Sequence[str] = (),
@@ -41,6 +42,27 @@ def shuffled_ranks(df: DataFrame, seed: int | str, on: Sequence[str], keys: Sequ
     return ranked.drop("_hash")
 
 
+# Rows that a task sorts for running sums.
+RANGE_ROWS = 100_000
+
+
+def running_sums(df: DataFrame, order: Sequence[Column], sums: dict[str, Column], rows_per_task: int = RANGE_ROWS) -> DataFrame:
+    """The rows with sums over all rows up to each one in the order of ``order``, which must tell all rows apart.
+
+    The rows are dealt out in ranges of the order and stored; what lies before a range is known from the sums of the ranges, so a
+    task sorts one range, however many rows there are.  The rows are counted and stored at the call.
+    """
+    n = max(1, -(-df.count() // rows_per_task))
+    ranged = stored(df.withColumns({f"_x_{c}": x for c, x in sums.items()}).repartitionByRange(n, *order).withColumn(
+        "_range", F.spark_partition_id()), "ranges")
+    totals = ranged.groupBy("_range").agg(*[F.sum(f"_x_{c}").alias(f"_t_{c}") for c in sums])
+    earlier = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)  # one row per range
+    before = totals.select("_range", *[F.coalesce(F.sum(f"_t_{c}").over(earlier), F.lit(0)).alias(f"_b_{c}") for c in sums])
+    inside = Window.partitionBy("_range").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    met = ranged.join(F.broadcast(before), "_range")
+    return met.select(*df.columns, *[(F.col(f"_b_{c}") + F.sum(f"_x_{c}").over(inside)).alias(c) for c in sums])
+
+
 def count_up(df: DataFrame, n: Column, out: str, chunk: int = 10_000) -> DataFrame:
     """One row per integer ``0 .. n-1`` of each row, without ever holding all of them in one array."""
     last = (n - 1).cast("bigint")

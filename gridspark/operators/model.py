@@ -64,7 +64,8 @@ def field_inference(df: DataFrame, model: Callable[[np.ndarray], np.ndarray], nx
             cells = batch.column(tensor)
             values = cells.flatten().flatten().to_numpy(zero_copy_only=False)
             result = model(values.reshape(len(cells), ny, nx, -1)) if len(cells) else np.zeros((0, ny, nx))
-            rows = pa.array((np.asarray(result, dtype=np.float64) * sigma + mu).reshape(len(cells), ny * nx).tolist(), pa.list_(pa.float64()))
+            values = (np.asarray(result, dtype=np.float64) * sigma + mu).reshape(len(cells) * ny * nx)
+            rows = pa.ListArray.from_arrays(pa.array(np.arange(len(cells) + 1, dtype=np.int32) * (ny * nx)), pa.array(values))
             yield pa.RecordBatch.from_pydict({k: batch.column(k) for k in keys} | {"_field": rows})
 
     whole = df.select(*keys, tensor).where(F.col(tensor).isNotNull())

@@ -69,7 +69,8 @@ def write_monthly(df: DataFrame, path: str, time: str = "time", mode: str = "err
 def missing_steps(df: DataFrame, existing: DataFrame, time: str = "time", keys: Sequence[str] = ()) -> DataFrame:
     """Rows whose time step (and further ``keys``) the existing table does not hold yet.
 
-    Only the months that ``df`` has are read of the existing table.
+    Only the months that ``df`` has are read of the existing table.  Without ``keys`` a step counts as done when any of its rows
+    is there; name the cells as keys where steps may have been written in part.
     """
     rows = with_month(df, time)
     months = rows.select("year", "month").distinct()
