@@ -221,7 +221,7 @@ def links(nodes: DataFrame, texts: DataFrame, text: str = "text", peels: int = 2
     rest = _mixed_lists(_with_component(lists, components(first)))
     for _ in range(peels):
         rest = _mixed_lists(_peeled(stored(rest, "dup-rest"), sets))
-    return first.unionByName(stored(_confirmed(_across(stored(rest, "dup-rest"), sets), sets), "dup-links"))
+    return first.unionByName(stored(_confirmed(_collide(_across(stored(rest, "dup-rest"), sets), nodes), sets), "dup-links"))
 
 
 def near_duplicates(df: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
