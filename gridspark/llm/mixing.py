@@ -15,10 +15,13 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from gridspark.functions.ranking import running_sums
 from gridspark.llm.words import bind
 from gridspark.session import stored
 
 WEIGHTS = (5.0, 2.0, 1.0)
+#: Parts that a range of shards is split into by one draw.
+SPLIT = 4096
 
 
 @dataclass(frozen=True)
@@ -39,23 +42,21 @@ def sources(docs: DataFrame, mix: Mix) -> DataFrame:
     """One row per source: rank ``sid``, ``source_size``, ``target`` and the number of its blocks and slots.
 
     Targets rise together in proportion to the weights; the sources with the smallest ratio of cap to weight stop first, and
-    the others share what is left.  Windows run over the sources, of which there are far fewer than rows.
+    the others share what is left.  Ranks and running sums go over ranges of sources, so that there may be one per row.
     """
     sized = docs.groupBy("source").agg(F.sum("size").alias("source_size"))
-    ranked = sized.withColumn("sid", F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())) - 1)
+    ranked = running_sums(sized, [F.col("source").asc_nulls_last()], {"sid": F.lit(1)}).withColumn("sid", F.col("sid") - 1)
     weight = F.element_at(F.array(*map(F.lit, mix.weights)), (F.col("sid") % len(mix.weights)).cast("int") + 1)
     capped = ranked.withColumns({"w": weight, "cap": mix.most_passes * F.col("source_size")})
-    order = Window.orderBy(F.col("cap") / F.col("w"), "sid")
-    up_to = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    whole = Window.partitionBy()
-    total, weights = F.sum("source_size").over(whole), F.sum("w").over(whole)
+    level = running_sums(capped, [F.col("cap") / F.col("w"), F.col("sid")], {"full": F.col("cap"), "upto": F.col("w")})
+    ends = level.agg(F.sum("source_size").alias("total"), F.sum("w").alias("weights"))
+    total, weights = (ends.select(c).scalar() for c in ("total", "weights"))
     # a source is capped while it and those before it can be full and the rest, at its level, would need more than there is
-    level = capped.withColumns({
-        "full": F.sum("cap").over(up_to), "open": weights - F.sum("w").over(up_to), "total": total})
-    level = level.withColumn("stopped", F.col("full") + F.col("open") * (F.col("cap") / F.col("w")) <= F.col("total"))
-    left = (F.col("total") - F.sum(F.when(F.col("stopped"), F.col("cap")).otherwise(0)).over(whole)).cast("double")
-    shares = F.sum(F.when(F.col("stopped"), 0.0).otherwise(F.col("w"))).over(whole)
-    target = F.when(F.col("stopped"), F.col("cap").cast("double")).otherwise(left * F.col("w") / shares)
+    level = stored(level.withColumn("stopped", F.col("full") + (weights - F.col("upto")) * (F.col("cap") / F.col("w")) <= total), "mix-levels")
+    open_ends = level.agg(F.sum(F.when(F.col("stopped"), F.col("cap")).otherwise(0)).alias("stopped"),
+                          F.sum(F.when(F.col("stopped"), 0.0).otherwise(F.col("w"))).alias("shares"))
+    left = (total - open_ends.select("stopped").scalar()).cast("double")
+    target = F.when(F.col("stopped"), F.col("cap").cast("double")).otherwise(left * F.col("w") / open_ends.select("shares").scalar())
     blocks = F.ceil(F.col("source_size") / mix.block_words)
     passes = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0)
     rest = F.least(F.round((F.col("target") - passes * F.col("source_size")) / mix.block_words).cast("bigint"), blocks)
@@ -95,20 +96,27 @@ def slots(of: DataFrame, mix: Mix) -> DataFrame:
     """One row per slot: ``sid``, ``shard``, ``slot``, ``pass`` and the ``block`` it holds.
 
     A source's slots fall on the shards by a multinomial draw, seeded by the source, so that its total is met and a task that
-    runs again draws the same.  A row per source and shard is dealt out to a number of tasks that grows with the slots, before
+    runs again draws the same: the draw is one per source over the shards, not one per shard over the sources.  Many shards are
+    drawn in ranges of shards first.  A row per source and shard is dealt out to a number of tasks that grows with the slots, before
     the slots are made, so that no task holds all slots of a large source.
     """
     total = of.agg(F.sum("n_slots")).first()[0] or 0
     m, seed = max(1, -(-total // mix.shard_slots)), mix.seed
 
-    def draw(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            for r in frame.itertuples():
-                counts = np.random.default_rng(_key(seed, r.sid)).multinomial(int(r.n_slots), np.full(m, 1.0 / m))
-                first = np.cumsum(counts) - counts
-                has = np.flatnonzero(counts)
-                yield pd.DataFrame({"sid": r.sid, "n_blocks": r.n_blocks, "n_passes": r.n_passes,
-                                    "last_blocks": r.last_blocks, "shard": has, "first": first[has], "n": counts[has]})
+    def split(width: int, whole: bool):
+        """Deal the slots of ranges of shards out to parts of ``width`` shards, by a multinomial draw each."""
+        def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for frame in frames:
+                for r in frame.itertuples():
+                    at = np.arange(r.shard, r.upto, width)
+                    sizes = np.minimum(at + width, r.upto) - at
+                    key = _key(seed, r.sid) if whole else _key(seed, r.sid, r.shard, width)
+                    counts = np.random.default_rng(key).multinomial(int(r.n), sizes / (r.upto - r.shard))
+                    first = r.first + np.cumsum(counts) - counts
+                    has = np.flatnonzero(counts)
+                    yield pd.DataFrame({"sid": r.sid, "n_blocks": r.n_blocks, "n_passes": r.n_passes, "last_blocks": r.last_blocks,
+                                        "shard": at[has], "upto": at[has] + sizes[has], "first": first[has], "n": counts[has]})
+        return run
 
     def fill(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
@@ -122,8 +130,13 @@ def slots(of: DataFrame, mix: Mix) -> DataFrame:
                     block[at] = shuffled_index(index[at], int(n), _key(seed, r.sid, int(p)))
                 yield pd.DataFrame({"sid": r.sid, "shard": r.shard, "slot": slot, "pass": turn, "block": block})
 
-    drawn = (of.where("n_slots > 0").select("sid", "n_blocks", "n_slots", "n_passes", "last_blocks")
-             .mapInPandas(draw, "sid long, n_blocks long, n_passes long, last_blocks long, shard long, first long, n long"))
+    drawn = of.where("n_slots > 0").select("sid", "n_blocks", "n_passes", "last_blocks", F.lit(0).cast("long").alias("shard"),
+                                           F.lit(m).cast("long").alias("upto"), F.lit(0).cast("long").alias("first"), F.col("n_slots").alias("n"))
+    kinds = ", ".join(f"{c} long" for c in drawn.columns)
+    # a row splits into ``SPLIT`` parts at the most, so that no list is longer
+    widths = [SPLIT ** k for k in range(8) if k == 0 or SPLIT ** k < m][::-1]
+    for width in widths:
+        drawn = drawn.mapInPandas(split(width, width == widths[0]), kinds)
     return (drawn.repartition(-(-m // 8), "sid", "shard")
             .mapInPandas(fill, "sid long, shard long, slot long, `pass` long, block long"))
 

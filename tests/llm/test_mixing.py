@@ -1,8 +1,8 @@
 from __future__ import annotations
 
-import numpy as np
 import re
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -98,3 +98,28 @@ def test_a_source_of_each_row(spark):
     df = spark.createDataFrame([(i, "w " * (i % 90 + 1), "en", f"s{i}", 1) for i in range(300)], SCHEMA)
     got = mixing.taken(df, carry=("doc_id", "source")).collect()
     assert len(got) == 300 and all(r.source_size == r.size and r.taken <= 3 * r.size for r in got)
+
+
+@pytest.mark.parametrize("rows", [3, 1000])
+def test_sources_in_ranges(spark, monkeypatch, rows):
+    """As many sources as documents: ranks, levels and targets as by rounds, whatever a task sorts."""
+    from gridspark.functions import ranking
+
+    monkeypatch.setattr(ranking.running_sums, "__defaults__", (rows,))
+    sizes = [(7 * i * i) % 900 for i in range(60)]
+    docs = spark.createDataFrame([(f"s{i:03}", s) for i, s in enumerate(sizes)] + [(None, 50)], "source string, size long")
+    got = mixing.sources(docs, mixing.Mix()).orderBy("sid").collect()
+    assert [r.source for r in got] == [f"s{i:03}" for i in range(60)] + [None] and [r.sid for r in got] == list(range(61))
+    assert [r.target for r in got] == pytest.approx(targets([*sizes, 50]))
+
+
+def test_many_shards_are_drawn_in_ranges(spark, monkeypatch):
+    mix = mixing.Mix(shard_slots=1)
+    df = spark.createDataFrame([(i, "w " * 640, "en", "a", 1) for i in range(12)], SCHEMA)
+    of = mixing.sources(mixing.numbered(df), mix)
+    whole = mixing.slots(of, mix).collect()
+    monkeypatch.setattr(mixing, "SPLIT", 5)
+    parts = mixing.slots(of, mix).collect()
+    assert sorted((r.slot, r.block) for r in whole) == sorted((r.slot, r.block) for r in parts)
+    assert len({r.shard for r in parts}) > 50 and max(r.shard for r in parts) < 120
+    assert sorted(r.slot for r in parts) == list(range(len(parts)))
