@@ -6,8 +6,10 @@ from pyspark.sql import functions as F
 
 from gridspark.catalog.fixtures import GRID_E, table, view_e
 from gridspark.catalog.registry import query, r, rd
+from gridspark.columns import number_of
 from gridspark.operators import grid, regrid
 from gridspark.operators.grid import Grid
+from gridspark.session import tasks_for
 from gridspark.sources import griddes
 
 # a rotated grid across the fields E, some cells beyond them
@@ -133,6 +135,10 @@ LINES = (
     ("grid_north_pole_latitude", "39.25", None), ("grid_north_pole_longitude", "-162.0", None))
 
 
+# descriptions that a task completes
+DESCRIPTIONS = 50_000
+
+
 def _lines_sql() -> str:
     rows = []
     for at, (key, value, changed) in enumerate(LINES):
@@ -154,12 +160,14 @@ def griddes_complete(spark, sf_dir):
               "yinc": F.lit("-0.11"), "grid_north_pole_latitude": F.lit("39.25"), "grid_north_pole_longitude": F.lit("-162.")}
     lines = [F.lit("#\n# a grid\n#")] + [F.concat(F.lit(f"{k:<9} = "), values[k].cast("string") if k in values else F.lit(v.strip("'")), F.lit(" "))
                                           for k, v, _ in LINES]
-    texts = table(spark, sf_dir, "part").select("p_partkey", F.concat_ws("\n", *lines).alias("value"))
+    part = table(spark, sf_dir, "part")
+    # a row of a few bytes becomes three whole descriptions, so rows are dealt out, not bytes of files
+    texts = part.select("p_partkey", "p_size").repartition(tasks_for(part, DESCRIPTIONS)).select("p_partkey", F.concat_ws("\n", *lines).alias("value"))
     # through the text once more, as a file would have it
     again = griddes.parse_texts(texts).select("p_partkey", griddes.description_text(F.col("entries")).alias("value"))
     made = griddes.with_coarse(griddes.parse_texts(again), 4)
     kinds = F.explode(F.array(*[F.struct(F.lit(k).alias("kind"), F.col(c).alias("of")) for k, c in (
         ("source", "entries"), ("coarse", "coarse"), ("base", "base"))]))
     rows = made.select("p_partkey", kinds.alias("k")).select("p_partkey", "k.kind", F.posexplode("k.of").alias("line", "key", "text"))
-    number = F.col("text").try_cast("double")
-    return rows.select("p_partkey", "kind", "line", "key", F.when(number.isNull(), F.col("text")).alias("text"), rd(number).alias("num"))
+    read = rows.withColumn("num", number_of(F.col("text")))
+    return read.select("p_partkey", "kind", "line", "key", F.when(F.col("num").isNull(), F.col("text")).alias("text"), rd("num").alias("num"))

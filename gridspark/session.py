@@ -56,6 +56,14 @@ def release_scratch(spark: SparkSession) -> int:
     return len(paths)
 
 
+def tasks_for(df: DataFrame, rows: int) -> int:
+    """How many tasks share a table: one for so many rows, but not fewer than run at a time.
+
+    For small rows that turn into much more, where the size of what is read or shuffled tells too little.
+    """
+    return max(df.sparkSession.sparkContext.defaultParallelism, -(-df.count() // max(rows, 1)))
+
+
 def stored(df: DataFrame, label: str) -> DataFrame:
     """A derived side table, written to the shared folder and read back.
 

@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from gridspark.columns import bind
 from gridspark.operators.grid import POLE, Grid, coarsen_table
 
 # Keys allowed in a grid description.
@@ -61,8 +62,10 @@ def parse_texts(df: DataFrame, text: str = "value", strict: bool = True) -> Data
     parts = F.transform(F.split(F.coalesce(F.col(text), F.lit("")), r"\r?\n"), lambda line: F.split(line, "="))
     pairs = F.transform(F.filter(parts, lambda p: F.size(p) == 2), lambda p: F.struct(F.trim(p[0]).alias("key"), F.trim(p[1]).alias("value")))
     read = df.withColumn("_pairs", pairs).withColumn("_keys", F.array_distinct(F.transform("_pairs", lambda p: p["key"])))
-    entries = F.map_from_entries(F.transform("_keys", lambda k: F.struct(k, F.element_at(
-        F.filter("_pairs", lambda p: p["key"] == k), -1)["value"])))
+    last = F.transform("_keys", lambda k: F.struct(
+        k.alias("key"), F.element_at(F.filter("_pairs", lambda p: p["key"] == k), -1)["value"].alias("value")))
+    # only a text with a key that comes twice is searched for each of its keys
+    entries = F.map_from_entries(F.when(F.size("_keys") == F.size("_pairs"), F.col("_pairs")).otherwise(last))
     odd = F.array_sort(F.array_except("_keys", F.array(*[F.lit(k) for k in VALID_KEYS])))
     if strict:
         entries = F.when(F.size(odd) == 0, entries).otherwise(F.raise_error(F.concat(
@@ -105,8 +108,8 @@ def with_coarse(df: DataFrame, factor: int, extrapolate: bool = False, digits: i
         firsts = {k: F.round(f"{kind}_{k}", 10).cast("string") for k in ("xfirst", "yfirst")}
         values = sizes | firsts | {k: F.round(f"{steps}{k}", 10).cast("string") for k in ("xinc", "yinc")}
         names = F.create_map(*[x for k, v in values.items() for x in (F.lit(k), v)])
-        return F.map_from_entries(F.transform(F.map_entries("entries"), lambda e: F.struct(
-            e["key"], F.coalesce(names[e["key"]], e["value"]))))
+        return bind(names, lambda n: F.map_from_entries(F.transform(F.map_entries("entries"), lambda e: F.struct(
+            e["key"], F.coalesce(n[e["key"]], e["value"])))))
 
     kinds = {"coarse": new("coarse", "coarse_")} | ({} if extrapolate else {"base": new("base", "")})
     return made.withColumns(kinds).select(*df.columns, *kinds)

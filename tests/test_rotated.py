@@ -221,3 +221,34 @@ def test_round_trip_through_files(spark, tmp_path):
     plain = tmp_path / "plain"
     plain.write_text("gridtype = lonlat\nxsize = 4\nysize = 3\nxfirst = 1.\nxinc = .5\nyfirst = 2\nyinc = -0.5 \n")
     assert griddes.read_grid(spark, str(plain)) == Grid(4, 3, 1.0, 0.5, 2.0, -0.5)
+
+
+def test_descriptions_are_shared_by_all_tasks(spark, tmp_path):
+    """One small file, as the table is, must not end in one task."""
+    from gridspark.catalog import load_queries
+
+    spark.range(300).selectExpr("id AS p_partkey", "CAST(1 + id % 50 AS INT) AS p_size").coalesce(1).write.parquet(str(tmp_path / "part.parquet"))
+    out = load_queries()["griddes_complete"].build(spark, str(tmp_path))
+    assert out.rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
+    assert out.count() == 300 * 45 and out.groupBy("p_partkey").count().where("count != 45").isEmpty()
+
+
+def test_tasks_follow_the_rows(spark):
+    from gridspark.session import tasks_for
+
+    assert tasks_for(spark.range(1000), 10) == 100
+    assert tasks_for(spark.range(0), 10) == tasks_for(spark.range(5), 10) == spark.sparkContext.defaultParallelism
+
+
+def test_numbers_of_texts_are_those_of_a_cast(spark):
+    from gridspark.columns import number_of
+
+    texts = [None, "", " ", "rlon", "lonlat", "-162.", " 4 ", "1e3", "1d", "x1", "NaN", "-Infinity", "+inf", "INF", "infinite", "nano", "0x1p3", ".", "-", "٣"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    rows = df.select("t", number_of(F.col("t")).alias("a"), F.col("t").try_cast("double").alias("b")).collect()
+    assert all(r.a == r.b or str(r.a) == str(r.b) for r in rows)
+
+
+def test_a_key_that_comes_twice_takes_the_last_value(spark):
+    got = described(spark, "xsize = 4\nysize = 3\nxsize = 8\n").select(griddes.description_text(F.col("entries")).alias("text")).first()
+    assert got.text == "xsize = 8\nysize = 3\n"
