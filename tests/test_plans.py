@@ -127,3 +127,19 @@ def test_gradients_without_a_grid_are_placed_once(make_fields):
     assert a == pytest.approx(b)
     grid = gradient.grid_of(df)
     assert (grid.nx, grid.ny, grid.dx, grid.dy) == (5, 4, 0.5, 0.5) and gradient.grid_of(df.limit(0)) is None
+
+
+def test_tasks_of_coarse_and_fine_fields_follow_the_cells(spark, make_fields, monkeypatch):
+    import numpy as np
+
+    from gridspark.operators.grid import Grid
+    from gridspark.plans import prepare
+
+    grid = Grid(8, 6, 5.0, 0.5, 48.0, 0.5)
+    df = make_fields(grid, temp=np.random.default_rng(0).normal(280, 3, (20, 6, 8)))
+    static = df.where("time = 0").selectExpr("iy", "ix", "temp * 100 AS z")
+    # 20 x 48 cells with two values each
+    monkeypatch.setattr(prepare, "PLACED_VALUES", 96)
+    out = prepare.coarsen_then_refine(df, grid, 2, ["temp"], "temp", static)
+    assert "REPARTITION_BY_NUM" in plan(out) and out.rdd.getNumPartitions() == 20
+    assert out.count() == 20 * 48
