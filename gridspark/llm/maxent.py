@@ -15,11 +15,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from gridspark.llm.words import Memo, memo_key
 from gridspark.session import scratch_dir, stored
 
 CLASSES = 32
@@ -30,30 +30,49 @@ BATCH, RATE, ROUNDS = 4096, 0.2, 2
 _SPREAD = tuple(np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93))
 
 
-def _id(word: bytes) -> int:
-    """Hash and class of a word; the class is in the lowest bits and follows from the last letters."""
+def _ids(words: list[bytes]) -> np.ndarray:
+    """Hashes and classes of words; the class is in the lowest bits and follows from the last letters."""
     import zlib
 
-    ending = word.rstrip(b".,;:!?)\"'")[-2:]
-    return memo_key(word) // CLASSES * CLASSES + zlib.crc32(ending) % (CLASSES - 1)
+    import xxhash
+
+    hashed = np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
+    endings = np.fromiter((zlib.crc32(w.rstrip(b".,;:!?)\"'")[-2:]) for w in words), np.uint64, len(words))
+    return hashed // np.uint64(CLASSES) * np.uint64(CLASSES) + endings % np.uint64(CLASSES - 1)
 
 
 class Tokens:
     """Texts as arrays of word ids, each closed by the end."""
 
-    def __init__(self):
-        self.memo = Memo(_id, 500_000)
-
-    def of(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+    def indexed(self, texts: pa.Array | pa.ChunkedArray | list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids of the distinct spellings and the end, the place of each token among them, and the numbers of tokens of the texts.
+
+        Arrow cuts and compares the words, so that Python sees each spelling once.
+        """
+        column = texts if isinstance(texts, pa.Array | pa.ChunkedArray) else pa.array(texts, pa.string())
+        column = column.cast(pa.large_string()).fill_null("")
+        if isinstance(column, pa.ChunkedArray):
+            column = column.combine_chunks()
+        lists = pc.ascii_split_whitespace(column)
+        parts = np.r_[0, np.cumsum(lists.value_lengths().to_numpy(zero_copy_only=False), dtype=np.int64)]
+        pieces = lists.flatten()
+        # white space at the ends of a text leaves empty pieces
+        there = pc.greater(pc.binary_length(pieces), 0)
+        upto = np.r_[0, np.cumsum(there.to_numpy(zero_copy_only=False), dtype=np.int64)][parts]
+        coded = pieces.filter(there).dictionary_encode()
+        # lower case comes last: Arrow 23 takes wrong bytes for it where a large column was cut from another
+        ids = np.append(_ids([w.lower() for w in coded.dictionary.cast(pa.large_binary()).to_pylist()]), np.uint64(END))
+        sizes = np.diff(upto) + 1
+        place = np.full(int(sizes.sum()), len(ids) - 1, dtype=np.int64)
+        inside = np.ones(len(place), dtype=bool)
+        inside[np.cumsum(sizes) - 1] = False
+        place[inside] = coded.indices.to_numpy(zero_copy_only=False)
+        return ids, place, sizes
+
+    def of(self, texts: pa.Array | pa.ChunkedArray | list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts one after the other, and their numbers of tokens."""
-        memo, ids, sizes = self.memo, [], []
-        for t in texts:
-            words = (t or "").encode().lower().split()
-            row = [memo[w] for w in words]
-            row.append(END)
-            sizes.append(len(row))
-            ids.append(np.array(row, dtype=np.uint64))
-        return (np.concatenate(ids) if ids else np.zeros(0, dtype=np.uint64)), np.array(sizes, dtype=np.int64)
+        ids, place, sizes = self.indexed(texts)
+        return ids[place], sizes
 
 
 def features(ids: np.ndarray, sizes: np.ndarray) -> list[np.ndarray]:
@@ -143,9 +162,10 @@ def _distinct(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 ids, weight = [], []
             now = numbers[at[0]]
             part = batch.slice(int(at[0]), len(at))
-            got, sizes = tokens.of(part.column("text").to_pylist())
+            got, at_word, sizes = tokens.indexed(part.column("text"))
             ids.append(got)
-            weight.append(np.repeat(np.array(part.column("train").to_pylist(), dtype=np.float64), sizes))
+            mine = np.repeat(part.column("train").to_numpy(zero_copy_only=False).astype(np.float64), sizes)
+            weight.append(np.bincount(at_word, weights=mine, minlength=len(got)))
     if now is not None:
         yield emit(now, ids, weight)
 
@@ -187,7 +207,7 @@ def train(rows: DataFrame, rounds: int = ROUNDS) -> np.ndarray:
             trainer, tokens = Trainer(*shared.value), Tokens()
             for batch in batches:
                 for at in range(0, batch.num_rows, 64):
-                    ids, sizes = tokens.of(batch.column("text").slice(at, 64).to_pylist())
+                    ids, sizes = tokens.of(batch.column("text").slice(at, 64))
                     found = features(ids, sizes)
                     for b in range(0, len(ids), BATCH):
                         trainer.step(ids[b:b + BATCH], [f[b:b + BATCH] for f in found])
@@ -227,10 +247,9 @@ def score(df: DataFrame, train_rows: Column, held_out: Column, text: str = "text
     def run(texts: pa.Table, known: pa.Table) -> pa.Table:
         words, first = np.unique(known.column("word").to_numpy().view(np.uint64), return_index=True)
         count = known.column("c").to_numpy()[first]
-        ids, size = Tokens().of(texts.column("text").to_pylist())
         # the table holds the distinct words of the block, so few look-ups do for all tokens
-        distinct, place = np.unique(ids, return_inverse=True)
-        c = count[np.searchsorted(words, distinct)][place]
+        distinct, place, size = Tokens().indexed(texts.column("text"))
+        ids, c = distinct[place], count[np.searchsorted(words, distinct)][place]
         in_class = (ids % np.uint64(CLASSES)).astype(np.int64)
         found, of_class = features(ids, size), np.empty(len(ids))
         for b in range(0, len(ids), BATCH):

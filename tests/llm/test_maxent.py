@@ -62,3 +62,28 @@ def test_edges(docs, spark):
     assert maxent.score(df.limit(0), F.lit(True), F.lit(False)).count() == 0
     unknown = maxent.score(df, F.lit(None).cast("boolean"), fold(F.col("doc_id"), 7) == 2).collect()
     assert {r.n_known for r in unknown} == {0} and {r.base_score for r in unknown} == {0.0}
+
+
+def test_tokens_of_arrow_columns_against_plain_code():
+    import zlib
+
+    import pyarrow as pa
+    import xxhash
+
+    def plain(word):
+        ending = word.rstrip(b".,;:!?)\"'")[-2:]
+        return xxhash.xxh3_64_intdigest(word) // maxent.CLASSES * maxent.CLASSES + zlib.crc32(ending) % (maxent.CLASSES - 1)
+
+    texts = ["x", "  Two  words.\t", None, "", " \n ", "\x0bA\x0cb\r\x1cc\x85 \u00a0\u2003d \u00c4\u0130 '", "a\x00b A\x00B", "same same SAME\n"]
+    wanted = [[*map(plain, (t or "").encode().lower().split()), maxent.END] for t in texts]
+    column = pa.array(texts, pa.string())
+    for form in (texts, column, pa.chunked_array([column.slice(0, 3), column.slice(3)]), pa.array(["cut", *texts]).slice(1)):
+        ids, sizes = maxent.Tokens().of(form)
+        assert sizes.tolist() == [len(w) for w in wanted] and ids.tolist() == [i for w in wanted for i in w]
+    words = pa.array(["A b", "c  D e", "f", "g h i j"])
+    ids, sizes = maxent.Tokens().of(words.slice(1, 2))
+    assert ids.tolist() == [*map(plain, (b"c", b"d", b"e")), maxent.END, plain(b"f"), maxent.END] and sizes.tolist() == [4, 2]
+    ids, sizes = maxent.Tokens().of(column.slice(0, 0))
+    assert len(ids) == len(sizes) == 0
+    distinct, place, _ = maxent.Tokens().indexed(["b a a b", "a"])
+    assert len(distinct) == 3 and place.tolist() == [0, 1, 1, 0, 2, 1, 2]
