@@ -41,9 +41,7 @@ def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Ids of the pieces of each text, and whether decoding them gives the text back."""
-    path = piece_model_path()
-    encoded = pieces.encode(docs, path, carry=["doc_id", "lang", "source", "text"])
-    decoded = pieces.decode(encoded, path, carry=["doc_id", "lang", "source", "text", "piece_ids"])
+    decoded = pieces.encode_decode(docs, piece_model_path(), carry=["doc_id", "lang", "source", "text"])
     return decoded.select("doc_id", "lang", "source", (F.length("piece_ids") / 4).cast("bigint").alias("n_tokens"), "piece_ids",
                           (F.coalesce("text", F.lit("")) == F.col("piece_text")).alias("round_trip"))
 

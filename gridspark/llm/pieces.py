@@ -21,7 +21,6 @@ from gridspark.llm.words import Memo
 
 MARK = "▁"  # stands for a blank inside pieces
 NEVER = float("-inf")
-UNKNOWN = [1]  # a character without a piece stands alone
 
 
 class PieceModel:
@@ -64,7 +63,7 @@ class PieceModel:
             self.surface.append(text)
         self.find = ahocorasick.Automaton()
         for piece in self.ids:
-            self.find.add_word(piece, len(piece))
+            self.find.add_word(piece, piece)
         self.find.make_automaton()
         if any(ch not in self.ids for piece in self.ids for ch in piece):
             raise ValueError(f"{path}: a piece holds a character that is no piece")
@@ -102,37 +101,40 @@ class PieceModel:
         return parts
 
     def split(self, text: str) -> list[str]:
-        """The pieces of a text by backtracking over longest matches."""
+        """The pieces of a text by backtracking over longest matches.
+
+        A match is the model's own string, so the pairs that are remembered share their pieces.
+        """
         n, pairs = len(text), self.pairs
-        lengths: list[list[int]] = [[] for _ in text]
-        for end, size in self.find.iter(text):
-            lengths[end - size + 1].append(size)  # shorter ones come first
+        starting: list[list[str]] = [[] for _ in text]
+        for end, piece in self.find.iter(text):
+            starting[end - len(piece) + 1].append(piece)  # shorter ones come first
         failed = None  # the bit field, made when the first position fails
         path: list[tuple[int, int]] = []
         out: list[str] = []
         left, at = "", 0
-        here = lengths[0] or UNKNOWN
+        here = starting[0] or [text[0]]  # a character without a piece stands alone
         choice = len(here)
         while True:
             while choice:
                 choice -= 1
-                end = at + here[choice]
+                piece = here[choice]
+                end = at + len(piece)
                 if failed is None or not failed[end >> 3] >> (end & 7) & 1:
-                    piece = text[at:end]
                     if pairs[left, piece] if left else end < n or self.merge(piece) == [piece]:
                         out.append(piece)
                         if end == n:
                             return out
                         path.append((at, choice))
                         left, at = piece, end
-                        here = lengths[at] or UNKNOWN
+                        here = starting[at] or [text[at]]
                         choice = len(here)
             if failed is None:
                 failed = bytearray((n >> 3) + 1)
             failed[at >> 3] |= 1 << (at & 7)
             at, choice = path.pop()
             out.pop()
-            here, left = lengths[at] or UNKNOWN, out[-1] if out else ""
+            here, left = starting[at] or [text[at]], out[-1] if out else ""
 
     def _word_bytes(self, word: str) -> bytes:
         """Ids of a stretch that its neighbours cannot merge with."""
@@ -205,3 +207,20 @@ def decode(df: DataFrame, model_path: str, ids: str = "piece_ids", text: str = "
         return lambda rows: {text: [model.decode(r) for r in rows]}
 
     return add_columns(df, [ids], T.StructType([T.StructField(text, T.StringType())]), make, carry)
+
+
+def encode_decode(df: DataFrame, model_path: str, text: str = "text", ids: str = "piece_ids", back: str = "piece_text",
+                  carry: list[str] | None = None) -> DataFrame:
+    """Add the ids as ``encode`` does and what ``decode`` makes of them, both by one Python worker a task.
+
+    Two operators one after the other keep two workers a task, each with a model and remembered words of its own.
+    """
+    def make():
+        model = load(model_path)
+
+        def work(texts: list) -> dict[str, list]:
+            made = [model.encode(t) for t in texts]
+            return {ids: made, back: [model.decode(r) for r in made]}
+        return work
+
+    return add_columns(df, [text], T.StructType([T.StructField(ids, T.BinaryType()), T.StructField(back, T.StringType())]), make, carry)

@@ -61,3 +61,20 @@ def test_nulls_repeats_clashes_and_empty_tables(spark, docs, collect):
     assert got[0]["piece_text"] == got[1]["piece_text"] == "" and got[2]["piece_ids"] == got[3]["piece_ids"]
     assert pieces.encode(df.limit(0), PATH).count() == 0
     assert pieces.decode(spark.createDataFrame([(None,)], "piece_ids binary"), PATH).first()["piece_text"] == ""
+
+
+def test_remembered_pairs_share_the_strings_of_the_model():
+    model = pieces.PieceModel(PATH)
+    own = {piece: piece for piece in model.ids}
+    same_text = "".join(chr(97 + i * 7 % 26) + "the and of in" * (i % 3 == 0) for i in range(400))
+    model.encode(same_text)
+    known = [piece for pair in model.pairs for piece in pair if piece in own]
+    assert len(known) > 100 and all(piece is own[piece] for piece in known)
+
+
+def test_encode_decode_is_decode_of_encode(docs, collect):
+    df = docs(None, "", "a", "a", " the ▁\n\x00 漢字👍 é", "word " * 300)
+    both = pieces.encode_decode(df, PATH)
+    assert both.columns == [*df.columns, "piece_ids", "piece_text"]
+    assert collect(both) == collect(pieces.decode(pieces.encode(df, PATH), PATH))
+    assert pieces.encode_decode(df.limit(0), PATH).count() == 0

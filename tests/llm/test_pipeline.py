@@ -58,3 +58,8 @@ def test_documents_without_language_labels_stay(spark, docs):
     df = docs("one text", "ein Text", None, lang=None)
     with pytest.warns(UserWarning, match="no document has a language label"):
         assert corpus_pipeline.language_id(spark, df, "").count() == 3
+
+
+def test_encoding_keeps_one_python_worker_a_task(spark, docs):
+    plan = corpus_pipeline.encoding(spark, docs("one text", None), "")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInArrow") == 1
